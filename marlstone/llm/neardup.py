@@ -195,14 +195,19 @@ def _assigned(docs: DataFrame, threshold: float) -> DataFrame:
     several = spread.groupBy("key").agg((F.min("label") != F.max("label")).alias("several"), F.count(F.lit(1)).alias("n")).filter("several and n > 2").select("key")
     rest = spread.join(several, "key").filter("node <> centre").join(known.select(F.col("a").alias("node"), F.col("b").alias("centre"), "d"), ["node", "centre"], "left")
     rest = saved(rest.select("key", "node", "label", "d"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"))
-    close = F.coalesce(F.abs(F.col("d") - F.col("db")) <= most, F.lit(True))
-    pairs = rest.withColumnRenamed("node", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")) & close)
-    third = compared(saved(pairs.select("a", "b").distinct()))
-    if not third.filter(F.col("d") <= most).isEmpty():
+    rich = saved(rest.join(items, "node").join(nodes.select("node", "bands"), "node"))
+    one = rich.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("d").alias("da"), F.col("items").alias("x"), F.col("bands").alias("p"))
+    two = rich.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"), F.col("items").alias("y"), F.col("bands").alias("q"))
+    close = F.coalesce(F.abs(F.col("da") - F.col("db")) <= most, F.lit(True)) & (F.least(F.size("x"), F.size("y")) >= (threshold - 1e-9) * F.greatest(F.size("x"), F.size("y")))
+    once = F.array_min(F.array_intersect("p", "q")) == one["key"]
+    common = F.size(F.array_intersect("x", "y"))
+    # Only pairs at the threshold leave the join; each is judged in the first bucket that both share.
+    match = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close & once & (1 - common / (F.size("x") + F.size("y") - common) <= most)
+    third = saved(one.join(two, (one["key"] == two["key"]) & match).select("a", "b", F.lit(0.0).alias("d")))
+    if not third.isEmpty():
         label = components(known.unionByName(third).filter(F.col("d") <= most))
     of = saved(nodes.select("mark", "node").join(label, "node", "left").select("mark", F.coalesce("label", "node").alias("class")))
-    dropped(bucket, stars, items, first, second, rest, third)
+    dropped(bucket, stars, items, first, second, rest, rich, third)
     placed = signed.select("rid", "doc_id", "loc", "mark", full.alias("full"))
     placed = saved(placed.join(of, "mark", "left").select("rid", "doc_id", "loc", F.coalesce(F.when(F.col("full"), F.col("class")), -1 - F.col("rid")).alias("class")))
     dropped(signed, nodes, of)
