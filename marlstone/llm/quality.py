@@ -20,40 +20,49 @@ from .words import BLANK, buffers, mix, words
 SAMPLE, BUCKETS, SHAPES = 4000, 1 << 14, 1 << 10
 LINES = np.zeros(256, bool)
 LINES[10] = True
+#: Rows of a slice, in the low bits of a key whose high bits are a hash; a slice has fewer rows.
+ROW_MASK, NONE = np.uint64((1 << 20) - 1), np.zeros(0, np.uint64)
+#: By byte: marks that are no letter, digit or byte of a longer character; those outside plain prose; ends of sentences; and the kinds that shapes tell apart.
+MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+ODD = MARK & ~BLANK & ~np.isin(np.arange(256), list(b".,;:'\"!?()-"))
+STOP = np.isin(np.arange(256), list(b".!?"))
+UPPER = np.array([65 <= b <= 90 for b in range(256)])
+LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+KIND = np.array([4 if b >= 128 else 1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else b for b in range(256)], np.uint64)
 LABELLERS = ("length", "word_size", "short_words", "capitals", "symbols", "tails", "ends", "lines", "variety", "lone_marks", "runs")
 
 
+def _keyed(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes and their rows in one integer each, which sort at once."""
+    return (hashes & ~ROW_MASK) | rows.astype(np.uint64)
+
+
 def votes(text: pa.Array) -> np.ndarray:
     """One row a text: 1 (good), -1 (bad) or 0 for each of LABELLERS."""
     data, offsets = buffers(text)
     n = len(offsets) - 1
     total, short, tail, stop, lone, runs = (np.zeros(n) for _ in range(6))
-    mark = (data < 128) & ~((data >= 48) & (data <= 57)) & ~(((data | 32) >= 97) & ((data | 32) <= 122))
-    seen: list[np.ndarray] = []
+    mark = MARK[data]
+    seen = [NONE]
     for starts, sizes, rows, hashes in words(data, offsets):
         total += np.bincount(rows, minlength=n)
         short += np.bincount(rows[sizes <= 3], minlength=n)
         ends = starts + sizes - 1
         tail += np.bincount(rows[(sizes > 1) & mark[ends] & mark[ends - 1]], minlength=n)
-        stop += np.bincount(rows[np.isin(data[ends], [33, 46, 63])], minlength=n)
+        stop += np.bincount(rows[STOP[data[ends]]], minlength=n)
         lone += np.bincount(rows[(sizes == 1) & mark[starts]], minlength=n)
         runs += np.bincount(rows[1:][(hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])], minlength=n)
-        seen.append(np.unique(np.stack([rows.astype(np.uint64), hashes], 1), axis=0))
-    kinds = np.zeros(n)
-    if seen:
-        once = np.unique(np.concatenate(seen), axis=0)
-        kinds = np.bincount(once[:, 0].astype(np.int64), minlength=n).astype(float)
-    line, again = np.zeros(n), np.zeros(n)
-    keys = [np.stack([rows.astype(np.uint64), hashes], 1)[sizes >= 12] for _, sizes, rows, hashes in words(data, offsets, gaps=LINES)]
-    if keys:
-        each, count = np.unique(np.concatenate(keys), axis=0, return_counts=True)
-        line = np.bincount(each[:, 0].astype(np.int64), count, n)
-        again = np.bincount(each[:, 0].astype(np.int64), count - 1, n)
+        seen.append(_keyed(rows, hashes))
+    kinds = np.bincount((np.unique(np.concatenate(seen)) & ROW_MASK).astype(np.int64), minlength=n).astype(float)
+    keys = [NONE, *(_keyed(rows, hashes)[sizes >= 12] for _, sizes, rows, hashes in words(data, offsets, gaps=LINES))]
+    each, count = np.unique(np.concatenate(keys), return_counts=True)
+    owner = (each & ROW_MASK).astype(np.int64)
+    line, again = np.bincount(owner, count, n), np.bincount(owner, count - 1, n)
     per = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets]).astype(float)
     solid = np.maximum(per(~BLANK[data]), 1)
-    letters = np.maximum(per(~mark & ~((data >= 48) & (data <= 57))), 1)
+    letters = np.maximum(per(LETTER[data]), 1)
     t = np.maximum(total, 1)
-    caps, symbols = per((data >= 65) & (data <= 90)) / letters, per(mark & ~BLANK[data] & ~np.isin(data, np.frombuffer(b".,;:'\"!?()-", np.uint8))) / solid
+    caps, symbols = per(UPPER[data]) / letters, per(ODD[data]) / solid
     split = lambda good, bad: np.where(bad, -1, np.where(good, 1, 0))
     size = solid / t
     out = [
@@ -98,8 +107,7 @@ def hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for starts, sizes, rows, hashes in words(data, offsets):
         total += np.bincount(rows, minlength=len(total))
         first, last, prior = data[starts], data[starts + sizes - 1], data[np.maximum(starts + sizes - 2, 0)]
-        kind = lambda b: np.where(b >= 128, 4, np.where((b >= 97) & (b <= 122), 1, np.where((b >= 65) & (b <= 90), 2, np.where((b >= 48) & (b <= 57), 3, b)))).astype(np.uint64)
-        shape = mix(kind(first) * np.uint64(1 << 20) + kind(last) * np.uint64(1 << 10) + kind(prior) + (np.minimum(sizes, 20) << 32).astype(np.uint64))
+        shape = mix(KIND[first] * np.uint64(1 << 20) + KIND[last] * np.uint64(1 << 10) + KIND[prior] + (np.minimum(sizes, 20) << 32).astype(np.uint64))
         shape[1:][(hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])] = 0  # a shape of its own: the word before once more
         rows_ += [rows, rows]
         buckets += [(hashes % np.uint64(BUCKETS)).astype(np.int64), BUCKETS + (shape % np.uint64(SHAPES)).astype(np.int64)]
