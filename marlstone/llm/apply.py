@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +15,13 @@ from . import words
 from .store import shipped
 
 
+def trimmed() -> None:
+    """Gives freed memory back to the system, since workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def annotated(docs: DataFrame, text_col: str, keep: list[str], fields: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
     """The columns keep of docs, and fields that the function made by make (once a task) derives from slices of text_col."""
     new = T.StructType.fromDDL(fields)
@@ -28,6 +37,7 @@ def annotated(docs: DataFrame, text_col: str, keep: list[str], fields: str, make
             for at, end in words.batches(text):
                 out = work(text.slice(at, end - at))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, end - at) for i in range(len(keep))), *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, arrow, strict=True))], names)
+            trimmed()
 
     shipped(docs.sparkSession)
     return rows.mapInArrow(run, T.StructType([*kept, *new]))
@@ -44,7 +54,8 @@ def gathered(docs: DataFrame, text_col: str, keep: list[str], schema: str, make:
             text = batch.column(len(keep))
             for at, end in words.batches(text):
                 out = work(text.slice(at, end - at), *(batch.column(i).slice(at, end - at) for i in range(len(keep))))
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in arrow], [n for n, _ in arrow])
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[n], pa.Array) else pa.array(x, t) for n, t in arrow], [n for n, _ in arrow])
+            trimmed()
 
     shipped(docs.sparkSession)
     return rows.mapInArrow(run, schema)

@@ -126,7 +126,7 @@ def _multiset():
         nth = (np.arange(len(many)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
         with np.errstate(over="ignore"):
             each = np.where(nth == 0, gram[many], mix(gram[many] + nth * np.uint64(0x9E3779B97F4A7C15)))
-        return {"node": node.to_pylist(), "items": _lists(each, np.bincount(row[many], minlength=len(size))).to_pylist()}
+        return {"node": node, "items": _lists(each, np.bincount(row[many], minlength=len(size)))}
 
     return work
 
@@ -149,6 +149,18 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """label with the components that edges (a, b) join made one. Only edges between components count, and each pair of components once."""
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    links = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    links = saved(links.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    top = components(links).withColumnRenamed("node", "at").withColumnRenamed("label", "up")
+    nodes = label.select("node", "label").unionByName(top.select(F.col("at").alias("node"), F.col("at").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+    out = saved(nodes.join(top, F.col("label") == F.col("at"), "left").select("node", F.coalesce("up", "label").alias("label")))
+    dropped(links)
+    return out
+
+
 def _picked(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of docs (doc_id, loc, text) with a key of keys (id, loc, node), with node."""
     small = keys.count() <= BROADCAST_KEYS
@@ -189,7 +201,7 @@ def _assigned(docs: DataFrame, threshold: float) -> DataFrame:
     label = components(first.filter(F.col("d") <= most))
     second = compared(saved(apart(stars.join(first.select("a", "b"), ["a", "b"], "left_anti"), label).select("a", "b")))
     known = first.unionByName(second)
-    label = components(known.filter(F.col("d") <= most))
+    label = joined(label, second.filter(F.col("d") <= most).select("a", "b"))
     # What is left of a bucket whose members are in several components.
     spread = bucket.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = spread.groupBy("key").agg((F.min("label") != F.max("label")).alias("several"), F.count(F.lit(1)).alias("n")).filter("several and n > 2").select("key")
@@ -205,7 +217,7 @@ def _assigned(docs: DataFrame, threshold: float) -> DataFrame:
     match = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close & once & (1 - common / (F.size("x") + F.size("y") - common) <= most)
     third = saved(one.join(two, (one["key"] == two["key"]) & match).select("a", "b", F.lit(0.0).alias("d")))
     if not third.isEmpty():
-        label = components(known.unionByName(third).filter(F.col("d") <= most))
+        label = joined(label, third.select("a", "b"))
     of = saved(nodes.select("mark", "node").join(label, "node", "left").select("mark", F.coalesce("label", "node").alias("class")))
     dropped(bucket, stars, items, first, second, rest, rich, third)
     placed = signed.select("rid", "doc_id", "loc", "mark", full.alias("full"))

@@ -121,7 +121,7 @@ def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(hashes), np.bincount(np.concatenate(rows), minlength=len(offsets) - 1)
 
 
-def batches(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def batches(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about limit bytes, one row at least."""
     _, offsets = buffers(column)
     at = 0
