@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Letters with marks and their plain forms; the dotted and dotless i are told apart before lower-casing.
 MARKED, PLAIN = "çğıöşüÇĞİÖŞÜâîûäéèêëàáíóúñôß", "cgiosuCGIOSUaiuaeeeeaaiounos"
@@ -140,13 +141,13 @@ def relative_date(c: Column, now: Column) -> Column:
     return F.date_sub(now.cast("date"), amount * unit).cast("timestamp")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The Ratcliff/Obershelp ratio of two strings; 0 where one is missing."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(c: pd.Series) -> pd.Series:
     """HTML entities resolved and characters in compatibility form (NFKC)."""
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", html.unescape(x)))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,16 @@ def session(app: str = "marlstone", master: str | None = None, partitions: int |
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once a session, so that they need no path to it."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_shipped_package", None) == root or not root.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="marlstone-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._shipped_package = root
