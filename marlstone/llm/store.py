@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shipped
+
+__all__ = ["dropped", "folder", "saved", "shipped"]
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset and Spark runs in this process."""
@@ -36,16 +38,3 @@ def dropped(*frames: DataFrame) -> None:
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shipped(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once a session, so that they need no path to it."""
-    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
-    if getattr(context, "_shipped_package", None) == root or not root.is_dir():
-        return
-    target = Path(tempfile.mkdtemp(prefix="marlstone-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, path.relative_to(root.parent))
-    context.addPyFile(str(target))
-    context._shipped_package = root
