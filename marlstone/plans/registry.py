@@ -37,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    pass
+    """Importing the modules of queries registers them."""
+    from . import document_queries, entity_queries, series_queries  # noqa: F401
