@@ -105,9 +105,10 @@ def rating_group(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(n.between(1, 2), "LOW").when(n == 3, "MIXED").when(n.between(4, 5), "HIGH").alias("g"))
 
 
-@query("prj29_strength", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.08 THEN 'high' ELSE 'low' END AS g FROM lineitem WHERE l_linenumber = 1")
-def strength_filter(s, d):
-    return table(s, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.when(F.col("l_discount") >= 0.08, "high").otherwise("low").alias("g"))
+@query("prj29_strength", E + ", c AS (SELECT segment, corr(reviews, price) AS r FROM ent GROUP BY 1) SELECT segment, CASE WHEN abs(r) >= 0.8 THEN 'very strong' WHEN abs(r) >= 0.6 THEN 'strong' WHEN abs(r) >= 0.4 THEN 'moderate' WHEN abs(r) >= 0.2 THEN 'weak' ELSE 'very weak' END || ' ' || CASE WHEN r > 0 THEN 'positive' WHEN r < 0 THEN 'negative' ELSE 'flat' END AS label FROM c")
+def strength(s, d):
+    g = entities(s, d).groupBy("segment").agg(stats.pearson(F.col("reviews").cast("double"), F.col("price")).alias("r"))
+    return g.select("segment", clean.strength(F.col("r")).alias("label"))
 
 
 @query("prj28_number_format", "SELECT p_partkey, translate(format('{:,.2f}', p_retailprice), ',.', '.,') AS shown FROM part")
