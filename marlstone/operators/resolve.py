@@ -53,3 +53,31 @@ def assigned_once(matches: DataFrame, owner: str, score: str, tie: str) -> DataF
 def alignment_label(a: Column, b: Column, support: Column) -> Column:
     """How far two sources agree on an aspect: both shares in per cent, and documents in support."""
     return F.when(a.isNull() | b.isNull(), "ONE_SOURCE").when(support < 5, "LOW_SUPPORT").when((a >= 25) & (b >= 25), "SHARED_STRONG").when((a >= 15) & (b >= 15), "SHARED").when(F.abs(a - b) >= 50, "DIVERGENT").otherwise("WEAK")
+
+
+def unique_only(df: DataFrame, key: str, out: str) -> DataFrame:
+    """out is key where no other row has it, else NULL: a shared key proves nothing."""
+    return df.withColumn(out, F.when(F.count(F.lit(1)).over(Window.partitionBy(key)) == 1, F.col(key)))
+
+
+def candidate_score(name: Column, area: Column, contact: Column) -> Column:
+    """0.70 name and 0.15 for an equal area and for an equal contact."""
+    return 0.70 * name + 0.15 * area.cast("int") + 0.15 * contact.cast("int")
+
+
+def classified_candidates(df: DataFrame, owner: str, score: str, tie: str, exact: Column, conflict: Column) -> DataFrame:
+    """Each owner's best candidate with its gap to the runner-up and its class; a conflict or a close runner-up is never accepted."""
+    by = Window.partitionBy(owner).orderBy(F.col(score).desc(), F.col(tie))
+    best = df.withColumns({"gap": F.col(score) - F.lead(score).over(by), "__rn": F.row_number().over(by), "__exact": exact, "__conflict": conflict}).filter("__rn = 1")
+    s = F.col(score)
+    label = F.when(F.col("__conflict"), "REVIEW_CONFLICT").when(F.col("gap") < 0.05, "AMBIGUOUS").when(F.col("__exact") & (s >= 0.90), "EXACT").when(s >= 0.75, "ACCEPTED").when(s >= 0.45, "REVIEW").otherwise("NONE")
+    return best.withColumn("status", label).drop("__rn", "__exact", "__conflict")
+
+
+def identity_status(bound: Column, name: Column) -> Column:
+    """A page bound to the entity's id needs a name similarity of 0.84, any other 0.92."""
+    return F.when(bound & (name >= 0.84), "VERIFIED_BY_ID").when(name >= 0.92, "VERIFIED_BY_NAME").otherwise("NOT_VERIFIED")
+
+
+def suggestion(similarity: Column) -> Column:
+    return F.when(similarity >= 0.90, "merge after a look").when(similarity >= 0.75, "compare contact data").when(similarity >= 0.55, "look again later").otherwise("leave apart")
