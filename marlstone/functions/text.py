@@ -157,3 +157,9 @@ def raw_clean(c: Column) -> Column:
     """unescaped, without tags, zero-width and control characters, blanks squeezed; NULL if nothing is left."""
     x = F.regexp_replace(F.regexp_replace(unescaped(c), "<[^>]*>", " "), ZERO_WIDTH, "")
     return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(x, "[\\p{Cc}]", " "), "\\s+", " ")), F.lit(""))
+
+
+def star_rating(c: Column) -> Column:
+    """'N/5' with ',' or '.' decimals as whole stars, halves to even; NULL outside 1 to 5."""
+    value = F.bround(F.replace(F.nullif(F.regexp_extract(F.trim(c), "^(\\d+(?:[.,]\\d+)?)\\s*/\\s*5$", 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("double"), 0)
+    return F.when(value.between(1, 5), value.cast("int"))

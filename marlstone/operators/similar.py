@@ -22,10 +22,8 @@ def cosine_pairs(weights: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     prefix = weights.join(rarity, "term").withColumn("left", left).filter(F.col("left") >= threshold * threshold - 1e-9)
     one, two = prefix.select("term", F.col(id_col).alias("a")), prefix.select("term", F.col(id_col).alias("b"))
     pairs = one.join(two, "term").filter("a < b").select("a", "b").distinct()
-    vector = weights.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v"))
-    both = pairs.join(vector.select(F.col(id_col).alias("a"), F.col("v").alias("x")), "a").join(vector.select(F.col(id_col).alias("b"), F.col("v").alias("y")), "b")
-    dot = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at("y", e["key"]), F.lit(0.0)))
-    return both.select("a", "b", dot.alias("cosine")).filter(F.col("cosine") >= threshold)
+    x, y = weights.select(F.col(id_col).alias("a"), "term", F.col("weight").alias("x")), weights.select(F.col(id_col).alias("b"), "term", F.col("weight").alias("y"))
+    return pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine")).filter(F.col("cosine") >= threshold)
 
 
 def alike_within(df: DataFrame, id_col: str, group: str, text: str, threshold: float = 0.94) -> DataFrame:

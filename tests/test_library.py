@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__
 from marlstone.functions import text as X
-from marlstone.operators import checks, clean, pages, resolve, stats, terms, within
+from marlstone.operators import checks, clean, pages, resolve, similar, stats, terms, within
 from marlstone.plans import registry
 from marlstone.sources import io
 from marlstone.streaming import incremental
@@ -147,6 +147,46 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, incremental.windowed_counts(events).collect()))
 
 
+def test_alike_within_loses_no_pair(spark):
+    import difflib
+    import random
+
+    rnd, rows = random.Random(3), []
+    for i in range(160):
+        base = list(f"{'abcdefgh'[i % 5] * 3} grand hotel of the {i % 7} northern coast and bay {'xyz'[i % 3]}")
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(base))
+            base[at : at + rnd.randint(0, 1)] = rnd.choice(["q", "", "zz"])
+        rows.append((i, "g" + str(i % 2), "".join(base)))
+    rows += [(900, "g0", None), (901, "g0", ""), (902, "g1", rows[1][2]), (903, "g1", "a"), (904, "g1", "a")]
+    got = {(r["a"], r["b"]) for r in similar.alike_within(spark.createDataFrame(rows, "i long, g string, t string"), "i", "g", "t").collect()}
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and x[2] and y[2] and difflib.SequenceMatcher(None, x[2], y[2]).ratio() >= 0.94}
+    assert got == want and len(want) > 20
+
+
+def test_cosine_pairs_are_all_pairs(spark):
+    import random
+
+    rnd = random.Random(5)
+    docs = [(i, rnd.sample("abcdefghijklmnop", 5)) for i in range(120)]
+    w = terms.tf_idf(spark.createDataFrame(docs, "doc_id long, ws array<string>"), F.col("ws"), min_df=1, max_df=1.0)
+    vec = {}
+    for r in w.collect():
+        vec.setdefault(r["doc_id"], {})[r["term"]] = r["weight"]
+    want = {(a, b) for a in vec for b in vec if a < b and sum(x * vec[b].get(k, 0) for k, x in vec[a].items()) >= 0.8}
+    got = {(r["a"], r["b"]) for r in similar.cosine_pairs(w).collect()}
+    assert got == want and len(want) > 5
+    assert similar.cosine_pairs(w.filter("false")).count() == 0
+
+
+def test_candidates_fail_closed(spark):
+    rows = [("k1", 1, 0.95, True, False), ("k1", 2, 0.93, False, False), ("k2", 1, 0.95, True, False), ("k3", 1, 0.99, True, True), ("k4", 1, 0.8, False, False), ("k5", 1, 0.5, False, False), ("k6", 1, 0.1, False, False)]
+    df = spark.createDataFrame(rows, "k string, c int, score double, exact boolean, conflict boolean")
+    got = {r["k"]: r["status"] for r in resolve.classified_candidates(df, "k", "score", "c", F.col("exact"), F.col("conflict")).collect()}
+    assert got == {"k1": "AMBIGUOUS", "k2": "EXACT", "k3": "REVIEW_CONFLICT", "k4": "ACCEPTED", "k5": "REVIEW", "k6": "NONE"}
+    assert text(spark, X.star_rating, "4,5/5", "5/5", "0/5", "6/5", "x", None) == [4, 5, None, None, None, None]
+
+
 def test_filters_reach_the_scan(spark):
     plan = registry.queries()["jn11_semi"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "EqualTo(o_orderstatus,P)" in plan and "o_totalprice" not in plan
