@@ -20,8 +20,11 @@ def cosine_pairs(weights: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     by = Window.partitionBy(id_col).orderBy("df", "term")
     left = 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     prefix = weights.join(rarity, "term").withColumn("left", left).filter(F.col("left") >= threshold * threshold - 1e-9)
-    one, two = prefix.select("term", F.col(id_col).alias("a")), prefix.select("term", F.col(id_col).alias("b"))
-    pairs = one.join(two, "term").filter("a < b").select("a", "b").distinct()
+    one = prefix.select("term", F.col(id_col).alias("a"), F.col("left").alias("la"))
+    two = prefix.select("term", F.col(id_col).alias("b"), F.col("left").alias("lb"))
+    # At the first shared term, what is left of both vectors bounds their product.
+    near = (F.col("a") < F.col("b")) & (F.col("la") * F.col("lb") >= threshold * threshold - 1e-9)
+    pairs = one.join(two, "term").filter(near).select("a", "b").distinct()
     x, y = weights.select(F.col(id_col).alias("a"), "term", F.col("weight").alias("x")), weights.select(F.col(id_col).alias("b"), "term", F.col("weight").alias("y"))
     return pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine")).filter(F.col("cosine") >= threshold)
 
