@@ -338,3 +338,34 @@ def chunks(s, d):
 def slugs(s, d):
     url = F.col("url")
     return table(s, d, "pages").select("page_id", F.regexp_extract(url, "^https?://[^/]+/([^/?#]*)", 1).alias("slug"), url.rlike("page=\\d+").alias("paged"), (F.size(F.regexp_extract_all(url, F.lit("/"), F.lit(0))) - 2).cast("long").alias("depth"))
+
+
+@query("er02_match_class", f"WITH {CAND} SELECT k, c, CASE WHEN sim >= 0.95 AND area THEN 'HIGH_CONFIDENCE' WHEN score >= 0.55 THEN 'REVIEW_REQUIRED' ELSE 'UNMATCHED' END AS status FROM sc")
+def match_class(s, d):
+    """Without an equal phone only a near-identical name in the same area is accepted."""
+    status = resolve.match_class(F.col("score"), F.col("sim"), F.lit(None).cast("boolean"), F.col("area"))
+    return _candidates(s, d).select("k", "c", status.alias("status"))
+
+
+@query("tm11_driver_score", AL + "SELECT aspect, round(100.0 * (avg(matched::INT) FILTER (rating_group = 'HIGH') - avg(matched::INT) FILTER (rating_group = 'LOW')), 6) AS score FROM lng GROUP BY 1")
+def driver_score(s, d):
+    rows = terms.aspect_rows(aspect_docs(s, d), list(ASPECTS), ["doc_id", "rating_group"])
+    share = lambda g: F.avg(F.when(F.col("rating_group") == g, F.col("matched").cast("int")))
+    return rows.groupBy("aspect").agg(r6(100.0 * (share("HIGH") - share("LOW"))).alias("score"))
+
+
+@query("jn25_matrix_join", f"WITH {ASP}, m AS (SELECT source, count(*) FILTER (motion) AS motion, count(*) FILTER (place) AS place FROM asp GROUP BY 1), e AS (SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1) SELECT e.source, n, chars, motion, place FROM e JOIN m ON m.source = e.source")
+def matrix_join(s, d):
+    """Both sides are aggregates by source, so the join meets one row a key."""
+    m = aspect_docs(s, d).groupBy("source").agg(F.count_if("motion").alias("motion"), F.count_if("place").alias("place"))
+    e = table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return checks.joined_once(e, m, ["source"], "inner")
+
+
+@query("ag29_date_patterns", "WITH x AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN '3 gün önce' ELSE 'bugün' END AS w FROM orders) SELECT CASE WHEN regexp_matches(w, '^\\d{4}-') THEN 'ISO' WHEN contains(w, 'önce') THEN 'RELATIVE' ELSE 'TODAY' END AS pattern, count(*) AS n_rows, count(*) FILTER (regexp_matches(w, '^\\d{4}-')) AS parsed, min(w) AS example FROM x GROUP BY 1")
+def date_patterns(s, d):
+    """Rows, rows read as a date, and the least example of each form of written dates."""
+    k = F.col("o_orderkey") % 3
+    w = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, "3 gün önce").otherwise("bugün")
+    x = table(s, d, "orders").select(w.alias("w"))
+    return x.groupBy(X.date_pattern(F.col("w")).alias("pattern")).agg(F.count(F.lit(1)).alias("n_rows"), F.count(clean.to_iso_date(F.col("w"))).alias("parsed"), F.min("w").alias("example"))
