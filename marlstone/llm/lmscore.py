@@ -1,14 +1,14 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Training counts every token of the corpus. Tokens that are at least LEAST[0] of the corpus, and the longer n-grams
-made of kept ones that are at least LEAST[1] of it, become states and arcs: an arc carries the absolute-discounted,
-interpolated log-probability of its word after its state, and a state's failure arc leads to the longest
-shorter context with the mass that its arcs leave. Below all lies the add-half unigram distribution over the whole
-vocabulary and one unknown token, so every state's distribution sums to one. By their thresholds, the arcs of one
-order are at most 1 / LEAST, whatever the corpus; the unigram counts grow with it. Up to BROADCAST_WORDS of
-these are broadcast; beyond, documents are dealt in blocks and each block is sent the counts of its own words.
-
-A text is scored in one left-to-right traversal, for many texts at once: a lane carries its state, follows the arc of
+Training counts every n-gram of the corpus up to ORDER; those that occur twice, whatever the size of the corpus, are
+kept as arcs: an arc carries the absolute-discounted, interpolated log-probability of its word after its state, and a
+state's failure arc leads to the longest shorter context with the mass that its arcs leave. Below all lies the add-half
+unigram distribution over the whole vocabulary and one unknown token, so every state's distribution sums to one. Up to
+AUTOMATON_TOKENS the automaton is built on the driver and broadcast; beyond, documents are dealt in blocks, n-grams
+in parts by context, and each block is sent the counts and failure weights of its own n-grams, from which it
+computes the same scores.
+
+By the automaton a text is scored in one left-to-right traversal, for many texts at once: a lane carries its state, follows the arc of
 the next token or falls along failure arcs until there is one, and adds up what it passes. Long texts are cut in
 lanes that first read the last tokens before the cut, which determine the state.
 """
@@ -22,17 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .apply import annotated, gathered
+from .apply import annotated, gathered, trimmed
 from .store import dropped, saved, shipped
 from .toxicity import fold
-from .words import END, buffers, word_table
+from .words import END, buffers, combine, word_table
 
 ORDER, DISCOUNT = 3, 0.75
-#: Relative frequencies from which tokens, and longer n-grams, enter the automaton; both occur twice at least.
-LEAST = (1e-4, 2e-6)
-BROADCAST_WORDS = 8_000_000
+#: Relative frequencies from which tokens, and longer n-grams, enter the model; both occur twice at least, which is all that is asked by default.
+LEAST = (0.0, 0.0)
+#: Training tokens up to which one automaton is built and broadcast; it has at most half as many arcs an order.
+BROADCAST_WORDS, AUTOMATON_TOKENS = 8_000_000, 2_000_000
+#: The word before a text's first, and the relative frequency from which contexts of such words are dealt by n-gram.
+START, HOT = np.uint64(0xA4093822299F31D0), 2e-3
 FOLDS, HELD = 5, 1
-BLOCK_BYTES, LANE = 24 << 20, 512
+#: A block's n-grams take some twenty times the memory of its text.
+BLOCK_BYTES, LANE = 8 << 20, 512
 
 
 @dataclass
@@ -224,10 +228,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, least: tuple[float, float] =
     rows = docs.select("doc_id", held.alias("held_out"), "text")
     train = rows.filter(~F.col("held_out")).select("text")
     counts = saved(count_tokens(train))
-    model = build(train, counts, order, least)
+    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     send = docs.sparkSession.sparkContext.broadcast
-    automaton = send(model)
-    if model.kinds <= broadcast_words:
+    if total <= min(broadcast_words, AUTOMATON_TOKENS):
+        automaton = send(build(train, counts, order, least))
         table = counts.toArrow()
         keys = table.column("h").to_numpy().view(np.uint64)
         by = np.argsort(keys)
@@ -240,37 +244,205 @@ def lm_scores(docs: DataFrame, order: int = ORDER, least: tuple[float, float] =
             return lambda text: _score(m, text, look)
 
         return annotated(rows, "text", ["doc_id", "held_out"], FIELDS, make)
-    return _by_blocks(rows, counts, automaton)
+    return _by_blocks(rows, counts, total, kinds, order, least)
 
 
-def _by_blocks(rows: DataFrame, counts: DataFrame, automaton) -> DataFrame:
-    """Texts are dealt in blocks of about BLOCK_BYTES; each block's distinct tokens are joined with their counts, and both meet in one task."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    dealt = saved(rows.repartition(min(blocks, 20_000), "block").sortWithinPartitions("block"))
+def _chains(hashes: np.ndarray, offsets: np.ndarray, order: int, among: list[np.ndarray | None]):
+    """For each order: the context and n-gram that end at each token, where there is one, and for each sorted table of among whether it has all words of the context (START counts as one) and of the n-gram."""
+    begins = np.zeros(len(hashes), bool)
+    begins[offsets[:-1]] = True
+    has = [np.ones(len(hashes), bool) if t is None else index_of(t, hashes) >= 0 for t in among]
+    gram, valid, whole = hashes, np.ones(len(hashes), bool), has
+    yield hashes, hashes, valid, [(h, h) for h in has]
+    for k in range(2, order + 1):
+        ctx, inner = np.roll(gram, 1), [np.roll(w, 1) for w in whole]
+        if k == 2:
+            ctx[begins] = START
+            inner = [w | begins for w in inner]
+        else:
+            valid = np.roll(valid, 1) & ~begins
+        gram, whole = combine(ctx, hashes), [w & h for w, h in zip(inner, has, strict=True)]
+        yield ctx, gram, valid, list(zip(inner, whole, strict=True))
 
-    def make():
-        def work(text, block):
-            hashes, offsets = tokens_of(text)
-            owner = np.repeat(np.asarray(block), np.diff(offsets))
-            each = np.unique(np.stack([owner.astype(np.uint64), hashes], 1), axis=0)
-            return {"block": each[:, 0].astype(np.int32), "h": np.ascontiguousarray(each[:, 1]).view(np.int64)}
 
-        return work
+@dataclass
+class Request:
+    """The distinct n-grams of a block, by part and context: keys, training counts, parts; where runs of one context begin, their contexts and whether these are hot; at: the tokens that end an n-gram, place: the n-gram of each."""
+
+    keys: np.ndarray
+    count: np.ndarray
+    part: np.ndarray
+    run: np.ndarray
+    ctx: np.ndarray
+    hot: np.ndarray
+    at: np.ndarray
+    place: np.ndarray
+
 
-    asked = gathered(dealt, "text", ["block"], "block int, h long", make).distinct()
-    told = asked.join(counts, "h")
-    shipped(rows.sparkSession)
+def _request(k: int, chain: tuple, found: np.ndarray | None, weight: np.ndarray, parts: int) -> Request:
+    """The Request of order k. From order 3, found has how often the n-grams of order k - 1 are kept: without a kept context nothing is asked, and n-grams without a kept end, which can't be kept, are asked as one for each context (named like it), for its weight alone; all of these travel as 0, which packs well.
+
+    It depends on the block's texts, not on their order, so that answers can be laid beside it.
+    """
+    ctx, gram, valid, ((salted, _), (_, whole)) = chain
+    if k > 1:
+        weight = weight & whole
+    if k > 2:
+        valid = valid & (np.roll(found, 1) > 0)
+        gram, weight = np.where(found > 0, gram, ctx), weight & (found > 0)
+    at = np.flatnonzero(valid)
+    keys, first, place = np.unique(gram[at], return_index=True, return_inverse=True)
+    count = np.bincount(place, weight[at], len(keys)).astype(np.int64)
+    own, salted = ctx[at][first], salted[at][first] & (k > 1)
+    part = (np.where(salted, keys, own) % np.uint64(parts)).astype(np.int64)
+    bits = np.uint64(max(1, (parts - 1).bit_length()))
+    by = np.argsort((part.astype(np.uint64) << (np.uint64(64) - bits)) | (own >> bits), kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    own, part = own[by], part[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (own[1:] != own[:-1]) | (part[1:] != part[:-1])
+    run = np.flatnonzero(new)
+    return Request(keys[by], count[by], part, run, own[run], salted[by][run], at, rank[place])
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0)).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+ASKED = "part int, k int, block int, n long, keys binary, counts binary, ctx binary, sizes binary, hot binary"
+TOLD = "block int, k int, part int, n long, counts binary, spent binary"
+
+
+def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order: int, least: tuple[float, float]) -> DataFrame:
+    """The same model without an automaton. Texts are dealt in blocks of about BLOCK_BYTES, n-grams in as many parts by context.
+
+    Each block sends each part its distinct n-grams with their counts in training texts; the part sums them, and sends
+    back the counts of those that are kept, and what the kept ones of each context take. Contexts of HOT words only are
+    few, but can have very many n-grams: these are dealt by themselves, and their contexts' sums are broadcast. Orders 1
+    and 2 are asked together, each longer one when the answers of the one before are there.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    floor, word_floor = max(2, least[1] * total), max(2, least[0] * total)
+
+    def words_from(least_count):
+        return np.array(sorted(int(r["h"]) & (2**64 - 1) for r in counts.filter(F.col("c") >= least_count).select("h").collect()), np.uint64)
+
+    # Words of n-grams that are frequent enough are themselves, unless more is asked of words.
+    sent = spark.sparkContext.broadcast((words_from(max(2, HOT * total)), words_from(word_floor) if word_floor > floor else None))
+    dropped(counts)
+    shipped(spark)
+
+    def work(left: pa.Table, right: pa.Table | None, done: int, upto: int, names: np.ndarray, taken: np.ndarray):
+        """The Requests of orders above done to upto, and the columns of the scores by orders up to done, whose answers right has."""
+        hashes, offsets = tokens_of(left.column("text").combine_chunks())
+        weight = np.repeat(~left.column("held_out").to_numpy(), np.diff(offsets))
+        asked, found, low, chance, known, often = [], None, None, None, None, None
+        if right is not None:
+            right = right.sort_by([("k", "ascending"), ("part", "ascending")])
+            ks = right.column("k").to_numpy()
+        for k, chain in enumerate(_chains(hashes, offsets, upto, list(sent.value)), 1):
+            r = _request(k, chain, found, weight, blocks)
+            if k > done:
+                asked.append((k, r))
+                continue
+            mine = right.filter(pa.array(ks == k))
+            c = np.concatenate([_unpacked(x, m) for x, m in zip(mine.column("counts").to_pylist(), mine.column("n").to_pylist(), strict=True)] or [np.zeros(0, np.int64)])
+            found = np.zeros(len(hashes), np.int64)
+            found[r.at] = c[r.place]
+            if k == 1:
+                known, low = found, (found + 0.5) / (total + 0.5 * (kinds + 1))
+                chance, often = low.copy(), np.roll(found, 1)
+                often[offsets[:-1]] = found[offsets[1:] - 1]
+                continue
+            spent = np.frombuffer(b"".join(mine.column("spent").to_pylist())).copy()
+            spent[r.hot] = taken[index_of(names, r.ctx[r.hot])]
+            spent = np.repeat(spent, np.diff(np.append(r.run, len(r.keys))))[r.place]
+            often = np.maximum(often[r.at], 1)
+            chance[r.at] = np.maximum(found[r.at] - DISCOUNT, 0) / often + np.clip(1 - spent / often, 1e-12, 1.0) * chance[r.at]
+            often = np.roll(found, 1)
+        if done < upto:
+            return asked, []
+        row = np.repeat(np.arange(len(left)), np.diff(offsets))
+        sums = lambda v: np.bincount(row, v, len(left))
+        return [], [np.diff(offsets), sums(known > 0).astype(np.int64), np.full(len(left), total, np.int64), sums(np.log10(low)), sums(np.log10(chance))]
+
+    def asks(left: pa.Table, right: pa.Table | None, done: int, upto: int, hot) -> pa.Table:
+        out = []
+        block = left.column("block")[0].as_py()
+        for k, r in work(left, right, done, upto, *hot.value)[0]:
+            cut = np.flatnonzero(np.diff(r.part, prepend=-1))
+            runs = np.searchsorted(r.run, np.append(cut, len(r.keys)))
+            sizes = np.diff(np.append(r.run, len(r.keys)))
+            keys = np.where(r.keys == np.repeat(r.ctx, sizes), np.uint64(0), r.keys) if k > 2 else r.keys
+            for i, (a, b) in enumerate(zip(cut, np.append(cut[1:], len(r.keys)), strict=True)):
+                u, v = runs[i], runs[i + 1]
+                out.append((int(r.part[a]), k, block, int(b - a), keys[a:b].tobytes(), _packed(r.count[a:b]), r.ctx[u:v].tobytes(), _packed(sizes[u:v]), r.hot[u:v].tobytes()))
+        trimmed()
+        return _rows(out, ASKED)
+
+    def first_asks(upto: int, hot):
+        return lambda left: asks(left, None, 0, upto, hot)
+
+    def next_asks(done: int, upto: int, hot):
+        return lambda left, right: asks(left, right, done, upto, hot)
+
+    def answer(table: pa.Table) -> pa.Table:
+        part, k = table.column("part")[0].as_py(), table.column("k")[0].as_py()
+        joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        n = table.column("n").to_numpy()
+        runs = np.array([len(x) for x in table.column("hot").to_pylist()])
+        count = np.concatenate([_unpacked(x, m) for x, m in zip(table.column("counts").to_pylist(), n, strict=True)])
+        sizes = np.concatenate([_unpacked(x, m) for x, m in zip(table.column("sizes").to_pylist(), runs, strict=True)])
+        keys, first, place = np.unique(joined("keys", np.uint64), return_index=True, return_inverse=True)
+        c = np.bincount(place, count, len(keys)).astype(np.int64)
+        ctx, at, run = np.unique(joined("ctx", np.uint64), return_index=True, return_inverse=True)
+        if k > 1:
+            c[c < floor] = 0
+        spent = np.bincount(np.repeat(run, sizes)[first], np.where(c > 0, c - DISCOUNT, 0) * (k > 1), len(ctx))
+        hot = joined("hot", bool)[at]
+        a, u = np.cumsum(n) - n, np.cumsum(runs) - runs
+        out = [(b, k, part, int(m), _packed(c[place[i : i + m]]), spent[run[j : j + w]].tobytes()) for b, m, w, i, j in zip(table.column("block").to_pylist(), n, runs, a, u, strict=True)]
+        return _rows([*out, (-1, k, part, int(hot.sum()), ctx[hot].tobytes(), spent[hot].tobytes())], TOLD)
+
+    told, sums, done = None, {}, 0
+    for upto in range(min(2, order), order + 1):
+        names = np.array(sorted(sums), np.uint64)
+        hot = spark.sparkContext.broadcast((names, np.array([sums[int(h)] for h in names], np.float64)))
+        dealt = rows.groupBy("block")
+        if told is None:
+            asked = dealt.applyInArrow(first_asks(upto, hot), ASKED)
+        else:
+            asked = dealt.cogroup(told.filter("block >= 0").groupBy("block")).applyInArrow(next_asks(done, upto, hot), ASKED)
+        new = saved(asked.groupBy("part", "k").applyInArrow(answer, TOLD))
+        for r in new.filter("block = -1 and n > 0").toLocalIterator():
+            for h, x in zip(np.frombuffer(r["counts"], np.uint64).tolist(), np.frombuffer(r["spent"]).tolist(), strict=True):
+                sums[h] = sums.get(h, 0.0) + x
+        told, done = new if told is None else told.unionByName(new), upto
+        # What was shuffled for this round isn't read again; Spark deletes it when the plan is collected.
+        del asked
+        spark.sparkContext._jvm.System.gc()
+    names = np.array(sorted(sums), np.uint64)
+    hot = spark.sparkContext.broadcast((names, np.array([sums[int(h)] for h in names], np.float64)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = automaton.value
-        k = right.column("h").to_numpy().view(np.uint64)
-        by = np.argsort(k)
-        k, c = k[by], right.column("c").to_numpy()[by]
-        look = lambda h: np.where((at := index_of(k, h)) >= 0, c[at], 0) if len(k) else np.zeros(len(h), np.int64)
-        out = _score(m, left.column("text").combine_chunks(), look)
+        out = work(left, right, order, order, *hot.value)[1]
+        trimmed()
         return pa.table([left.column("doc_id"), left.column("held_out"), *out], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, {FIELDS}")
+    return rows.groupBy("block").cogroup(told.filter("block >= 0").groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, {FIELDS}")
+
+
+def _rows(rows: list[tuple], fields: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [f.split() for f in fields.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(names)], names=[n for n, _ in names])

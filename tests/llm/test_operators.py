@@ -209,6 +209,45 @@ def test_lm_scores(spark, odd, none):
     assert lmscore.lm_scores(none).collect() == [] and lmscore.lm_scores(spark.createDataFrame([(2, "a b")], "doc_id long, text string")).first()["score"] <= 0
 
 
+def brute_scores(rows):
+    toks = lambda t: re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["</s>"]
+    count = Counter()
+    for i, t in rows:
+        w = ["<s>", *toks(t)]
+        count.update(tuple(w[a:b]) for b in range(2, len(w) + 1) for a in range(max(0, b - 3), b) if crc(i, 5) != 1)
+    words = {g: c for g, c in count.items() if len(g) == 1}
+    count["<s>",] = words["</s>",]
+    spent, n, v = Counter(), sum(words.values()), len(words)
+    for g, c in count.items():
+        if len(g) > 1 and c >= 2:
+            spent[g[:-1]] += c - 0.75
+    for _, t in rows:
+        w, out = ["<s>", *toks(t)], 0
+        for b in range(2, len(w) + 1):
+            p = (count[w[b - 1],] + 0.5) / (n + 0.5 * (v + 1))
+            for a in range(b - 2, max(0, b - 3) - 1, -1):
+                ctx, c = tuple(w[a : b - 1]), count[tuple(w[a:b])]
+                often = max(count[ctx], 1)
+                p = (c - 0.75 if c >= 2 else 0) / often + min(1, max(1e-12, 1 - spent[ctx] / often)) * p
+            out += math.log10(p)
+        yield out
+
+
+@pytest.mark.parametrize("hot", [2e-3, 2.0])
+@pytest.mark.parametrize("tokens", [0, 2_000_000])
+def test_every_repeated_ngram_counts(spark, monkeypatch, tokens, hot):
+    # "rare1 rare2 rare3" is two of 60,000 tokens and more, below what the thresholds by share took.
+    r = random.Random(8)
+    texts = [" ".join(r.choice(WORDS) for _ in range(150)) for _ in range(600)] + ["rare1 rare2 rare3"] * 8 + ["", None, "w1 w1 w1"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(lmscore, "HOT", hot)
+    got = {x["doc_id"]: x for x in lmscore.lm_scores(docs, broadcast_words=tokens).collect()}
+    for (i, _), want in zip(rows, brute_scores(rows), strict=True):
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6), i
+
+
 def test_automaton_sums_to_one(spark):
     r = random.Random(2)
     texts = [" ".join(r.choice(WORDS[:6]) for _ in range(30)) for _ in range(60)]
