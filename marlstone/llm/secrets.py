@@ -4,8 +4,9 @@ Candidates are runs of at least 20 characters of encoded text. Each is held agai
 explains it (hexadecimal, base32, base36, base62, base64) by three tests of randomness: chi-squared uniformity of the
 alphabet, runs above and below its middle, and correlation of neighbours. The worst of the three standard scores is
 small for random strings of any length and grows with the length for words. False discoveries are controlled by length:
-runs of letters alone serve as decoys, and in each length class the largest score stands up to which decoys are
-at most a given rate of the mixed candidates. Counts by class and score, a table of fixed size, are all that is gathered.
+runs with letters and without digits serve as decoys, and in each length class the largest score stands up to which
+decoys are at most a given rate of the mixed candidates. Runs of digits alone are neither: they are often random
+(order numbers, card-like ids) without being words, and there are no decoys to hold them against. Counts by class and score, a table of fixed size, are all that is gathered.
 """
 
 from __future__ import annotations
@@ -111,9 +112,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rat
     free = F.filter(F.col("random"), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     size = lambda s: F.length(s["body"])
     cls = lambda s: reduce(lambda a, c: a + F.when(size(s) >= c, 1).otherwise(0), CLASSES[1:], F.lit(0))
-    scored = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), cls(s).alias("cls"), F.least(F.lit(TOP), F.greatest(F.lit(0), F.floor(randomness(s["body"]) * STEP))).cast("int").alias("bin"), (s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")).alias("mixed")))
+    scored = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), cls(s).alias("cls"), F.least(F.lit(TOP), F.greatest(F.lit(0), F.floor(randomness(s["body"]) * STEP))).cast("int").alias("bin"), (s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")).alias("mixed"), (~s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")).alias("decoy")))
     found = saved(found.select("doc_id", *(f"n_{b[0]}" for b in BASE), "base", scored.alias("random")))
-    bins = found.select(F.explode("random").alias("r")).groupBy("r.cls", "r.bin").agg(F.count_if("r.mixed").alias("mixed"), F.count_if(~F.col("r.mixed")).alias("decoys")).collect()
+    bins = found.select(F.explode("random").alias("r")).groupBy("r.cls", "r.bin").agg(F.count_if("r.mixed").alias("mixed"), F.count_if("r.decoy").alias("decoys")).collect()
     cuts = cut_scores([(r["cls"], r["bin"], r["mixed"], r["decoys"]) for r in bins], rate, limit)
     upto = F.array(*(F.lit(c) for c in cuts))
     added = F.transform(F.filter(F.col("random"), lambda s: s["mixed"] & (s["bin"] <= F.element_at(upto, s["cls"] + 1))), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
@@ -121,7 +122,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rat
 
 
 def cut_scores(bins: list[tuple[int, int, int, int]], rate: float = RATE, limit: float = LIMIT) -> list[int]:
-    """For each length class the largest score (in steps) up to which decoys, with one more, are at most rate of the mixed candidates; -1 where there is none."""
+    """For each length class the largest score (in steps) up to which decoys, with one more from 1 / rate candidates on, are at most rate of the mixed candidates; -1 where there is none."""
     out = []
     for c in range(len(CLASSES)):
         best, mixed, decoys = -1, 0, 0

@@ -187,6 +187,15 @@ def test_secrets(spark, odd, none):
     assert secrets.secrets(odd).count() == len(ODD) and secrets.secrets(none).collect() == []
 
 
+def test_digit_runs_hide_no_secrets(spark):
+    r = random.Random(4)
+    key = lambda n, s: "".join(r.choice(s) for _ in range(n))
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [f"word {key(22, b62)} end" for _ in range(200)] + [f"order {key(22, '0123456789')} sent" for _ in range(2000)] + ["interconnectednessandmore"[:22]] * 5
+    got = {x["doc_id"]: x["n_random"] for x in secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(200)) >= 180 and sum(got[i] for i in range(200, len(texts))) == 0
+
+
 def test_lm_scores(spark, odd, none):
     r = random.Random(11)
     rows = [(2000 + i, " ".join(r.choice(WORDS[:12]) if r.random() < 0.7 else r.choice(WORDS) for _ in range(r.randint(0, 40))), "", "", 0, "", "") for i in range(400)]
