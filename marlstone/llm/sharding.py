@@ -12,6 +12,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .apply import quoted, whole_row
+
 #: A prime; at least about 100 times the number of shards keeps shares within a per cent.
 SLOTS = 65537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -46,8 +48,12 @@ def sharded(docs: DataFrame, shards: tuple[str, ...] = SHARDS, key: tuple[str, .
     """docs with the slot and the shard of each row.
 
     The key is the id with the text, so that rows without an id and copies under other ids spread; rows equal in both
-    stay together. Null is a value like any other. Columns that are named like the new ones are replaced.
+    stay together. Null is a value like any other, and so is the empty text; of a long text all is hashed. An empty
+    table gives an empty result. Columns that are named like the new ones, in any case of letters, are replaced, unless
+    they are of the key, which is read before; the others stay, whatever their names.
     """
     rows = [(i, shards[k]) for i, k in enumerate(lookup_table(shards, slots))]
-    table = docs.sparkSession.createDataFrame(rows, f"{slot_col} int, {shard_col} string")
-    return docs.drop(slot_col, shard_col).withColumn(slot_col, slot_of(*(F.col(c) for c in key), slots=slots)).join(F.broadcast(table), slot_col, "left").select(*[c for c in docs.columns if c not in (slot_col, shard_col)], slot_col, shard_col)
+    table = docs.sparkSession.createDataFrame(rows, "slot int, shard string")
+    dealt = docs.select(whole_row(docs), slot_of(*map(quoted, key), slots=slots).alias("slot")).join(F.broadcast(table), "slot", "left")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in (slot_col.lower(), shard_col.lower())]
+    return dealt.select(*kept, F.col("slot").alias(slot_col), F.col("shard").alias(shard_col))
