@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import gbdt
-from .apply import annotated, gathered
+from .apply import annotated, gathered, quoted, whole_row
 from .store import dropped, saved
 from .words import MARKS, buffers, word_hash, words
 
@@ -68,6 +69,8 @@ def features(text: pa.Array, lexicon: list[tuple[np.ndarray, np.ndarray]]) -> np
     n = len(offsets) - 1
     second = np.sort(np.array([word_hash(w) for w in SECOND]))
     total, hit, head, best, besth, near, you, shout = (np.zeros(n) for _ in range(8))
+    # Numbers of marked words and of the second person's, with their rows, over all pieces: pairs may lie across a cut.
+    marked, person, done = [], [], 0
     for starts, sizes, rows, hashes, *heads in words(data, offsets, HEADS, MARKS):
         count = lambda mask: np.bincount(rows[mask], minlength=n)  # noqa: B023, E731
         w = _weights(lexicon[0], hashes)
@@ -79,22 +82,29 @@ def features(text: pa.Array, lexicon: list[tuple[np.ndarray, np.ndarray]]) -> np
         you += count(is_you)
         np.maximum.at(best, rows[w > 0], w[w > 0])
         np.maximum.at(besth, rows[h > 0], h[h > 0])
-        at, yous = np.flatnonzero((w > 0) | (h > 0)), np.flatnonzero(is_you)
-        if len(at) and len(yous):
-            k = np.searchsorted(yous, at)
-            left, right = yous[np.maximum(k - 1, 0)], yous[np.minimum(k, len(yous) - 1)]
-            close = ((np.abs(at - left) <= NEAR) & (rows[left] == rows[at])) | ((np.abs(right - at) <= NEAR) & (rows[right] == rows[at]))
-            near += np.bincount(rows[at[close]], minlength=n)
+        for found, mask in ((marked, (w > 0) | (h > 0)), (person, is_you)):
+            at = np.flatnonzero(mask)
+            found.append(np.stack([at + done, rows[at]]))
+        done += len(rows)
         upper = np.concatenate([[0], np.cumsum((data[starts[0] : starts[-1] + sizes[-1]] >= 65) & (data[starts[0] : starts[-1] + sizes[-1]] <= 90))])
         caps = upper[starts - starts[0] + sizes] - upper[starts - starts[0]]
         shout += count((caps == sizes) & (sizes > 1))
+    (at, row), (yous, of) = (np.concatenate([np.zeros((2, 0), np.int64), *found], 1) for found in (marked, person))
+    if len(at) and len(yous):
+        k = np.searchsorted(yous, at)
+        left, right = np.maximum(k - 1, 0), np.minimum(k, len(yous) - 1)
+        close = ((np.abs(at - yous[left]) <= NEAR) & (of[left] == row)) | ((np.abs(yous[right] - at) <= NEAR) & (of[right] == row))
+        near += np.bincount(row[close], minlength=n)
     low = data | 32
     letter = ((low >= 97) & (low <= 122)) | (data >= 128)
     per = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets]).astype(float)
+    begins = np.zeros(len(data) + 2, bool)
+    begins[offsets] = True
     inner = np.zeros(len(data), bool)
     inner[1:-1] = letter[:-2] & letter[2:] & ~letter[1:-1] & ~np.isin(data[1:-1], np.frombuffer(b" \t\n\r\x0b\x0c'-.,/:", np.uint8))
+    inner &= ~begins[: len(data)] & ~begins[1 : len(data) + 1]
     drawn = np.zeros(len(data), bool)
-    drawn[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
+    drawn[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & ~begins[1 : len(data) - 1] & ~begins[2 : len(data)]
     size, letters = np.maximum(per(np.ones(len(data), bool)), 1), np.maximum(per(letter), 1)
     t = np.maximum(total, 1)
     columns = [np.log1p(total), hit / t, np.log1p(hit), best, head / t, np.log1p(head), besth, near / np.maximum(hit + head, 1), near, you / t]
@@ -102,22 +112,29 @@ def features(text: pa.Array, lexicon: list[tuple[np.ndarray, np.ndarray]]) -> np
     return np.stack(columns, 1)
 
 
-def sample(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, size: int = SAMPLE) -> tuple[DataFrame, dict[int, float]] | None:
-    """At most size labelled texts of each class, drawn by hash among ids of the training folds, and what each row of a class stands for. None without both classes."""
-    spark = docs.sparkSession
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(fold(F.col("doc_id"), folds) != 0)
+def sample(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, size: int = SAMPLE) -> tuple[DataFrame | None, dict[int, int], dict[int, float]]:
+    """At most size labelled texts of each class, drawn by hash among ids of the training folds; how many labels each class has; and what each row of a class stands for. None instead of texts without both classes.
+
+    A label counts once however often it is repeated, and only where a document with a text has its id; an id that is
+    labelled both ways has one label of each.
+    """
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    usable = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
+    usable = usable.filter(fold(F.col("doc_id"), folds) != 0).distinct().join(docs.filter("text is not null").select("doc_id"), "doc_id", "left_semi")
+    span = 1 << 40
+    usable = saved(usable.withColumn("u", F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(span))))
     counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     if set(counts) != {0, 1}:
-        return None
-    span = 1 << 40
-    usable = usable.withColumn("u", F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(span)))
+        dropped(usable)
+        return None, counts, {}
     upto = F.when(F.col("y") == 1, F.lit(int(span * min(1, 1.3 * size / counts[1])))).otherwise(F.lit(int(span * min(1, 1.3 * size / counts[0]))))
-    drawn = sorted(usable.filter(F.col("u") < upto).distinct().collect(), key=lambda r: (r["u"], r["doc_id"], r["y"]))
+    drawn = sorted(usable.filter(F.col("u") < upto).collect(), key=lambda r: (r["u"], r["doc_id"], r["y"]))
+    dropped(usable)
     kept = [r for y in (0, 1) for r in [x for x in drawn if x["y"] == y][:size]]
-    table = spark.createDataFrame([(r["doc_id"], r["y"], r["u"]) for r in kept], "doc_id long, y int, u long")
+    table = spark.createDataFrame([(r["doc_id"], r["y"], r["u"]) for r in kept], T.StructType([T.StructField("doc_id", kind), T.StructField("y", T.IntegerType()), T.StructField("u", T.LongType())]))
     texts = docs.filter("text is not null").join(F.broadcast(table), "doc_id").groupBy("doc_id", "y", "u").agg(F.min("text").alias("text"))
     share = {y: counts[y] / max(1, sum(r["y"] == y for r in kept)) for y in (0, 1)}
-    return saved(texts.withColumn("part", F.when(F.col("u") % 20 < 8, 0).when(F.col("u") % 20 < 16, 1).otherwise(2))), share
+    return saved(texts.withColumn("part", F.when(F.col("u") % 20 < 8, 0).when(F.col("u") % 20 < 16, 1).otherwise(2))), counts, share
 
 
 def learn_lexicon(part: DataFrame, least: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -155,12 +172,11 @@ def learn_lexicon(part: DataFrame, least: int = 5) -> list[tuple[np.ndarray, np.
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, size: int = SAMPLE) -> Model:
-    """The model of docs (doc_id, text) and labels (doc_id, toxic); without labels of both classes it gives every text the prior."""
-    drawn = sample(docs, labels, folds, size)
-    if drawn is None:
-        rate = labels.filter(fold(F.col("doc_id"), folds) != 0).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-        return Model([], prior=float(rate or 0.0))
-    texts, share = drawn
+    """The model of docs (doc_id, text) and labels (doc_id, toxic). Where the trees or their calibration would see one class only, it gives every text the mean of the labels."""
+    texts, counts, share = sample(docs, labels, folds, size)
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    if texts is None:
+        return Model([], prior=prior)
     lexicon = learn_lexicon(texts.filter("part = 0"))
 
     def make():
@@ -171,16 +187,16 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, size: int = SA
     rows = sorted(((r["part"], r["y"], r["x"]) for r in rows), key=str)
     cols = [(np.array([r[2] for r in rows if r[0] == p]), np.array([float(r[1]) for r in rows if r[0] == p])) for p in (1, 2)]
     if any(len(set(y)) < 2 for _, y in cols):
-        return Model(lexicon, prior=share[1] / (share[0] + share[1]))
+        return Model([], prior=prior)
     weight = [np.where(y == 1, share[1], share[0]) for _, y in cols]
     trees = gbdt.fit(*cols[0], weight[0] / weight[0].mean())
     return Model(lexicon, trees, gbdt.isotonic(trees.raw(cols[1][0]), cols[1][1], weight[1]))
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The columns keep of docs and the calibrated score of each whole text."""
-    if not model.lexicon:
-        return docs.select(*keep, F.lit(model.prior).alias(score_col))
+    """The columns keep of docs and the calibrated score of each whole text; a kept column of the score's name gives way to it."""
+    if model.trees is None:
+        return docs.select(*(quoted(c) for c in keep if c.lower() != score_col.lower()), F.lit(model.prior).alias(score_col))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -190,12 +206,21 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
     return annotated(docs, text_col, keep, f"`{score_col}` double", make)
 
 
+def untoxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is below limit, in their own columns, whatever their names."""
+    rows = docs.select(whole_row(docs), quoted(text_col).alias("text"))
+    return scored(rows, model, ["row"]).filter(F.col("score") < limit).select("row.*")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Null texts count as empty and are scored; rows without an id are scored and not held out; labels other than 0 and 1
-    are ignored; a repeated label row counts once. Without labels of both classes the score is the labels' mean (0
-    for none). Other columns are ignored.
+    Null and empty texts are scored like any other; very long ones are read whole, in pieces; rows without an id are
+    scored and not held out; repeated rows are scored each and learned from once, and of rows with one id the least
+    text is. Ids may be of any type that orders. Labels other than 0 and 1, and those of absent documents, are
+    ignored; a repeated label row counts once. Ties at a draw's end go by hash, then id. With too few labels for both
+    classes to reach the trees and their calibration the score is the labels' mean (0 for none). An empty table gives
+    an empty result. Other columns are ignored, whatever their names.
     """
     rows = docs.select("doc_id", "text")
     out = scored(rows, train(rows, labels), ["doc_id"])
