@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+from .apply import quoted
 from .store import saved
 
 #: Fixed patterns: kind, pattern, the group whose length counts, and its least length.
@@ -36,18 +38,30 @@ CLASSES, STEP, TOP = (20, 24, 32, 40, 64, 128), 4, 32
 RATE, LIMIT = 0.05, 3.5
 
 
+def _running(values: Column) -> Column:
+    """The sums of an array's values up to each, by doubling: n log n steps, where appending one by one would copy n arrays."""
+    rounds = F.ceil(F.log2(F.size(values).cast("double"))).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), rounds - 1), lambda k: F.pow(F.lit(2), k).cast("int"))
+    once = lambda sums, w: F.transform(sums, lambda x, i: F.when(i >= w, x + F.get(sums, i - w)).otherwise(x))
+    return F.when(F.size(values) <= 1, values).otherwise(F.aggregate(steps, values, once))
+
+
+def _below(ascending: Column, steps: Column, limit: Column) -> Column:
+    """How many of an ascending array's values are below limit, by bisection; steps are falling powers of two that sum to its size at least."""
+    once = lambda n, w: F.when((n + w <= F.size(ascending)) & (F.get(ascending, n + w - 1) < limit), n + w).otherwise(n)
+    return F.aggregate(steps, F.lit(0), once)
+
+
 def _matches(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """The matches of pattern, leftmost and apart, as structs (start, kind, end, body) in code points, without those whose group is shorter than least."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     body = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    pair = F.arrays_zip(whole.alias("m"), body.alias("b"), F.slice(gaps, 1, F.greatest(F.size(whole), F.lit(0))).alias("g"))
+    # The text before each match, and the matches, make the offsets.
+    pair = F.arrays_zip(whole.alias("m"), body.alias("b"), F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(whole), F.lit(0))).alias("g"))
+    placed = lambda p: F.arrays_zip(p["m"].alias("m"), p["b"].alias("b"), _running(F.transform(p, lambda x: F.length(x["g"]) + F.length(x["m"]))).alias("end"))
+    span = lambda x: F.struct((x["end"] - F.length(x["m"])).cast("int").alias("start"), F.lit(kind).alias("kind"), x["end"].cast("int").alias("end"), x["b"].alias("body"))
+    found = let(pair, lambda p: F.transform(F.filter(placed(p), lambda x: F.length(x["b"]) >= least), span))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,body:string>>)")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("int").alias("at"),
-        F.when(F.length(x["b"]) >= least, F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["g"])).cast("int").alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("int").alias("end"), x["b"].alias("body")))).otherwise(acc["out"]).alias("out"),
-    )
-    found = F.aggregate(pair, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -61,36 +75,42 @@ def _alphabet(core: Column) -> tuple[Column, Column]:
 
 def randomness(token: Column) -> Column:
     """The worst standard score of the three tests; near 0 to 3 for random strings."""
-    core = F.rtrim(token, F.lit("="))
-    symbols, core = _alphabet(core)
-    chars = F.filter(F.split(core, ""), lambda c: c != "")
+    symbols, core = _alphabet(F.rtrim(token, F.lit("=")))
+    return let(F.struct(symbols.alias("symbols"), core.alias("core")), lambda t: _battery(t["symbols"], t["core"]))
+
+
+def _battery(symbols: Column, core: Column) -> Column:
     n, k = F.length(core).cast("double"), F.length(symbols).cast("double")
-    counts = F.transform(F.filter(F.split(symbols, ""), lambda c: c != ""), lambda c: (F.length(core) - F.length(F.replace(core, c, F.lit("")))).cast("double"))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)
-    chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    values = F.transform(chars, lambda c: F.call_function("instr", symbols, c).cast("double"))
-    zero = F.struct(*(F.lit(0.0).alias(x) for x in ("last", "high", "runs", "s", "ss", "lag")))
-    walked = F.aggregate(
-        values,
-        zero,
-        lambda a, v: F.struct(
+    chars = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    squares = F.aggregate(chars(symbols), F.lit(0.0), lambda a, c: let(n - F.length(F.replace(core, c, F.lit(""))), lambda x: a + x * x))
+    zero = F.struct(*(F.lit(0.0).alias(x) for x in ("first", "last", "high", "runs", "s", "ss", "lag")))
+
+    def step(a: Column, v: Column) -> Column:
+        up = v * 2 > k
+        return F.struct(
+            F.when(a["first"] == 0, v).otherwise(a["first"]).alias("first"),
             v.alias("last"),
-            (a["high"] + F.when(v * 2 > k, 1.0).otherwise(0.0)).alias("high"),
-            (a["runs"] + F.when((a["last"] == 0) | ((v * 2 > k) != (a["last"] * 2 > k)), 1.0).otherwise(0.0)).alias("runs"),
+            (a["high"] + F.when(up, 1.0).otherwise(0.0)).alias("high"),
+            (a["runs"] + F.when((a["last"] == 0) | (up != (a["last"] * 2 > k)), 1.0).otherwise(0.0)).alias("runs"),
             (a["s"] + v).alias("s"),
             (a["ss"] + v * v).alias("ss"),
             (a["lag"] + v * a["last"]).alias("lag"),
-        ),
-    )
-    high, low = walked["high"], n - walked["high"]
-    spread = 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))
-    runs = F.when(spread > 0, F.abs(walked["runs"] - 2 * high * low / n - 1) / F.sqrt(spread)).otherwise(F.lit(9.0))
-    mean = walked["s"] / n
-    var = walked["ss"] / n - mean * mean
-    ends = F.element_at(values, 1) + F.element_at(values, -1)
-    lag = walked["lag"] - mean * (2 * walked["s"] - ends) + (n - 1) * mean * mean
-    serial = F.when(var > 0, F.abs(lag / n / var + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-    return F.greatest(chi, runs, serial)
+        )
+
+    walked = F.aggregate(F.transform(chars(core), lambda c: F.call_function("instr", symbols, c).cast("double")), zero, step)
+
+    def worst(w: Column) -> Column:
+        chi = (w["squares"] * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+        high, low = w["w"]["high"], n - w["w"]["high"]
+        spread = 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))
+        runs = F.when(spread > 0, F.abs(w["w"]["runs"] - 2 * high * low / n - 1) / F.sqrt(spread)).otherwise(F.lit(9.0))
+        mean = w["w"]["s"] / n
+        var = w["w"]["ss"] / n - mean * mean
+        lag = w["w"]["lag"] - mean * (2 * w["w"]["s"] - w["w"]["first"] - w["w"]["last"]) + (n - 1) * mean * mean
+        serial = F.when(var > 0, F.abs(lag / n / var + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
+        return F.greatest(chi, runs, serial)
+
+    return let(F.struct(squares.alias("squares"), walked.alias("w")), worst)
 
 
 def _text_of(spans: Column, names: list[str]) -> Column:
@@ -101,15 +121,21 @@ def _text_of(spans: Column, names: list[str]) -> Column:
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, limit: float = LIMIT) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
 
-    Spans are kind:start:end in code points, by start and then kind. Null texts count as empty and have none; repeated
-    rows are scanned each; an empty table gives an empty result; other columns are ignored.
+    Spans are kind:start:end in code points, by start and then kind. Null texts count as empty and have none; texts of
+    any length are scanned whole, in time that is all but proportional to their length and matches; repeated rows are
+    scanned and counted each; scores that tie at a cut are reported or left together; an empty table gives an empty
+    result; other columns are ignored, whatever their names.
     """
     names = [b[0] for b in BASE] + ["random"]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("t"))
     found = rows.select("doc_id", *(_matches(F.col("t"), i, p, g, n).alias(name) for i, (name, p, g, n) in enumerate(BASE)), _matches(F.col("t"), len(BASE), RANDOM, 0, 20).alias("random"))
     base = F.array_sort(F.concat(*(F.transform(F.col(b[0]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))) for b in BASE)))
     found = found.select("doc_id", *(F.size(b[0]).cast("long").alias(f"n_{b[0]}") for b in BASE), base.alias("base"), "random")
-    free = F.filter(F.col("random"), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    # A span meets none of the fixed ones if as many of these end up to its start as begin before its end.
+    ends = F.struct(F.transform("base", lambda b: b["start"]).alias("starts"), F.array_sort(F.transform("base", lambda b: b["end"])).alias("ends"))
+    bits = F.ceil(F.log2(F.size("base") + 1.0)).cast("int")
+    steps = F.when(F.size("base") > 0, F.transform(F.sequence(bits - 1, F.lit(0)), lambda k: F.pow(F.lit(2), k).cast("int"))).otherwise(F.array().cast("array<int>"))
+    free = let(F.struct(ends.alias("e"), steps.alias("steps")), lambda z: F.filter(F.col("random"), lambda s: _below(z["e"]["starts"], z["steps"], s["end"]) == _below(z["e"]["ends"], z["steps"], s["start"] + 1)))
     size = lambda s: F.length(s["body"])
     cls = lambda s: reduce(lambda a, c: a + F.when(size(s) >= c, 1).otherwise(0), CLASSES[1:], F.lit(0))
     scored = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), cls(s).alias("cls"), F.least(F.lit(TOP), F.greatest(F.lit(0), F.floor(randomness(s["body"]) * STEP))).cast("int").alias("bin"), (s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")).alias("mixed"), (~s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")).alias("decoy")))
