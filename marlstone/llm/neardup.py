@@ -7,9 +7,10 @@ earliest point, so two texts agree in a place with exactly the chance of their w
 process stops where it is later than all places of its text. Bands of places are the buckets in which candidates meet.
 
 Copies are folded into one node first, without regard to id. In each bucket the members are compared with one centre,
-not with each other; then those that no component joins yet are compared where the distances to their centre, a
-metric, leave it possible. So every candidate pair at or above the threshold ends in one component. Similarities are
-exact multiset overlaps. Components come from label propagation with pointer jumping over written tables.
+not with each other; the members of buckets that still hold several components then meet across components by their
+rarest shingles, which loses no pair at the threshold. So every candidate pair at or above it ends in one component.
+Similarities are exact multiset overlaps. Components come from label propagation with pointer jumping over written
+tables.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .apply import annotated, gathered
+from .apply import annotated, gathered, whole_row
 from .store import dropped, saved
 from .words import buffers, combine, mix, word_table
 
@@ -161,6 +162,34 @@ def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
+def across(rest: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that have all pairs of rest (node, label, items) with different labels whose sets of items are alike by threshold.
+
+    Two sets of which the larger has n items share n * threshold or more. So if all items are put in one order, the
+    first item that both share lies among the first n - n * threshold + 1 of each. Items that no two labels share come
+    first in that order and pair no one; then the rarest. Where that leaves a group of one item, its most frequent
+    label's members meet only the others, so that a large component is never held against itself.
+    """
+    tokens = rest.select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
+    useful = tokens.groupBy("item").agg(F.count(F.lit(1)).alias("c"), (F.min("label") != F.max("label")).alias("several")).filter("several").select("item", "c")
+    have = tokens.join(useful, "item").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("s"))
+    before = F.col("n") - F.size("s")
+    upto = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - before
+    first = have.withColumn("upto", F.least(F.size("s"), upto.cast("int"))).filter("upto > 0")
+    prefix = saved(first.select("node", "label", "n", before.alias("before"), F.posexplode(F.slice("s", 1, F.col("upto"))).alias("at", "x")).select("node", "label", "n", (F.col("n") - F.col("before") - F.col("at")).alias("left"), F.col("x.item").alias("item")))
+    labels = prefix.groupBy("item", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("item").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("item", "main")
+    marked = prefix.join(labels, "item")
+    one = marked.filter("label <> main").select("item", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("left").alias("lefta"))
+    two = marked.select("item", "main", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("left").alias("leftb"))
+    once = (F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))
+    # What both have from their first shared item on bounds how many they share.
+    enough = F.least("lefta", "leftb") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = one.join(two, "item").filter((F.col("la") != F.col("lb")) & once & enough)
+    out = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    dropped(prefix)
+    return out
+
+
 def _picked(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of docs (doc_id, loc, text) with a key of keys (id, loc, node), with node."""
     small = keys.count() <= BROADCAST_KEYS
@@ -200,26 +229,15 @@ def _assigned(docs: DataFrame, threshold: float) -> DataFrame:
     first = compared(stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
     label = components(first.filter(F.col("d") <= most))
     second = compared(saved(apart(stars.join(first.select("a", "b"), ["a", "b"], "left_anti"), label).select("a", "b")))
-    known = first.unionByName(second)
     label = joined(label, second.filter(F.col("d") <= most).select("a", "b"))
-    # What is left of a bucket whose members are in several components.
+    # What is left: members of buckets that hold several components.
     spread = bucket.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = spread.groupBy("key").agg((F.min("label") != F.max("label")).alias("several"), F.count(F.lit(1)).alias("n")).filter("several and n > 2").select("key")
-    rest = spread.join(several, "key").filter("node <> centre").join(known.select(F.col("a").alias("node"), F.col("b").alias("centre"), "d"), ["node", "centre"], "left")
-    rest = saved(rest.select("key", "node", "label", "d"))
-    rich = saved(rest.join(items, "node").join(nodes.select("node", "bands"), "node"))
-    one = rich.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("d").alias("da"), F.col("items").alias("x"), F.col("bands").alias("p"))
-    two = rich.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("d").alias("db"), F.col("items").alias("y"), F.col("bands").alias("q"))
-    close = F.coalesce(F.abs(F.col("da") - F.col("db")) <= most, F.lit(True)) & (F.least(F.size("x"), F.size("y")) >= (threshold - 1e-9) * F.greatest(F.size("x"), F.size("y")))
-    once = F.array_min(F.array_intersect("p", "q")) == one["key"]
-    common = F.size(F.array_intersect("x", "y"))
-    # Only pairs at the threshold leave the join; each is judged in the first bucket that both share.
-    match = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close & once & (1 - common / (F.size("x") + F.size("y") - common) <= most)
-    third = saved(one.join(two, (one["key"] == two["key"]) & match).select("a", "b", F.lit(0.0).alias("d")))
-    if not third.isEmpty():
-        label = joined(label, third.select("a", "b"))
+    rest = saved(spread.join(several, "key").select("node", "label").distinct().join(items, "node"))
+    third = compared(across(rest, threshold))
+    label = joined(label, third.filter(F.col("d") <= most).select("a", "b"))
     of = saved(nodes.select("mark", "node").join(label, "node", "left").select("mark", F.coalesce("label", "node").alias("class")))
-    dropped(bucket, stars, items, first, second, rest, rich, third)
+    dropped(bucket, stars, items, first, second, rest, third)
     placed = signed.select("rid", "doc_id", "loc", "mark", full.alias("full"))
     placed = saved(placed.join(of, "mark", "left").select("rid", "doc_id", "loc", F.coalesce(F.when(F.col("full"), F.col("class")), -1 - F.col("rid")).alias("class")))
     dropped(signed, nodes, of)
@@ -231,23 +249,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), class_size, kept (true for one row a class).
 
     Classes are the connected components of pairs at or above threshold. Null texts and texts without words are alone.
-    A class without ids has a null class_id; of repeated rows one is kept. An empty table gives an empty result; other
-    columns are ignored.
+    A class without ids has a null class_id; of repeated rows, and of rows that tie for the least id, one is kept. Texts
+    of any length are read whole. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     return _assigned(docs.select("doc_id", "text"), threshold).select("doc_id", "class_id", "class_size", "kept")
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each class, in its own columns."""
+    """docs with one row of each class, in its own columns, whatever their names."""
     found = _assigned(docs.select("doc_id", "text"), threshold)
-    found = saved(found.select(F.col("doc_id").alias("__id"), F.col("loc").alias("__loc"), "kept"))
-    keys = found.groupBy("__id", "__loc").agg(F.bool_or("kept").alias("some"), (~F.bool_and("kept")).alias("less")).filter("less")
-    keys = saved(keys.select("__id", "__loc", "some"))
+    found = saved(found.select(F.col("doc_id").alias("id"), F.col("loc").alias("of"), "kept"))
+    keys = saved(found.groupBy("id", "of").agg(F.bool_or("kept").alias("some"), (~F.bool_and("kept")).alias("less")).filter("less").select("id", "of", "some"))
+    dropped(found)
     small = keys.count() <= BROADCAST_KEYS
-    rows = docs.withColumn("__at", F.xxhash64("text"))
+    rows = docs.select(whole_row(docs), "doc_id", F.xxhash64("text").alias("loc"))
     join = lambda k: F.broadcast(k) if small else k
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__loc"))
+    match = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("loc") == F.col("of"))
     clean = rows.join(join(keys), match, "left_anti")
     # Repeated rows of which one stays.
-    twins = rows.join(join(keys.filter("some")), match, "left_semi").dropDuplicates(["doc_id", "__at"])
-    return clean.unionByName(twins).select(*docs.columns)
+    twins = rows.join(join(keys.filter("some")), match, "left_semi").dropDuplicates(["doc_id", "loc"])
+    return clean.unionByName(twins).select("row.*")
