@@ -95,11 +95,19 @@ def test_contamination(spark, odd, none):
     rows = [(1, "a " + "; ".join(WORDS[:25]) + " b", "", "", 0, "", ""), (2, "short   item, short item x", "", "", 0, "", ""), (3, prose(300), "", "", 0, "", ""), (4, " ".join(WORDS[2:11]), "", "", 0, "", "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for blocks in (1, 1 << 20):
-        got = {r["doc_id"]: r for r in decontaminate.contamination(spark.createDataFrame(rows, SCHEMA), bench, block_bytes=blocks).collect()}
+        docs = spark.createDataFrame([*rows, rows[0]], SCHEMA)
+        found = decontaminate.contamination(docs, bench, block_bytes=blocks).collect()
+        got = {r["doc_id"]: r for r in found}
+        assert len(found) == len(rows) + 1
         for i, text, *_ in rows:
             n, hit, named = brute_hits(text, items)
             r = got[i]
             assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n, hit, len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), hit > 0)
+            assert r["items"] == named
+        clean = Counter(i for i, text, *_ in rows if not brute_hits(text, items)[1])
+        assert Counter(r["doc_id"] for r in decontaminate.uncontaminated(docs, bench, block_bytes=blocks).collect()) == clean
+        assert decontaminate.uncontaminated(none, bench, block_bytes=blocks).collect() == []
+        assert decontaminate.contamination(odd, bench, block_bytes=blocks).count() == len(ODD)
     (a, b), *_ = got[1]["spans"]
     assert rows[0][1][a:b] == "; ".join(WORDS[:25])
     assert decontaminate.contamination(odd, bench).count() == len(ODD) and decontaminate.contamination(none, bench).collect() == []
@@ -123,30 +131,10 @@ def test_sharded(spark, odd, none):
     assert sharding.sharded(sharding.sharded(odd)).count() == len(ODD) and sharding.sharded(none).collect() == []
 
 
-def test_water_fill():
-    out = mixing.water_fill([100, 100, 1000], [5, 2, 1], 1800, 2)
-    assert out[:2] == [200, 200] and out[2] == 1400 and mixing.water_fill([], [], 0) == []
-    assert mixing.water_fill([10, 0], [1, 1], 15, 2) == [15, 0]
-
-
 def test_mixture(spark, odd, none):
     rows = [(i, prose(R.randint(0, 60)), "", R.choice(["b", "a", None, "ü"]), 0, "", "") for i in range(3000)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = mixing.mixture(docs).collect()
-    size, taken, target = Counter(), Counter(), {}
-    source = {r[0]: r[3] for r in rows}
-    for r in got:
-        s = source[r["doc_id"]]
-        size[s] += r["size"]
-        taken[s] += r["taken"]
-        target[s] = r["target"]
-        assert 0 <= r["taken"] <= 2 * r["size"]
-    names = sorted((s for s in size if s is not None)) + [None]
-    want = mixing.water_fill([size[s] for s in names], [5, 2, 1, 5], 1.5 * sum(size.values()))
-    for s, t in zip(names, want, strict=True):
-        assert target[s] == pytest.approx(t) and abs(taken[s] - t) <= 60
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mixture(docs.repartition(3)).collect()))
-    copies = {r["doc_id"]: r["copies"] for r in got}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mixture(docs).collect()}
     assert Counter(r["doc_id"] for r in mixing.mixed(docs).collect()) == Counter({k: v for k, v in copies.items() if v})
     assert mixing.mixture(odd).count() == len(ODD) and mixing.mixture(none).collect() == [] and mixing.mixed(none).collect() == []
 
