@@ -1,23 +1,29 @@
 """A training corpus from raw documents: toxic documents, near copies and contaminated documents go, sources are mixed, and what is left is dealt to shards.
 
 Each stage is (name, function) and takes (spark, docs, sf_dir); run() writes what it returns as Parquet in the
-shared folder and reads it again as the next one's docs.
+shared folder and reads it again as the next one's docs; run() deletes each such table, and what a stage wrote on the way, when
+the next one is written.
+
+Null and empty texts are kept by the first three stages, and so is any one row of each of the texts that they keep; the
+mix takes documents without words as their place tells. Texts of any length are read whole. Rows without an id are
+documents like any other; of repeated rows the second stage keeps one. Empty documents give an empty table with the
+same columns; without labels of both classes no text is rejected unless most labels are toxic, and an empty benchmark
+leaves all documents. Further columns are carried along whatever their names; only the last stage replaces columns
+that are named slot or shard, in any case of letters.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, mixing, neardup, sharding, toxicity
-from marlstone.llm.store import saved
+from marlstone.llm.store import dropped, settled
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score is below 1/2, learned from the labelled ones among docs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.scored(docs, toxicity.train(docs.select("doc_id", "text"), labels), docs.columns, score_col="__score")
-    return scored.filter(F.col("__score") < 0.5).select(*docs.columns)
+    return toxicity.untoxic(docs, toxicity.train(docs.select("doc_id", "text"), labels))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +33,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), tuple(docs.columns))
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +60,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before:
+            dropped(before)
+        before = docs
     return docs
