@@ -234,10 +234,12 @@ def _assigned(docs: DataFrame, threshold: float) -> DataFrame:
     spread = bucket.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = spread.groupBy("key").agg((F.min("label") != F.max("label")).alias("several"), F.count(F.lit(1)).alias("n")).filter("several and n > 2").select("key")
     rest = saved(spread.join(several, "key").select("node", "label").distinct().join(items, "node"))
-    third = compared(across(rest, threshold))
-    label = joined(label, third.filter(F.col("d") <= most).select("a", "b"))
+    pairs = across(rest, threshold)
+    third = compared(pairs).filter(F.col("d") <= most).select("a", "b")
+    if not third.isEmpty():
+        label = joined(label, third)
     of = saved(nodes.select("mark", "node").join(label, "node", "left").select("mark", F.coalesce("label", "node").alias("class")))
-    dropped(bucket, stars, items, first, second, rest, third)
+    dropped(bucket, stars, items, first, second, rest, pairs)
     placed = signed.select("rid", "doc_id", "loc", "mark", full.alias("full"))
     placed = saved(placed.join(of, "mark", "left").select("rid", "doc_id", "loc", F.coalesce(F.when(F.col("full"), F.col("class")), -1 - F.col("rid")).alias("class")))
     dropped(signed, nodes, of)
