@@ -38,11 +38,38 @@ def compared(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str,
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Rows and an order-free hash of all of them, to hold tables against themselves before and after."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("hash"))
+    """Rows and an order-free hash of all of them, to hold tables against themselves before and after. Hashes are summed, so that repeated rows count each."""
+    row = F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("hash"))
 
 
 def column_profile(df: DataFrame) -> DataFrame:
     """For each column: non-null, missing and distinct values, in one pass."""
     wide = df.agg(*(F.struct(F.count(c).alias("non_null"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(F.col(c)).alias("distinct_values")).alias(c) for c in df.columns))
     return wide.unpivot([], df.columns, "column_name", "s").select("column_name", "s.*")
+
+
+#: The dimensions of the quality score and what each weighs.
+DIMENSIONS = (("Completeness", 0.30), ("Uniqueness", 0.20), ("Validity", 0.25), ("Consistency", 0.15), ("Source coverage", 0.10))
+
+
+def quality_score(df: DataFrame, unique: Sequence[Column], valid: Sequence[Column], consistent: Sequence[Column], covered: Sequence[Column]) -> DataFrame:
+    """dimension, score (0 to 100), weight, weighted and label, with a row TOTAL.
+
+    Completeness is the share of cells that are not missing. Uniqueness is the mean share of rows that are the first of
+    their kind, and of those whose key (each of unique; NULL is a key) no other row has. The others are mean shares of
+    rows for which a predicate holds; NULL does not.
+    """
+    cells = [F.col(c).isNotNull() for c in df.columns]
+    share = lambda ps: 100 * sum((F.avg(F.coalesce(p, F.lit(False)).cast("double")) for p in ps), F.lit(0.0)) / len(ps)
+    flat = df.agg(share(cells).alias("Completeness"), share(valid).alias("Validity"), share(consistent).alias("Consistency"), share(covered).alias("Source coverage"))
+    whole = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg((F.count(F.lit(1)) / F.sum("n")).alias("u0"))
+    alone = [df.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n")).agg((F.sum(F.when(F.col("n") == 1, 1).otherwise(0)) / F.sum("n")).alias(f"u{i}")) for i, k in enumerate(unique, 1)]
+    for one in (whole, *alone):
+        flat = flat.crossJoin(F.broadcast(one))
+    kinds = [f"u{i}" for i in range(len(unique) + 1)]
+    flat = flat.withColumn("Uniqueness", 100 * sum((F.col(c) for c in kinds), F.lit(0.0)) / len(kinds))
+    total = sum((F.col(n) * w for n, w in DIMENSIONS), F.lit(0.0))
+    label = F.when(total >= 90, "Excellent").when(total >= 80, "Good").when(total >= 70, "Acceptable").when(total >= 60, "Needs Improvement").otherwise("Poor")
+    row = lambda n, v, w, x: F.struct(F.lit(n).alias("dimension"), v.alias("score"), F.lit(w).alias("weight"), (v * w).alias("weighted"), x.cast("string").alias("label"))
+    return flat.select(F.inline(F.array(*(row(n, F.col(n), w, F.lit(None)) for n, w in DIMENSIONS), row("TOTAL", total, 1.0, label))))

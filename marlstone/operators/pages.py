@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import page_detail
+from ..session import shipped
+
 
 def _text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "\\s+", " "))
@@ -18,14 +23,41 @@ def links(pages: DataFrame, html: str = "html", prefix: str = "") -> DataFrame:
     return rows.filter(F.col("href").startswith(prefix))
 
 
-def detail(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, title, body (paragraphs by line), number of paragraphs, and the first count in the page; missing is NULL, not 0."""
-    h = F.col(html)
-    paragraphs = F.filter(F.transform(F.regexp_extract_all(h, F.lit("(?is)<p\\b[^>]*>(.*?)</p>"), F.lit(1)), _text), lambda x: x != "")
-    return pages.select(
+def detail(pages: DataFrame, html: str = "html", brand_links: Sequence[str] = ()) -> DataFrame:
+    """One row a page: page_id, title, body (paragraphs by line), n_paragraphs, date_raw, view_count, support_count, category, product, replies, and of these the first of the company, how many are users' and the first of them. Missing is NULL, not 0; a reply is the company's if it is marked so or links to one of brand_links."""
+    shipped(pages.sparkSession)
+    d = pages.select("page_id", page_detail(F.coalesce(F.col(html), F.lit(""))).alias("d")).select("page_id", "d.*")
+    n = F.size("crumbs")
+    company = lambda r: r["by_brand"] | (F.arrays_overlap(r["links"], F.array(*map(F.lit, brand_links))) if brand_links else F.lit(False))
+    replies = F.transform("replies", lambda r: F.struct(r["reply_order"].alias("reply_order"), F.when(company(r), "COMPANY").otherwise("USER").alias("reply_author_type"), r["reply_date_raw"].alias("reply_date_raw"), r["reply_text"].alias("reply_text")))
+    d = d.withColumn("replies", replies).withColumns({"__c": F.filter("replies", lambda r: r["reply_author_type"] == "COMPANY"), "__u": F.filter("replies", lambda r: r["reply_author_type"] == "USER")})
+    one = lambda c, f: F.get(c, F.lit(0))[f]
+    return d.select(
         "page_id",
-        F.nullif(_text(F.regexp_extract(h, "(?is)<(?:title|h1)\\b[^>]*>(.*?)</(?:title|h1)>", 1)), F.lit("")).alias("title"),
-        F.nullif(F.array_join(paragraphs, "\n"), F.lit("")).alias("body"),
-        F.size(paragraphs).alias("n_paragraphs"),
-        F.nullif(F.regexp_extract(h, "(?i)(\\d+)\\s*(?:views|görüntülenme)", 1), F.lit("")).try_cast("long").alias("views"),
+        "title",
+        F.nullif(F.array_join("paragraphs", "\n"), F.lit("")).alias("body"),
+        F.size("paragraphs").alias("n_paragraphs"),
+        "date_raw",
+        "view_count",
+        "support_count",
+        F.when(n >= 4, F.get("crumbs", n - 2)).when(n == 3, F.get("crumbs", n - 1)).alias("category"),
+        F.when(n >= 4, F.get("crumbs", n - 1)).alias("product"),
+        "replies",
+        (F.size("__c") > 0).alias("company_response_exists"),
+        one("__c", "reply_date_raw").alias("company_response_date"),
+        one("__c", "reply_text").alias("company_response_text"),
+        F.size("__u").alias("user_reply_count"),
+        one("__u", "reply_date_raw").alias("first_user_reply_date"),
+        one("__u", "reply_text").alias("first_user_reply_text"),
     )
+
+
+def replies(details: DataFrame) -> DataFrame:
+    """A row for each reply of pages from detail()."""
+    return details.select("page_id", F.inline("replies"))
+
+
+def cards(pages: DataFrame, html: str = "html", prefix: str = "") -> DataFrame:
+    """page_id, href and title of links two levels deep or more whose path starts with prefix; a link's first place stands."""
+    rows = links(pages, html, prefix).filter((F.length("href") - F.length(F.replace(F.col("href"), F.lit("/"), F.lit("")))) >= 2)
+    return rows.groupBy("page_id", "href").agg(F.min_by("title", "position").alias("title"))

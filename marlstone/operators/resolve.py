@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.arrays import let
+from ..session import shipped
 
 
 def duplicate_audit(df: DataFrame, definitions: dict[str, list[str]], id_col: str) -> DataFrame:
@@ -20,16 +24,60 @@ def duplicate_audit(df: DataFrame, definitions: dict[str, list[str]], id_col: st
     return out
 
 
-def candidates(left: DataFrame, right: DataFrame, floor: float = 0.55) -> DataFrame:
-    """Pairs of (id, name, phone, area) tables that share a phone, a core name or a word of it, with the similarity of their names from floor on. Blocks replace the product of both tables."""
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        keys = F.array_distinct(F.array_compact(F.concat(F.array(F.concat(F.lit("p:"), T.phone_key(F.col("phone")))), F.transform(F.split(F.col("core"), " "), lambda w: F.concat(F.lit("w:"), w)))))
-        rows = df.withColumn("core", T.folded(F.col("name"))).withColumn("key", F.explode(keys))
-        return rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "core", "phone", "area")))
+def _letters(name: Column) -> Column:
+    """The characters of a name, each with its number among equal ones, as a set."""
+    order = F.array_sort(F.filter(F.split(name, ""), lambda c: c != ""))
+    return let(order, lambda a: F.transform(a, lambda c, i: F.concat(c, (i - F.array_position(a, c)).cast("string"))))
+
+
+def alike_names(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """(id_l, id_r) of all rows of (id, name) tables whose names may have a sequence ratio of floor or more, and no pair that has is left out.
+
+    A ratio of t over m and n characters matches t (m + n) / 2 of them at least, so names share as many characters, and
+    one of the rarest m - t m / (2 - t) + 1 of each. Shares are counted before pairs leave for the ratio itself.
+    """
+    sides = [df.filter(F.length("name") > 0).select("id", "name", F.length("name").alias("n"), _letters(F.col("name")).alias("s")) for df in (left, right)]
+    every = [df.select("id", "n", F.explode("s").alias("q")) for df in sides]
+    rarity = every[0].unionByName(every[1]).groupBy("q").agg(F.count(F.lit(1)).alias("c"))
+
+    def prefix(df: DataFrame, side: str) -> DataFrame:
+        ordered = df.join(rarity, "q").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "q"))).alias("s"))
+        most = (F.col("n") - F.ceil(floor * F.col("n") / (2 - floor) - 1e-9) + 1).cast("int")
+        return ordered.select(F.col("id").alias(f"id_{side}"), F.explode(F.slice("s", 1, most)).alias("x")).select(f"id_{side}", F.col("x.q").alias("q"))
+
+    pairs = prefix(every[0], "l").join(prefix(every[1], "r"), "q").select("id_l", "id_r").distinct()
+    for df, side in zip(sides, "lr", strict=True):
+        pairs = pairs.join(df.select(F.col("id").alias(f"id_{side}"), F.col("s").alias(f"s_{side}")), f"id_{side}")
+    shared = F.size(F.array_intersect("s_l", "s_r"))
+    return pairs.filter(2 * shared >= (floor - 1e-9) * (F.size("s_l") + F.size("s_r"))).select("id_l", "id_r")
+
+
+def candidates(left: DataFrame, right: DataFrame, floor: float = 0.55, drop: Sequence[str] = ()) -> DataFrame:
+    """Pairs of (id, name, phone, area) tables with an equal phone or core name, or names alike by floor or more, in full or in their cores without the words of drop; name_similarity is the larger of both ratios."""
+    shipped(left.sparkSession)
+    sides = [df.select("id", T.folded(F.col("name")).alias("full"), T.core_name(F.col("name"), drop).alias("core"), T.phone_key(F.col("phone")).alias("phone"), "area") for df in (left, right)]
+
+    def equal(c: str) -> DataFrame:
+        one, two = (df.filter(F.col(c).isNotNull()).select(c, F.col("id").alias(f"id_{x}")) for df, x in zip(sides, "lr", strict=True))
+        return one.join(two, c).select("id_l", "id_r")
+
+    pairs = equal("phone").unionByName(equal("core"))
+    for c in ("full", "core") if drop else ("full",):
+        pairs = pairs.unionByName(alike_names(*(df.select("id", F.col(c).alias("name")) for df in sides), floor))
+    pairs = pairs.distinct()
+    for df, side in zip(sides, "lr", strict=True):
+        pairs = pairs.join(df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns)), f"id_{side}")
+    ratio = T.sequence_ratio("full_l", "full_r")
+    scored = pairs.withColumn("name_similarity", F.greatest(ratio, T.sequence_ratio("core_l", "core_r")) if drop else ratio)
+    return scored.filter((F.col("name_similarity") >= floor) | (F.col("phone_l") == F.col("phone_r")) | (F.col("core_l") == F.col("core_r")))
+
 
-    pairs = keyed(left, "l").join(keyed(right, "r"), "key").drop("key").dropDuplicates(["id_l", "id_r"])
-    scored = pairs.withColumn("name_similarity", T.sequence_ratio("core_l", "core_r"))
-    return scored.filter((F.col("name_similarity") >= floor) | (T.phone_key(F.col("phone_l")) == T.phone_key(F.col("phone_r"))))
+def best_matches(left: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row for each row of left (id): its best of scored (id_l, id_r, score, name_similarity, status and others) by equal phone, score and name; those without any are UNMATCHED at a score of 0."""
+    order = F.struct(F.coalesce(F.col("phone_l") == F.col("phone_r"), F.lit(False)).alias("p"), "score", "name_similarity", (-F.col("id_r")).alias("i"))
+    best = scored.groupBy("id_l").agg(F.max_by(F.struct("id_r", "score", "status"), order).alias("x"), F.count(F.lit(1)).alias("n_candidates")).select("id_l", "x.*", "n_candidates")
+    out = left.select(F.col("id").alias("id_l")).join(best, "id_l", "left")
+    return out.select("id_l", "id_r", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("status", F.lit("UNMATCHED")).alias("status"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
 def match_score(name: Column, phone: Column, area: Column, address: Column) -> Column:
@@ -50,9 +98,62 @@ def assigned_once(matches: DataFrame, owner: str, score: str, tie: str) -> DataF
     return matches.withColumn("status", F.when((F.col("status") == "HIGH_CONFIDENCE") & (best > 1), "REVIEW_REQUIRED").otherwise(F.col("status")))
 
 
-def alignment_label(a: Column, b: Column, support: Column) -> Column:
-    """How far two sources agree on an aspect: both shares in per cent, and documents in support."""
-    return F.when(a.isNull() | b.isNull(), "ONE_SOURCE").when(support < 5, "LOW_SUPPORT").when((a >= 25) & (b >= 25), "SHARED_STRONG").when((a >= 15) & (b >= 15), "SHARED").when(F.abs(a - b) >= 50, "DIVERGENT").otherwise("WEAK")
+def alignment_label(a: dict[str, Column], b: dict[str, Column], has_a: Column, has_b: Column) -> Column:
+    """How two sources speak of an aspect. a (reviews): mention in per cent, support, low and high shares of its mentions in per cent; b (complaints): mention in per cent, small (few documents). has_a, has_b: whether the aspect exists in each source at all.
+
+    Mentioned is 15 % with five documents in support, a concern 50 % of these low, a strength 70 % high; a theme of
+    complaints is 25 % of enough documents.
+    """
+    know_a, know_b = a["mention"].isNotNull(), b["mention"].isNotNull()
+    sure_a, sure_b = know_a & (a["support"] >= 5), know_b & ~F.coalesce(b["small"], F.lit(True))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    mentioned, theme = yes(sure_a & (a["mention"] >= 15)), yes(sure_b & (b["mention"] >= 25))
+    concern, strength = mentioned & yes(a["low"] >= 50), mentioned & yes(a["high"] >= 70)
+    return (
+        F.when(has_a & ~has_b, F.when(mentioned, "REVIEWS_ONLY").otherwise("NO_SIGNAL"))
+        .when(has_b & ~has_a, F.when(theme, "COMPLAINTS_ONLY").otherwise("NO_SIGNAL"))
+        .when((know_a & ~yes(sure_a)) | (know_b & ~yes(sure_b)), "LOW_SUPPORT")
+        .when(concern & theme, "BOTH_CONCERN")
+        .when(strength & theme, "STRENGTH_VS_COMPLAINT")
+        .when(theme & ~mentioned, "COMPLAINTS_ONLY")
+        .when(mentioned & ~theme, "REVIEWS_ONLY")
+        .otherwise("NO_SIGNAL")
+    )
+
+
+def brand_words(name: Column, generic: Sequence[str]) -> Column:
+    """The distinct words of a name that are not generic, in order."""
+    words = F.filter(F.split(F.coalesce(T.folded(name), F.lit("")), " "), lambda w: (w != "") & ~w.isin(*generic))
+    return F.array_distinct(words)
+
+
+def validation_terms(pages: DataFrame, generic: Sequence[str], floor: float = 0.75) -> DataFrame:
+    """For rows (id, name, url) of entities and the page each is found on: wanted, excluded and doubtful terms, and whether documents of the page need them.
+
+    Wanted are the name and its core, excluded the names of others on the page, doubtful a first brand word that other
+    words follow. A page is trusted if it is one entity's and its last part is like the name by floor. A page lists few
+    entities; their names are one array.
+    """
+    shipped(pages.sparkSession)
+    on_page = pages.groupBy("url").agg(F.sort_array(F.collect_set(F.struct("id", "name"))).alias("__all"))
+    slug = F.translate(F.regexp_extract(F.regexp_replace("url", "/+$", ""), "([^/]*)$", 1), "-", " ")
+    core = lambda c: T.core_name(c, generic)
+    rows = pages.join(on_page, "url").withColumns({"__core": core(F.col("name")), "__slug": core(slug), "__brand": brand_words(F.col("name"), generic)})
+    others = F.array_distinct(F.transform(F.filter("__all", lambda x: x["id"] != F.col("id")), lambda x: x["name"]))
+    trusted = (F.size(others) == 0) & (T.sequence_ratio("__core", "__slug") >= floor)
+    return rows.select("id", "name", "url", F.array_distinct(F.array("name", F.coalesce("__core", "name"))).alias("wanted"), others.alias("excluded"), F.when(F.size("__brand") >= 2, F.slice("__brand", 1, 1)).otherwise(F.array().cast("array<string>")).alias("doubtful"), (~trusted).alias("requires_validation"))
+
+
+def entity_match(document: Column, requires: Column, wanted: Column, excluded: Column, doubtful: Column) -> Column:
+    """Whether a document is about an entity, as struct (status, term): an excluded term goes before a wanted one, that before a doubtful one; the first of each kind is the evidence."""
+    first = lambda terms, text: F.get(F.filter(terms, lambda t: F.contains(text, T.match_key(t))), F.lit(0))
+
+    def judged(text: Column) -> Column:
+        hits = F.struct(first(excluded, text).alias("x"), first(wanted, text).alias("w"), first(doubtful, text).alias("d"))
+        status = lambda h: F.when(h["x"].isNotNull(), "EXCLUDED").when(h["w"].isNotNull(), "MATCHED").otherwise("REVIEW_REQUIRED")
+        return let(hits, lambda h: F.struct(status(h).alias("status"), F.coalesce(h["x"], h["w"], h["d"]).alias("term")))
+
+    return F.when(~requires, F.struct(F.lit("MATCHED").alias("status"), F.lit(None).cast("string").alias("term"))).otherwise(let(T.match_key(document), judged))
 
 
 def unique_only(df: DataFrame, key: str, out: str) -> DataFrame:

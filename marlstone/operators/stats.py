@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from ..session import shipped
+from .ranks import mean_ranks
+
 
 def pearson(x: Column, y: Column, least: int = 3) -> Column:
     """Pairwise complete; NULL for fewer than least rows or a constant side. Built from moments, since corr raises on constants."""
@@ -17,33 +22,69 @@ def pearson(x: Column, y: Column, least: int = 3) -> Column:
     return F.when((F.count(a) >= least) & (F.count_distinct(a) >= 2) & (F.count_distinct(b) >= 2) & (spread > 0), F.try_divide(F.covar_pop(a, b), spread))
 
 
-def mean_rank(value: str, *group: str) -> Column:
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (ties - 1) / 2
+def pearson_test(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
+    """n of complete pairs, r and its two-sided p, for each group."""
+    shipped(df.sparkSession)
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    out = df.groupBy(*group).agg(F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias("n"), pearson(a, b).alias("r"))
+    return out.withColumn("p", correlation_p_of(F.col("r"), F.col("n")))
+
+
+def mean_rank(value: str, group: str, *groups: str) -> Column:
+    """The mean rank within a group. See ranks.mean_ranks for whole tables."""
+    by = (group, *groups)
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
+    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2
 
 
 def spearman(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
-    """n and rho of each group, over complete rows and mean ranks."""
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"__x": mean_rank(x, *group), "__y": mean_rank(y, *group)})
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("__x"), F.col("__y")).alias("rho"))
+    """n, rho and its two-sided p for each group, over complete rows and mean ranks. Without groups, ranks come from counted values, so no task sees the whole table."""
+    shipped(df.sparkSession)
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if group:
+        ranked = rows.withColumns({"__x": mean_rank(x, *group), "__y": mean_rank(y, *group)}).withColumn("__n", F.lit(1))
+    else:
+        counts = rows.groupBy(x, y).agg(F.count(F.lit(1)).alias("__n"))
+        ranked = counts.join(mean_ranks(rows, x).select(x, F.col("rank").alias("__x")), x).join(mean_ranks(rows, y).select(y, F.col("rank").alias("__y")), y)
+    n = F.sum("__n")
+    mean = lambda c: F.sum(c * F.col("__n")) / n
+    a, b = F.col("__x"), F.col("__y")
+    va, vb, cov = mean(a * a) - mean(a) * mean(a), mean(b * b) - mean(b) * mean(b), mean(a * b) - mean(a) * mean(b)
+    rho = F.when((n >= 3) & (F.count_distinct(a) >= 2) & (F.count_distinct(b) >= 2), F.try_divide(cov, F.sqrt(va * vb)))
+    out = ranked.groupBy(*group).agg(n.cast("long").alias("n"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("rho"))
+    return out.withColumn("p", correlation_p_of(F.col("rho"), F.col("n")))
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """H with tie correction, groups, n and epsilon squared; one row."""
-    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).withColumn("r", mean_rank(value))
-    ties = rows.groupBy(value).count().agg(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count")).alias("t"))
-    sums = rows.groupBy(group).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("m")).agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("groups"))
-    n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))
-    return sums.crossJoin(ties).select("groups", "n", h.alias("h"), (h / ((n * n - 1) / (n + 1))).alias("epsilon2"))
+    """H with tie correction, groups, n, p and epsilon squared; one row, NULL for fewer than two groups."""
+    shipped(df.sparkSession)
+    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
+    ranks = mean_ranks(rows, value)
+    c = F.col("ties").cast("double")
+    ties = ranks.agg(F.sum(c * c * c - c).alias("t"))
+    cells = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("m")).join(ranks, value)
+    sums = cells.groupBy(group).agg(F.sum(F.col("m") * F.col("rank")).alias("s"), F.sum("m").alias("m")).agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("groups"))
+    n, k = F.col("n").cast("double"), F.col("groups")
+    h = F.when(k >= 2, F.try_divide(12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.col("t") / (n * n * n - n)))
+    out = sums.crossJoin(F.broadcast(ties)).select("groups", "n", h.alias("h"))
+    return out.select("groups", "n", "h", chi2_p_of(F.col("h"), F.col("groups") - 1).alias("p"), (F.col("h") / ((F.col("n") * F.col("n") - 1) / (F.col("n") + 1))).alias("epsilon2"))
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
-    """U of group a against b, with the sizes; one row."""
-    rows = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).withColumn("r", mean_rank(value))
+    """U of group a against b, the sizes and the two-sided p (normal, with ties and continuity); one row."""
+    shipped(df.sparkSession)
+    rows = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull())
+    ranks = mean_ranks(rows, value)
     one = F.col(group) == a
-    n = F.count_if(one)
-    return rows.agg(n.alias("n_a"), F.count_if(~one).alias("n_b"), (F.sum(F.when(one, F.col("r"))) - n * (n + 1) / 2).alias("u"))
+    cells = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("m")).join(ranks, value)
+    n_a, n_b, m = F.sum(F.when(one, F.col("m")).otherwise(0)), F.sum(F.when(one, 0).otherwise(F.col("m"))), F.col("m")
+    sums = cells.agg(n_a.alias("n_a"), n_b.alias("n_b"), (F.sum(F.when(one, m * F.col("rank"))) - n_a * (n_a + 1) / 2).alias("u"))
+    c = F.col("ties").cast("double")
+    out = sums.crossJoin(F.broadcast(ranks.agg(F.sum(c * c * c - c).alias("t"))))
+    x, y, n = F.col("n_a").cast("double"), F.col("n_b").cast("double"), (F.col("n_a") + F.col("n_b")).cast("double")
+    spread = F.sqrt(x * y / 12 * ((n + 1) - F.col("t") / (n * (n - 1))))
+    z = F.try_divide(F.greatest(F.abs(F.col("u") - x * y / 2) - 0.5, F.lit(0.0)), spread)
+    return out.select("n_a", "n_b", "u", normal_p_of(z).alias("p"))
 
 
 def fences(value: str, k: float = 1.5) -> tuple[Column, Column]:
@@ -110,3 +151,36 @@ def chi2_tail(x: float, k: int) -> float:
         if abs(c * d - 1) < 1e-15:
             break
     return front * h
+
+
+def _each(f, *columns: pd.Series) -> pd.Series:
+    return pd.Series([None if any(pd.isna(v) for v in row) else f(*row) for row in zip(*columns, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
+    return _each(correlation_p, r, n)
+
+
+@F.pandas_udf(DoubleType())
+def _chi2_p(x: pd.Series, k: pd.Series) -> pd.Series:
+    return _each(chi2_tail, x, k)
+
+
+@F.pandas_udf(DoubleType())
+def _normal_p(z: pd.Series) -> pd.Series:
+    return _each(lambda v: math.erfc(abs(v) / math.sqrt(2)), z)
+
+
+def correlation_p_of(r: Column, n: Column) -> Column:
+    """correlation_p of aggregated rows; NULL and fewer than three rows give NULL."""
+    return F.when(r.isNotNull() & (n >= 3), _correlation_p(r, n))
+
+
+def chi2_p_of(x: Column, k: Column) -> Column:
+    return F.when(x.isNotNull() & (k >= 1), _chi2_p(x, k))
+
+
+def normal_p_of(z: Column) -> Column:
+    """The two-sided p of a standard score."""
+    return F.when(z.isNotNull(), _normal_p(z))

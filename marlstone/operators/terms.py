@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,33 +10,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.arrays import counted
 
 
-def term_table(docs: DataFrame, words: Column, n: int = 1, min_docs: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """term, tokens, docs, and the share of all documents in per cent. Terms are summed once a document before the shuffle by term."""
+def term_table(docs: DataFrame, words: Column, n: int = 1, min_docs: int = 1) -> DataFrame:
+    """term, tokens, docs, and the share of all documents in per cent. Terms are counted within each row; one shuffle sums them."""
     total = docs.agg(F.count(F.lit(1)).alias("__n"))
-    grams = docs.select(id_col, F.explode(T.ngrams(words, n)).alias("term")).groupBy(id_col, "term").count()
-    out = grams.groupBy("term").agg(F.sum("count").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    grams = docs.select(F.explode(counted(T.ngrams(words, n))).alias("g"))
+    out = grams.groupBy(F.col("g.term").alias("term")).agg(F.sum("g.n").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     return out.crossJoin(F.broadcast(total)).withColumn("doc_share_pct", 100 * F.col("n_docs") / F.col("__n")).drop("__n")
 
 
 def tf_idf(docs: DataFrame, words: Column, id_col: str = "doc_id", min_df: int = 3, max_df: float = 0.9) -> DataFrame:
-    """(doc, term, weight): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), each document's weights of length one."""
+    """(doc, term, weight): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), each document's weights of length one. A document is a row; ids should be unique."""
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    tf = docs.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = docs.select(id_col, F.explode(counted(words)).alias("g")).select(id_col, F.col("g.term").alias("term"), F.col("g.n").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     raw = tf.join(df, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))).select(id_col, "term", "weight")
 
 
+#: Short words with their own endings, and words that take none.
+ENDINGS = {"oda": ("da", "dan", "ya", "yı", "nın", "sı", "mız", "lar", "ları", "m", "n"), "ses": ("i", "in", "ler", "leri", "siz", "inden")}
+UNINFLECTED = ("checkin", "checkout")
+
+
+def keyword_form(keyword: str, letters: str = "\\p{L}", suffix: int = 10) -> str:
+    """A pattern of a keyword's forms: phrases and shorter words exactly, words with own endings by these, others of four letters or more with up to suffix further letters."""
+    plain = re.escape(keyword).replace("\\ ", " ")
+    if keyword in ENDINGS:
+        return f"{plain}({'|'.join(ENDINGS[keyword])})?"
+    if " " in keyword or len(keyword) < 4 or keyword in UNINFLECTED:
+        return plain
+    return f"{plain}{letters}{{0,{suffix}}}"
+
+
 def keyword_pattern(keywords: Sequence[str], suffix: int = 10) -> str:
-    """Whole phrases; single words of four letters or more with up to suffix more letters; shorter words exactly."""
-    one = [f"{k}\\p{{L}}{{0,{suffix}}}" if " " not in k and len(k) >= 4 else k for k in keywords]
-    return "(^|[^\\p{L}])(" + "|".join(one) + ")([^\\p{L}]|$)"
+    """Any of the keywords' forms between other characters than letters."""
+    return "(^|[^\\p{L}])(" + "|".join(keyword_form(k, suffix=suffix) for k in keywords) + ")([^\\p{L}]|$)"
+
+
+def by_phrase(keywords: Sequence[str]) -> list[str]:
+    """Phrases of more words first, then longer ones, then as given."""
+    return sorted(dict.fromkeys(keywords), key=lambda k: (-len(k.split()), -len(k)))
+
+
+def keywords_found(text: Column, keywords: Sequence[str], unless: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """The keywords that occur, phrases first. unless: a keyword does not count in a text with one of these phrases, where it means something else."""
+    found = lambda k: text.rlike(keyword_pattern([k])) & (~text.rlike(keyword_pattern(unless[k])) if unless and k in unless else F.lit(True))
+    return F.array_compact(F.array(*(F.when(found(k), F.lit(k)) for k in by_phrase(keywords))))
+
+
+def aspect_flags(text: Column, aspects: Mapping[str, Sequence[str]], unless: Mapping[str, Mapping[str, Sequence[str]]] | None = None) -> dict[str, Column]:
+    """Whether any keyword of each aspect occurs; unless: by aspect, as in keywords_found."""
 
+    def flag(aspect: str, keywords: Sequence[str]) -> Column:
+        other = (unless or {}).get(aspect, {})
+        plain = [k for k in keywords if k not in other]
+        out = text.rlike(keyword_pattern(plain)) if plain else F.lit(False)
+        for k in (k for k in keywords if k in other):
+            out = out | (text.rlike(keyword_pattern([k])) & ~text.rlike(keyword_pattern(other[k])))
+        return F.coalesce(out, F.lit(False))
 
-def aspect_flags(text: Column, aspects: Mapping[str, Sequence[str]]) -> dict[str, Column]:
-    return {a: F.coalesce(text.rlike(keyword_pattern(k)), F.lit(False)) for a, k in aspects.items()}
+    return {a: flag(a, k) for a, k in aspects.items()}
 
 
 def aspect_rows(df: DataFrame, aspects: Sequence[str], ids: Sequence[str]) -> DataFrame:

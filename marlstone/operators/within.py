@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,3 +67,19 @@ def top_text(df: DataFrame, group: str, name: str, value: str, k: int) -> DataFr
     top = top_k(df, k, [F.col(value).desc(), F.col(name)], [group])
     items = F.sort_array(F.collect_list(F.struct("rn", F.concat(F.col(name), F.lit(":"), F.format_string("%.1f", F.col(value)), F.lit("%")).alias("t"))))
     return top.groupBy(group).agg(F.array_join(F.transform(items, lambda s: s["t"]), "|").alias("top"))
+
+
+def masked_rank(value: str, eligible: Column) -> Column:
+    """The rank from the largest on, ties at their first, among eligible rows that have a value; NULL for others. For tables of one row a group."""
+    counts = eligible & F.col(value).isNotNull()
+    return F.when(counts, F.rank().over(Window.partitionBy(counts).orderBy(F.desc(value))))
+
+
+def indices(df: DataFrame, components: Mapping[str, tuple[str, bool]], weights: Mapping[str, tuple[Mapping[str, float], int]]) -> DataFrame:
+    """df, one row a group, with its components and indices.
+
+    A component is a column from 0 to 100 between its least and largest, turned round where asked. An index is the mean
+    of its components by weight, over those that are not missing, and NULL with fewer than it needs.
+    """
+    out = df.withColumns({name: (100 - min_max(c)) if turned else min_max(c) for name, (c, turned) in components.items()})
+    return out.withColumns({name: available_mean([(F.col(c), w) for c, w in parts.items()], least) for name, (parts, least) in weights.items()})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import checks, clean, stats, terms, within
+from ..operators import checks, clean, ranks, stats, terms, within
 from .document_queries import NAMES
 from .frames import ASP, ENT, LONG, aspect_docs, entities, r6, table
 from .registry import query
@@ -105,7 +105,7 @@ def extremes(s, d):
 def diverse_sample(s, d):
     """The least, middle and largest by reviews, then the largest of each group, each entity at its first stage."""
     total = F.broadcast(table(s, d, "customer").agg(F.count(F.lit(1)).alias("n")))
-    r = entities(s, d).crossJoin(total).withColumns({"r": F.row_number().over(Window.orderBy("reviews", "entity_id")), "g": F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("reviews"), "entity_id"))})
+    r = ranks.numbered(entities(s, d), ["reviews", "entity_id"], "r").crossJoin(total).withColumns({"g": F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("reviews"), "entity_id"))})
     spots = (F.col("r") == 1) | (F.col("r") == F.floor(F.col("n") / 2)) | (F.col("r") == F.col("n"))
     picked = r.filter(spots).select("entity_id", F.lit(1).alias("stage")).unionByName(r.filter("g = 1").select("entity_id", F.lit(2).alias("stage")))
     return picked.groupBy("entity_id").agg(F.min("stage").alias("stage"))

@@ -32,12 +32,6 @@ def core_name(s, d):
     return table(s, d, "supplier").select("s_suppkey", X.core_name(F.col("s_name"), ["supplier"]).alias("core"))
 
 
-@query("tx03_phone_key", "SELECT o_orderkey, right('+90 (252) ' || lpad(o_custkey::VARCHAR, 7, '0'), 7) AS tail FROM orders")
-def phone_key(s, d):
-    raw = F.concat(F.lit("+90 (252) "), F.lpad(F.col("o_custkey").cast("string"), 7, "0"))
-    return table(s, d, "orders").select("o_orderkey", F.right(X.phone_key(raw), F.lit(7)).alias("tail"))
-
-
 @query("tx08_truth", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE END AS v FROM part")
 def truth(s, d):
     k = F.col("p_size") % 4
@@ -200,21 +194,11 @@ def urls(s, d):
     return table(s, d, "pages").select("page_id", X.canonical_url(F.col("url"), "").alias("path"))
 
 
-@query("tx28_slug", "SELECT s_suppkey, regexp_replace(trim(regexp_replace(lower(s_name), '[^a-z0-9_]+', ' ', 'g')), '[ _]+', '-', 'g') AS slug FROM supplier")
-def slug(s, d):
-    return table(s, d, "supplier").select("s_suppkey", X.slug(F.col("s_name")).alias("slug"))
-
-
 @query("tx30_stable_id", "SELECT c_custkey, 'ent_' || left(sha256(trim(c_name) || chr(1) || coalesce(c_mktsegment, '')), 24) AS id FROM customer")
 def stable_id(s, d):
     return table(s, d, "customer").select("c_custkey", X.stable_id("ent_", F.col("c_name"), F.col("c_mktsegment")).alias("id"))
 
 
-@query("tx36_variants", "SELECT lower(p_type) AS key, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS variants FROM part GROUP BY 1 HAVING count(DISTINCT p_type) >= 1")
-def variants(s, d):
-    return table(s, d, "part").groupBy(F.lower("p_type").alias("key")).agg(F.array_join(F.sort_array(F.collect_set("p_type")), "|").alias("variants"))
-
-
 @query("dt01_date_pattern", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'ISO' WHEN 1 THEN 'DAY_MONTH_YEAR' WHEN 2 THEN 'RELATIVE' ELSE 'UNRECOGNIZED' END AS pattern FROM part")
 def date_pattern(s, d):
     k = F.col("p_size") % 4
@@ -232,38 +216,6 @@ def duplicate_audit(s, d):
     return resolve.duplicate_audit(table(s, d, "customer"), {"same_segment_nation": ["c_mktsegment", "c_nationkey"]}, "c_custkey")
 
 
-@query("jn16_er01_er03_matches")
-def matches(s, d):
-    """Suppliers against customers of positive balance, blocked by phone and core words, best candidate each."""
-    shipped(s)
-    col = lambda i, n, k: (F.col(i).alias("id"), F.col(n).alias("name"), F.concat(F.lit("0252"), F.lpad(F.col(i).cast("string"), 7, "0")).alias("phone"), F.col(k).cast("string").alias("area"))
-    c = resolve.candidates(table(s, d, "supplier").select(*col("s_suppkey", "s_name", "s_nationkey")), table(s, d, "customer").filter("c_acctbal > 0").select(*col("c_custkey", "c_name", "c_nationkey")))
-    phone, area = X.phone_key(F.col("phone_l")) == X.phone_key(F.col("phone_r")), F.col("area_l") == F.col("area_r")
-    c = c.withColumn("score", resolve.match_score(F.col("name_similarity"), phone, area, F.lit(None).cast("double")))
-    c = c.withColumn("status", resolve.match_class(F.col("score"), F.col("name_similarity"), phone, area))
-    best = within.first_by(c, ["id_l"], [F.desc("score"), F.desc("name_similarity"), F.col("id_r")])
-    return resolve.assigned_once(best, "id_r", "score", "id_l").select("id_l", "id_r", "score", "status")
-
-
-@query("er13_jn19_alignment", AL + ", r AS (SELECT lang, aspect, 100.0 * avg(matched::INT) FILTER (doc_id % 2 = 0) AS a, 100.0 * avg(matched::INT) FILTER (doc_id % 2 = 1) AS b, count(*) FILTER (matched) AS support FROM lng GROUP BY 1, 2) SELECT lang, aspect, CASE WHEN a IS NULL OR b IS NULL THEN 'ONE_SOURCE' WHEN support < 5 THEN 'LOW_SUPPORT' WHEN a >= 25 AND b >= 25 THEN 'SHARED_STRONG' WHEN a >= 15 AND b >= 15 THEN 'SHARED' WHEN abs(a - b) >= 50 THEN 'DIVERGENT' ELSE 'WEAK' END AS label FROM r")
-def alignment(s, d):
-    """Both halves of the documents, by even and odd id, stand for two sources."""
-    rows = terms.aspect_rows(aspect_docs(s, d), NAMES, ["doc_id", "lang"])
-    half = lambda k: 100 * F.avg(F.when(F.col("doc_id") % 2 == k, F.col("matched").cast("int")))
-    g = rows.groupBy("lang", "aspect").agg(half(0).alias("a"), half(1).alias("b"), F.count_if("matched").alias("support"))
-    return g.select("lang", "aspect", resolve.alignment_label(F.col("a"), F.col("b"), F.col("support")).alias("label"))
-
-
-@query("src12_listing_rows")
-def listing_rows(s, d):
-    return pages.links(table(s, d, "pages"))
-
-
-@query("src13_src14_detail")
-def detail(s, d):
-    return pages.detail(table(s, d, "pages"))
-
-
 @query("snk03_snk05_merge", "SELECT k, sum(n)::BIGINT AS n FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, count(*) FROM supplier GROUP BY 1) GROUP BY 1")
 def merge(s, d):
     a = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -280,10 +232,3 @@ def upsert(s, d):
 @query("snk07_json")
 def json_rows(s, d):
     return io.as_json(entities(s, d))
-
-
-@query("tk08_stratified_sample", f"WITH {ENT} SELECT segment, least(20, count(*)) AS n FROM ent GROUP BY 1")
-def stratified_sample(s, d):
-    """A seeded sample of 20 of each segment; its sizes are held against SQL."""
-    picked = within.top_k(entities(s, d), 20, [F.xxhash64(F.lit(42), "entity_id"), F.col("entity_id")], ["segment"])
-    return picked.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))

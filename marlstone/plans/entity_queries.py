@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import checks, clean, stats, within
+from ..operators import checks, clean, ranks, stats, within
 from .frames import ENT, entities, r6, table
 from .registry import query
 
@@ -116,10 +116,10 @@ def number_format(s, d):
     return table(s, d, "part").select("p_partkey", clean.swapped_number(F.col("p_retailprice")).alias("shown"))
 
 
-@query("jn09_full_counts", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS suppliers, coalesce(b.n, 0) AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) a FULL JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1) b ON a.k = b.k")
+@query("jn09_full_counts", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS suppliers, coalesce(b.n, 0) AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) a FULL JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) b ON a.k = b.k")
 def full_counts(s, d):
     a = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
-    b = table(s, d, "customer").filter("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
+    b = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
     return a.join(b, "k", "full").fillna(0)
 
 
@@ -273,12 +273,6 @@ def _groups(s, d):
     return g.withColumns({"q": within.min_max("rating"), "p": within.min_max("price")})
 
 
-@query("wn04_wn08_indices", GRP + "SELECT grp, round(q, 4) AS quality, round((0.6 * q + 0.4 * (100 - p)), 4) AS value_index, rank() OVER (ORDER BY 0.6 * q + 0.4 * (100 - p) DESC) AS rnk FROM x")
-def indices(s, d):
-    g = _groups(s, d).withColumn("v", within.available_mean([(F.col("q"), 0.6), (100 - F.col("p"), 0.4)], 2))
-    return g.select("grp", F.round("q", 4).alias("quality"), F.round("v", 4).alias("value_index"), F.rank().over(Window.orderBy(F.desc("v"))).alias("rnk"))
-
-
 @query("wn09_jn03_sensitivity", GRP + ", sc AS (SELECT * FROM (VALUES ('even', 0.5), ('quality', 0.8), ('price', 0.2)) t(scenario, w)), r AS (SELECT grp, scenario, rank() OVER (PARTITION BY scenario ORDER BY w * q + (1 - w) * (100 - p) DESC) AS rnk FROM x, sc) SELECT grp, scenario, rnk, max(rnk) OVER (PARTITION BY grp) - min(rnk) OVER (PARTITION BY grp) >= 4 AS sensitive FROM r")
 def sensitivity(s, d):
     sc = s.createDataFrame([("even", 0.5), ("quality", 0.8), ("price", 0.2)], "scenario string, w double")
@@ -335,7 +329,7 @@ def top(s, d):
 
 @query("tk02_priority", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS priority FROM supplier")
 def priority(s, d):
-    return table(s, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("priority"))
+    return ranks.numbered(table(s, d, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"], "priority", descending=True).select("s_suppkey", "priority")
 
 
 @query("tk04_tk06_cases", E + "(SELECT 'dear' AS case_label, entity_id FROM ent WHERE price > (SELECT quantile_cont(price, 0.95) FROM ent) ORDER BY price DESC, entity_id LIMIT 5) UNION ALL (SELECT 'busy', entity_id FROM ent WHERE reviews > (SELECT quantile_cont(reviews, 0.95) FROM ent) ORDER BY reviews DESC, entity_id LIMIT 5)")
@@ -370,11 +364,6 @@ def union(s, d):
     return a.unionByName(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), allowMissingColumns=True)
 
 
-@query("st01_pearson", E + "SELECT round(corr(rating, price), 4) AS r, count(price) AS n FROM ent")
-def pearson(s, d):
-    return entities(s, d).agg(F.round(stats.pearson(F.col("rating"), F.col("price")), 4).alias("r"), F.count("price").alias("n"))
-
-
 RANKED = E + ", r AS (SELECT rank() OVER (ORDER BY reviews) + (count(*) OVER (PARTITION BY reviews) - 1) / 2.0 AS x, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 AS y FROM ent WHERE price IS NOT NULL) "
 
 
@@ -383,16 +372,6 @@ def spearman(s, d):
     return stats.spearman(entities(s, d), "reviews", "price").select("n", r6(F.col("rho")).alias("rho"))
 
 
-@query("st03_kruskal", E + ", r AS (SELECT segment, rating, rank() OVER (ORDER BY rating) + (count(*) OVER (PARTITION BY rating) - 1) / 2.0 AS k FROM ent), t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY rating)), g AS (SELECT sum(s * s / m) AS q, sum(m)::DOUBLE AS n, count(*) AS groups FROM (SELECT sum(k) AS s, count(*) AS m FROM r GROUP BY segment)) SELECT groups, n, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 4) AS h FROM g, t")
-def kruskal(s, d):
-    return stats.kruskal(entities(s, d), "segment", "rating").select("groups", F.col("n").cast("double").alias("n"), F.round("h", 4).alias("h"))
-
-
-@query("st04_mann_whitney", E + ", r AS (SELECT segment, rank() OVER (ORDER BY rating) + (count(*) OVER (PARTITION BY rating) - 1) / 2.0 AS k FROM ent WHERE segment IN ('BUILDING', 'MACHINERY')) SELECT count(*) FILTER (segment = 'BUILDING') AS n_a, count(*) FILTER (segment <> 'BUILDING') AS n_b, sum(k) FILTER (segment = 'BUILDING') - count(*) FILTER (segment = 'BUILDING') * (count(*) FILTER (segment = 'BUILDING') + 1) / 2 AS u FROM r")
-def mann_whitney(s, d):
-    return stats.mann_whitney(entities(s, d), "segment", "rating", "BUILDING", "MACHINERY")
-
-
 @query("st05_trend", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem")
 def trend(s, d):
     return table(s, d, "lineitem").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 2).alias("intercept"))
@@ -416,11 +395,6 @@ def dq_report(s, d):
     return checks.report(table(s, d, "customer"), [("negative_balance", F.col("c_acctbal") < 0, "WARNING"), ("missing_name", F.col("c_name").isNull(), "FAIL"), ("odd_segment", F.length("c_mktsegment") < 8, "FAIL")])
 
 
-@query("dq05_quality_score", E + "SELECT round(100 * (0.6 * avg((price IS NOT NULL)::INT) + 0.4 * avg((rating > 0)::INT)), 4) AS score FROM ent")
-def quality_score(s, d):
-    return entities(s, d).agg(F.round(100 * (0.6 * F.avg(F.col("price").isNotNull().cast("int")) + 0.4 * F.avg((F.col("rating") > 0).cast("int"))), 4).alias("score"))
-
-
 @query("dq07_compare", "SELECT k, round(a.v, 2) AS expected, round(b.v, 2) AS actual, CASE WHEN a.v IS NULL THEN 'ONLY_ACTUAL' WHEN b.v IS NULL THEN 'ONLY_EXPECTED' WHEN abs(a.v - b.v) <= 1e-6 + 1e-9 * abs(a.v) THEN 'MATCH' ELSE 'DIFFERENT' END AS status FROM (SELECT c_nationkey AS k, sum(c_acctbal) AS v FROM customer GROUP BY 1) a FULL JOIN (SELECT c_nationkey AS k, sum(c_acctbal) AS v FROM customer WHERE c_nationkey % 5 > 0 OR c_acctbal > 0 GROUP BY 1) b USING (k)")
 def compare(s, d):
     c = table(s, d, "customer").withColumnRenamed("c_nationkey", "k")
@@ -433,11 +407,6 @@ def orphans(s, d):
     return table(s, d, "lineitem").join(table(s, d, "orders").filter("o_orderstatus <> 'P'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@query("snk08_fingerprint")
-def fingerprint(s, d):
-    return checks.fingerprint(table(s, d, "nation"))
-
-
 @query("nb09_area_correlation", E + ", g AS (SELECT grp, avg(rating) AS a, sum(reviews)::DOUBLE AS b FROM ent GROUP BY 1) SELECT round(corr(a, b), 4) AS r FROM g")
 def area_correlation(s, d):
     g = entities(s, d).groupBy("grp").agg(F.avg("rating").alias("a"), F.sum("reviews").cast("double").alias("b"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import checks, clean, resolve, similar, stats, terms, within
+from ..operators import checks, clean, ranks, resolve, similar, stats, terms, within
 from .document_queries import TOK, _tokens
 from .frames import ASP, ASPECTS, ENT, LONG, MON, SHIP, aspect_docs, entities, monthly, r6, shipped_monthly, table
 from .registry import query
@@ -29,11 +29,12 @@ def group_context(s, d):
     return checks.joined_once(g, n.join(m, "n_nationkey").select("grp", "suppliers", "spread"), ["grp"])
 
 
-@query("jn06_jn07_doc_master", "SELECT l_orderkey, l_linenumber, o_custkey, coalesce(n, 0) AS replies, coalesce(n, 0) > 0 AS has_reply FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) ON user_id = o_custkey WHERE l_quantity >= 49")
+@query("jn06_jn07_doc_master", "SELECT l_orderkey, l_linenumber, o_custkey, coalesce(n, 0) AS replies, coalesce(n, 0) > 0 AS has_reply FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) ON user_id = o_custkey")
 def doc_master(s, d):
+    """Every document finds its entity once: a repeated order raises, and so does a repeated count."""
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     ev = table(s, d, "events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("o_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    j = table(s, d, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_linenumber").join(o, "l_orderkey").join(ev, "o_custkey", "left")
+    j = checks.joined_once(checks.joined_once(table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), o, ["l_orderkey"], "inner"), ev, ["o_custkey"])
     return j.select("l_orderkey", "l_linenumber", "o_custkey", F.coalesce("n", F.lit(0)).alias("replies"), (F.coalesce("n", F.lit(0)) > 0).alias("has_reply"))
 
 
@@ -132,13 +133,6 @@ def negative_conflict(s, d):
     return _candidates(s, d).select("k", "c", (better & ~F.col("contact")).alias("conflict"))
 
 
-@query("er10_siblings", r"WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages) SELECT host, count(*) AS n, min(page_id) AS first_id, count(*) - 1 AS siblings FROM h GROUP BY 1 HAVING count(*) > 1")
-def siblings(s, d):
-    host = F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")
-    g = table(s, d, "pages").groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id")).filter("n > 1")
-    return g.withColumn("siblings", F.col("n") - 1)
-
-
 @query("er12_decisions", "WITH v(s_suppkey, decision) AS (VALUES (0, 'ACCEPT'), (1, 'REJECT'), (3, 'ACCEPT')) SELECT s.s_suppkey, coalesce(decision, 'OPEN') AS decision, s_name || ' -> ' || coalesce(decision, 'OPEN') AS evidence FROM supplier s LEFT JOIN v USING (s_suppkey)")
 def decisions(s, d):
     """Curated decisions are a table that is joined, with a line of evidence."""
@@ -161,17 +155,7 @@ def readiness(s, d):
 def registry_duplicates(s, d):
     g = table(s, d, "part").groupBy("p_name", "p_type").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("p_brand") > 1).alias("b"), (F.count_distinct("p_size") > 1).alias("z")).filter("n > 1")
     flags = clean.flags_text([(F.col("b"), "BRAND"), (F.col("z"), "SIZE")])
-    return g.select("p_name", "p_type", "n", flags.alias("conflicts"), F.dense_rank().over(Window.orderBy("p_name", "p_type")).cast("long").alias("group_id"))
-
-
-@query("tk09_validation_sample", AL + ", n AS (SELECT doc_id, sum(matched::INT) AS k FROM lng GROUP BY 1), st AS (SELECT doc_id, 1 AS stage FROM (SELECT aspect, min(doc_id) AS doc_id FROM lng WHERE matched GROUP BY 1) UNION ALL SELECT doc_id, 2 FROM n WHERE k = 0 UNION ALL SELECT doc_id, 3 FROM n WHERE k >= 4) SELECT doc_id, min(stage) AS stage FROM st GROUP BY 1 ORDER BY stage, doc_id LIMIT 40")
-def validation_sample(s, d):
-    """A reviewer's sample of 40: the first of each aspect, then documents without any, then those with many."""
-    docs = aspect_docs(s, d)
-    k = sum((F.col(a).cast("int") for a in ASPECTS), F.lit(0))
-    first = terms.aspect_rows(docs, list(ASPECTS), ["doc_id"]).filter("matched").groupBy("aspect").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(1).alias("stage"))
-    rest = docs.select("doc_id", F.when(k == 0, 2).when(k >= 4, 3).alias("stage")).filter("stage IS NOT NULL")
-    return first.unionByName(rest).groupBy("doc_id").agg(F.min("stage").alias("stage")).orderBy("stage", "doc_id").limit(40)
+    return ranks.numbered(g.select("p_name", "p_type", "n", flags.alias("conflicts")), ["p_name", "p_type"], "group_id")
 
 
 @query("tk10_quotes", AL + ", q AS (SELECT aspect, rating_group, lng.doc_id, length(text) BETWEEN 40 AND 260 AS fits FROM lng JOIN documents d ON d.doc_id = lng.doc_id WHERE matched) SELECT aspect, rating_group, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY aspect, rating_group ORDER BY fits DESC, sha256(doc_id::VARCHAR), doc_id) AS rn FROM q) WHERE rn <= 2")
@@ -264,11 +248,6 @@ def substring_aspects(s, d):
     return table(s, d, "documents").select("doc_id", F.contains(t, F.lit("tion")).alias("motion"), (F.contains(t, F.lit("over")) | F.contains(t, F.lit("in "))).alias("place"))
 
 
-@query("tx31_author_type", "SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'COMPANY' WHEN 'user' THEN 'CUSTOMER' ELSE 'UNKNOWN' END AS author FROM conversations")
-def author_type(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", clean.recoded(F.col("role"), {"assistant": "COMPANY", "user": "CUSTOMER"}, "UNKNOWN").alias("author"))
-
-
 @query("tx32_rating", "SELECT event_id, CASE WHEN round_even(value, 0) BETWEEN 1 AND 5 THEN round_even(value, 0)::INT END AS rating FROM events")
 def rating(s, d):
     """Ratings as they are written ('3,5/5') back to whole stars of 1 to 5."""
@@ -282,36 +261,18 @@ def brand_tokens(s, d):
     return table(s, d, "part").select("p_partkey", (F.array_join(words, " ") == "").alias("nameless"), F.size(words).cast("long").alias("n"))
 
 
-@query("tx34_tx35_validated", "SELECT page_id, CASE WHEN regexp_matches(url, 'page=') THEN 'EXCLUDED' WHEN contains(url, '/en/') THEN 'MATCH' WHEN contains(url, 'example') THEN 'AMBIGUOUS' ELSE 'NONE' END AS verdict FROM pages")
-def validated(s, d):
-    """Rules as a table of (pattern, verdict): exclusion goes before a match, a match before doubt."""
-    rules = [("page=", "EXCLUDED"), ("/en/", "MATCH"), ("example", "AMBIGUOUS")]
-    return table(s, d, "pages").select("page_id", clean.first_label([(F.col("url").rlike(p), v) for p, v in rules], "NONE").alias("verdict"))
-
-
 @query("dt06_dt08_future", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS period, o_orderdate > TIMESTAMP '1998-01-01 00:00:00' + INTERVAL 1 DAY AS future FROM orders")
 def future(s, d):
     late = F.col("o_orderdate") > F.expr("TIMESTAMP '1998-01-01 00:00:00' + INTERVAL 1 DAY")
     return table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("period"), late.alias("future"))
 
 
-@query("st10_group_lengths", f"WITH {ASP}, x AS (SELECT rating_group, length(text) AS v FROM asp JOIN documents USING (doc_id) WHERE text IS NOT NULL), r AS (SELECT rating_group, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM x), q AS (SELECT sum(s * s / m) AS q, sum(m) AS n FROM (SELECT sum(r) AS s, count(*) AS m FROM r GROUP BY rating_group)), t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY v)) SELECT n::BIGINT AS n, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)), 4) AS h FROM q, t")
+@query("st10_group_lengths", f"WITH {ASP}, x AS (SELECT rating_group, length(text) AS v FROM asp JOIN documents USING (doc_id) WHERE text IS NOT NULL), r AS (SELECT rating_group, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM x), q AS (SELECT sum(s * s / m) AS q, sum(m) AS n FROM (SELECT sum(r) AS s, count(*) AS m FROM r GROUP BY rating_group)), t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY v)) SELECT n::BIGINT AS n, round(h, 4) AS h, round(exp(-h / 2), 6) AS p, round(h / ((n * n - 1) / (n + 1)), 6) AS epsilon2 FROM (SELECT n, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM q, t)")
 def group_lengths(s, d):
     lab = table(s, d, "labels").select("doc_id", "quality")
     docs = table(s, d, "documents").select("doc_id", F.length("text").alias("v")).join(lab, "doc_id", "left")
     g = F.when(F.col("quality") == 0, "LOW").when(F.col("quality") == 1, "HIGH").otherwise("MIXED")
-    return stats.kruskal(docs.withColumn("g", g), "g", "v").select("n", F.round("h", 4).alias("h"))
-
-
-KEYS = [("motion", "tion", "SEED"), ("place", "over", "SEED"), ("joiner", "und", "DISCOVERED")]
-
-
-@query("tm02_dictionary", " UNION ALL ".join(f"SELECT '{a}' AS aspect, '{k}' AS keyword, '{o}' AS origin, count(*) FILTER (contains(lower(text), '{k}')) AS n_docs FROM documents" for a, k, o in KEYS))
-def dictionary(s, d):
-    """All keywords are counted in one scan."""
-    t = F.lower("text")
-    one = table(s, d, "documents").agg(*(F.struct(F.lit(a).alias("aspect"), F.lit(k).alias("keyword"), F.lit(o).alias("origin"), F.count_if(F.contains(t, F.lit(k))).alias("n_docs")).alias(k) for a, k, o in KEYS))
-    return one.unpivot([], [k for _, k, _ in KEYS], "x", "s").select("s.*")
+    return stats.kruskal(docs.withColumn("g", g), "g", "v").select("n", F.round("h", 4).alias("h"), r6(F.col("p")).alias("p"), r6(F.col("epsilon2")).alias("epsilon2"))
 
 
 @query("src07_src05_value_set", "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND source <> ''")
@@ -330,8 +291,8 @@ def capped(s, d):
 def chunks(s, d):
     """Five equal slices of a list of targets, all of one size but the last."""
     n = table(s, d, "supplier").agg(F.ceil(F.count(F.lit(1)) / 5).alias("size"))
-    at = F.row_number().over(Window.orderBy("s_suppkey")) - 1
-    return table(s, d, "supplier").select("s_suppkey", at.alias("at")).crossJoin(F.broadcast(n)).select("s_suppkey", F.floor(F.col("at") / F.col("size")).alias("chunk"))
+    rows = ranks.numbered(table(s, d, "supplier").select("s_suppkey"), ["s_suppkey"], "at")
+    return rows.crossJoin(F.broadcast(n)).select("s_suppkey", F.floor((F.col("at") - 1) / F.col("size")).alias("chunk"))
 
 
 @query("src16_src17_slugs", r"SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS slug, regexp_matches(url, 'page=\d+') AS paged, len(regexp_extract_all(url, '/')) - 2 AS depth FROM pages")

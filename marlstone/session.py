@@ -25,6 +25,17 @@ def session(app: str = "marlstone", master: str | None = None, partitions: int |
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset and Spark runs in this process."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def shipped(spark: SparkSession) -> None:
     """Sends this package to the Python workers once a session, so that they need no path to it."""
     context, root = spark.sparkContext, Path(__file__).resolve().parent

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import upserted
-
 
 def landing(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
@@ -21,15 +19,40 @@ def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "2 days"
     return out.select(F.col("w.start").alias("window_start"), kind, "n_events", "total")
 
 
-def upsert_stream(stream: DataFrame, table: str, key: str, checkpoint: str):
-    """Keeps a table's newest row a key: each batch replaces the rows of its keys, in a new version of the table that then takes the old one's place."""
+def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key: the one with the largest order, ties by the whole row. Rows without a key are one key."""
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(whole, F.struct(order, F.xxhash64(*rows.columns))).alias("__row")).select("__row.*")
+
+
+def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
+    """Keeps the newest row of each key (by order) of a stream as Parquet below path, a folder for each batch.
+
+    A batch joins the last version with its own newest rows and writes the next one; the version before it stays until
+    the batch after, so that a batch that is run again after a failure starts from the same rows. A missing key is a
+    key. latest() reads the table.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if spark.catalog.tableExists(table):
-            new = upserted(spark.table(table), new, key)
-        new.write.mode("overwrite").saveAsTable(f"{table}__next")
-        spark.table(f"{table}__next").write.mode("overwrite").saveAsTable(table)
+        versions = _versions(spark, path)
+        old = [v for v in versions if v < epoch]
+        rows = batch if not old else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{old[-1]:012d}"))
+        newest(rows, key, order).write.mode("overwrite").parquet(f"{path}/{epoch:012d}")
+        for v in old[:-1]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{v:012d}")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions that were written to their end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted(int(x.getPath().getParent().getName()) for x in found)
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upsert_stream keeps, as of its last batch."""
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]:012d}")
