@@ -5,8 +5,8 @@ kept as arcs: an arc carries the absolute-discounted, interpolated log-probabili
 state's failure arc leads to the longest shorter context with the mass that its arcs leave. Below all lies the add-half
 unigram distribution over the whole vocabulary and one unknown token, so every state's distribution sums to one. Up to
 AUTOMATON_TOKENS the automaton is built on the driver and broadcast; beyond, documents are dealt in blocks, n-grams
-in parts by context, and each block is sent the counts and failure weights of its own n-grams, from which it
-computes the same scores.
+in parts by context, and each block is sent the counts and failure weights of its own n-grams, that
+is its part of the automaton's states and arcs, along which it computes the same scores.
 
 By the automaton a text is scored in one left-to-right traversal, for many texts at once: a lane carries its state, follows the arc of
 the next token or falls along failure arcs until there is one, and adds up what it passes. Long texts are cut in
@@ -21,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .apply import annotated, gathered, trimmed
+from .apply import annotated, arrow_type, gathered, trimmed
 from .store import dropped, saved, shipped
 from .toxicity import fold
 from .words import END, buffers, combine, word_table
+from .words import batches as word_batches
 
 ORDER, DISCOUNT = 3, 0.75
 #: Relative frequencies from which tokens, and longer n-grams, enter the model; both occur twice at least, which is all that is asked by default.
@@ -37,6 +39,8 @@ START, HOT = np.uint64(0xA4093822299F31D0), 2e-3
 FOLDS, HELD = 5, 1
 #: A block's n-grams take some twenty times the memory of its text.
 BLOCK_BYTES, LANE = 8 << 20, 512
+#: Bytes of text that a task deals to blocks at once.
+PIECES = 32 << 20
 
 
 @dataclass
@@ -91,7 +95,12 @@ def index_of(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all texts' tokens, each text closed by END, and the offsets of the texts."""
-    hashes, size = word_table(*buffers(text))
+    return tokens_in(*buffers(text))
+
+
+def tokens_in(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """tokens_of the texts that lie in data between ends."""
+    hashes, size = word_table(data, ends)
     ends = np.cumsum(size)
     return np.insert(hashes, ends, END), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
@@ -315,8 +324,63 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
+def _unpacked_all(columns: list[bytes], sizes: list[int]) -> np.ndarray:
+    return np.concatenate([_unpacked(x, m) for x, m in zip(columns, sizes, strict=True)] or [np.zeros(0, np.int64)])
+
+
+#: Names travel as their upper 48 bits. Beside the number of their part, of some million n-grams whatever the size of the corpus, that tells them apart but for one in 10^8.
+NAME = ~np.uint64(0xFFFF)
+
+
+def _cut(names: np.ndarray) -> bytes:
+    return np.ascontiguousarray(names).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 ASKED = "part int, k int, block int, n long, keys binary, counts binary, ctx binary, sizes binary, hot binary"
-TOLD = "block int, k int, part int, n long, counts binary, spent binary"
+TOLD = "block int, k int, part int, n long, counts binary, runs long, sums binary, kinds binary"
+
+
+def _in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows (doc_id, held_out, text) as pieces of blocks (block, ids, held, times, sizes, data), dealt by hash of id and text.
+
+    A task joins what it has of a block in one piece with its texts compressed, and rows equal in all in one with their
+    number, so a row that is repeated very often is a few rows of its block.
+    """
+    kind = rows.schema["doc_id"].dataType
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType().add("block", T.IntegerType()).add("ids", T.ArrayType(kind)).add("held", T.ArrayType(T.BooleanType())).add("times", T.ArrayType(T.IntegerType())).add("sizes", T.ArrayType(T.IntegerType())).add("data", T.BinaryType())
+    arrow = [arrow_type(f.dataType) for f in schema]
+
+    def pack(batches):
+        for batch in batches:
+            for at, end in word_batches(batch.column(3), PIECES):
+                part = pa.Table.from_batches([batch.slice(at, end - at)]).group_by(batch.schema.names).aggregate([([], "count_all")]).sort_by("block").combine_chunks()
+                block = part.column("block").to_numpy()
+                data, offsets = buffers(part.column("text"))
+                cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)).astype(np.int32)
+                lists = lambda c, t: pa.ListArray.from_arrays(pa.array(cut), c.combine_chunks().cast(t) if isinstance(c, pa.ChunkedArray) else pa.array(c, t))  # noqa: B023, E731
+                columns = [lists(c, t.value_type) for c, t in zip((part.column("doc_id"), part.column("held_out"), part.column("count_all"), np.diff(offsets)), arrow[1:5], strict=True)]
+                packed = [pa.compress(data[offsets[i] : offsets[j]].tobytes(), "zstd", asbytes=True) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]], pa.int32()), *columns, pa.array(packed, pa.binary())], schema.names)
+            trimmed()
+
+    shipped(rows.sparkSession)
+    return dealt.mapInArrow(pack, schema)
+
+
+def _opened(pieces: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a block's rows, whether they are held out and how often they are there; then the bytes of all texts and their offsets."""
+    flat = lambda c: pa.concat_arrays([x.flatten() for x in pieces.column(c).chunks])
+    sizes = [sum(x) for x in pieces.column("sizes").to_pylist()]
+    data = b"".join(pa.decompress(x.as_buffer(), n, "zstd", asbytes=True) if n else b"" for x, n in zip(pieces.column("data"), sizes, strict=True))
+    offsets = np.concatenate([[0], np.cumsum(flat("sizes").to_numpy(zero_copy_only=False).astype(np.int64))])
+    return flat("ids"), flat("held").to_numpy(zero_copy_only=False), flat("times").to_numpy(zero_copy_only=False), np.frombuffer(data, np.uint8), offsets
 
 
 def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order: int, least: tuple[float, float]) -> DataFrame:
@@ -329,8 +393,8 @@ def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    parts = max(1, -(-int(size) // BLOCK_BYTES))
+    blocks = _in_blocks(rows, parts)
     floor, word_floor = max(2, least[1] * total), max(2, least[0] * total)
 
     def words_from(least_count):
@@ -339,23 +403,23 @@ def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order
     # Words of n-grams that are frequent enough are themselves, unless more is asked of words.
     sent = spark.sparkContext.broadcast((words_from(max(2, HOT * total)), words_from(word_floor) if word_floor > floor else None))
     dropped(counts)
-    shipped(spark)
 
     def work(left: pa.Table, right: pa.Table | None, done: int, upto: int, names: np.ndarray, taken: np.ndarray):
         """The Requests of orders above done to upto, and the columns of the scores by orders up to done, whose answers right has."""
-        hashes, offsets = tokens_of(left.column("text").combine_chunks())
-        weight = np.repeat(~left.column("held_out").to_numpy(), np.diff(offsets))
+        ids, held, times, data, ends = _opened(left)
+        hashes, offsets = tokens_in(data, ends)
+        weight = np.repeat(np.where(held, 0, times), np.diff(offsets))
         asked, found, low, chance, known, often = [], None, None, None, None, None
         if right is not None:
             right = right.sort_by([("k", "ascending"), ("part", "ascending")])
             ks = right.column("k").to_numpy()
         for k, chain in enumerate(_chains(hashes, offsets, upto, list(sent.value)), 1):
-            r = _request(k, chain, found, weight, blocks)
+            r = _request(k, chain, found, weight, parts)
             if k > done:
                 asked.append((k, r))
                 continue
             mine = right.filter(pa.array(ks == k))
-            c = np.concatenate([_unpacked(x, m) for x, m in zip(mine.column("counts").to_pylist(), mine.column("n").to_pylist(), strict=True)] or [np.zeros(0, np.int64)])
+            c = _unpacked_all(mine.column("counts").to_pylist(), mine.column("n").to_pylist())
             found = np.zeros(len(hashes), np.int64)
             found[r.at] = c[r.place]
             if k == 1:
@@ -363,17 +427,19 @@ def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order
                 chance, often = low.copy(), np.roll(found, 1)
                 often[offsets[:-1]] = found[offsets[1:] - 1]
                 continue
-            spent = np.frombuffer(b"".join(mine.column("spent").to_pylist())).copy()
-            spent[r.hot] = taken[index_of(names, r.ctx[r.hot])]
+            spent = np.add(*(_unpacked_all(mine.column(name).to_pylist(), mine.column("runs").to_pylist()) * times for name, times in (("sums", 1.0), ("kinds", -DISCOUNT))))
+            spent[r.hot] = taken[index_of(names, r.ctx[r.hot] & NAME)]
             spent = np.repeat(spent, np.diff(np.append(r.run, len(r.keys))))[r.place]
             often = np.maximum(often[r.at], 1)
             chance[r.at] = np.maximum(found[r.at] - DISCOUNT, 0) / often + np.clip(1 - spent / often, 1e-12, 1.0) * chance[r.at]
             often = np.roll(found, 1)
         if done < upto:
             return asked, []
-        row = np.repeat(np.arange(len(left)), np.diff(offsets))
-        sums = lambda v: np.bincount(row, v, len(left))
-        return [], [np.diff(offsets), sums(known > 0).astype(np.int64), np.full(len(left), total, np.int64), sums(np.log10(low)), sums(np.log10(chance))]
+        row, n = np.repeat(np.arange(len(ids)), np.diff(offsets)), len(ids)
+        sums = lambda v: np.bincount(row, v, n)
+        each = np.repeat(np.arange(n), times)
+        columns = [np.diff(offsets), sums(known > 0).astype(np.int64), np.full(n, total, np.int64), sums(np.log10(low)), sums(np.log10(chance))]
+        return [], [ids.take(pa.array(each)), held[each], *(c[each] for c in columns)]
 
     def asks(left: pa.Table, right: pa.Table | None, done: int, upto: int, hot) -> pa.Table:
         out = []
@@ -385,7 +451,7 @@ def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order
             keys = np.where(r.keys == np.repeat(r.ctx, sizes), np.uint64(0), r.keys) if k > 2 else r.keys
             for i, (a, b) in enumerate(zip(cut, np.append(cut[1:], len(r.keys)), strict=True)):
                 u, v = runs[i], runs[i + 1]
-                out.append((int(r.part[a]), k, block, int(b - a), keys[a:b].tobytes(), _packed(r.count[a:b]), r.ctx[u:v].tobytes(), _packed(sizes[u:v]), r.hot[u:v].tobytes()))
+                out.append((int(r.part[a]), k, block, int(b - a), _cut(keys[a:b]), _packed(r.count[a:b]), _cut(r.ctx[u:v]), _packed(sizes[u:v]), r.hot[u:v].tobytes()))
         trimmed()
         return _rows(out, ASKED)
 
@@ -397,49 +463,56 @@ def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order
 
     def answer(table: pa.Table) -> pa.Table:
         part, k = table.column("part")[0].as_py(), table.column("k")[0].as_py()
-        joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        joined = lambda name: b"".join(table.column(name).to_pylist())
         n = table.column("n").to_numpy()
         runs = np.array([len(x) for x in table.column("hot").to_pylist()])
-        count = np.concatenate([_unpacked(x, m) for x, m in zip(table.column("counts").to_pylist(), n, strict=True)])
-        sizes = np.concatenate([_unpacked(x, m) for x, m in zip(table.column("sizes").to_pylist(), runs, strict=True)])
-        keys, first, place = np.unique(joined("keys", np.uint64), return_index=True, return_inverse=True)
+        count = _unpacked_all(table.column("counts").to_pylist(), n)
+        sizes = _unpacked_all(table.column("sizes").to_pylist(), runs)
+        own, ctx = _whole(joined("keys")), _whole(joined("ctx"))
+        if k > 2:  # what is asked for its context alone is named like it
+            own = np.where(own == 0, np.repeat(ctx, sizes), own)
+        keys, first, place = np.unique(own, return_index=True, return_inverse=True)
         c = np.bincount(place, count, len(keys)).astype(np.int64)
-        ctx, at, run = np.unique(joined("ctx", np.uint64), return_index=True, return_inverse=True)
+        ctx, at, run = np.unique(ctx, return_index=True, return_inverse=True)
         if k > 1:
             c[c < floor] = 0
-        spent = np.bincount(np.repeat(run, sizes)[first], np.where(c > 0, c - DISCOUNT, 0) * (k > 1), len(ctx))
-        hot = joined("hot", bool)[at]
+        each = np.repeat(run, sizes)[first]
+        sums, many = (np.bincount(each, v * (k > 1), len(ctx)).astype(np.int64) for v in (c, c > 0))
+        hot = np.frombuffer(joined("hot"), bool)[at]
         a, u = np.cumsum(n) - n, np.cumsum(runs) - runs
-        out = [(b, k, part, int(m), _packed(c[place[i : i + m]]), spent[run[j : j + w]].tobytes()) for b, m, w, i, j in zip(table.column("block").to_pylist(), n, runs, a, u, strict=True)]
-        return _rows([*out, (-1, k, part, int(hot.sum()), ctx[hot].tobytes(), spent[hot].tobytes())], TOLD)
+        out = [(b, k, part, int(m), _packed(c[place[i : i + m]]), int(w), _packed(sums[run[j : j + w]]), _packed(many[run[j : j + w]])) for b, m, w, i, j in zip(table.column("block").to_pylist(), n, runs, a, u, strict=True)]
+        return _rows([*out, (-1, k, part, int(hot.sum()), ctx[hot].tobytes(), int(hot.sum()), _packed(sums[hot]), _packed(many[hot]))], TOLD)
 
     told, sums, done = None, {}, 0
-    for upto in range(min(2, order), order + 1):
+
+    def hot_sums():
         names = np.array(sorted(sums), np.uint64)
-        hot = spark.sparkContext.broadcast((names, np.array([sums[int(h)] for h in names], np.float64)))
-        dealt = rows.groupBy("block")
+        return spark.sparkContext.broadcast((names, np.array([sums[int(h)] for h in names], np.float64)))
+
+    for upto in range(min(2, order), order + 1):
+        hot = hot_sums()
         if told is None:
-            asked = dealt.applyInArrow(first_asks(upto, hot), ASKED)
+            asked = blocks.groupBy("block").applyInArrow(first_asks(upto, hot), ASKED)
         else:
-            asked = dealt.cogroup(told.filter("block >= 0").groupBy("block")).applyInArrow(next_asks(done, upto, hot), ASKED)
+            asked = blocks.groupBy("block").cogroup(told.filter("block >= 0").groupBy("block")).applyInArrow(next_asks(done, upto, hot), ASKED)
         new = saved(asked.groupBy("part", "k").applyInArrow(answer, TOLD))
         for r in new.filter("block = -1 and n > 0").toLocalIterator():
-            for h, x in zip(np.frombuffer(r["counts"], np.uint64).tolist(), np.frombuffer(r["spent"]).tolist(), strict=True):
-                sums[h] = sums.get(h, 0.0) + x
+            n = r["n"]
+            for h, x, m in zip(np.frombuffer(r["counts"], np.uint64).tolist(), _unpacked(r["sums"], n).tolist(), _unpacked(r["kinds"], n).tolist(), strict=True):
+                sums[h] = sums.get(h, 0.0) + x - DISCOUNT * m
         told, done = new if told is None else told.unionByName(new), upto
         # What was shuffled for this round isn't read again; Spark deletes it when the plan is collected.
         del asked
         spark.sparkContext._jvm.System.gc()
-    names = np.array(sorted(sums), np.uint64)
-    hot = spark.sparkContext.broadcast((names, np.array([sums[int(h)] for h in names], np.float64)))
+    hot = hot_sums()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = work(left, right, order, order, *hot.value)[1]
         trimmed()
-        return pa.table([left.column("doc_id"), left.column("held_out"), *out], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("block").cogroup(told.filter("block >= 0").groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, {FIELDS}")
+    return blocks.groupBy("block").cogroup(told.filter("block >= 0").groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, {FIELDS}")
 
 
 def _rows(rows: list[tuple], fields: str) -> pa.Table:
