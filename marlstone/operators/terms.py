@@ -76,8 +76,8 @@ def aspect_flags(text: Column, aspects: Mapping[str, Sequence[str]], unless: Map
 
 
 def aspect_rows(df: DataFrame, aspects: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    """A row for each document and aspect, matched or not."""
-    return df.unpivot(list(ids), list(aspects), "aspect", "matched")
+    """A row for each document and aspect, matched or not; a document's flags are computed once."""
+    return df.select(*ids, F.inline(F.array(*(F.struct(F.lit(a).alias("aspect"), F.col(a).alias("matched")) for a in aspects))))
 
 
 def cooccurrence(df: DataFrame, aspects: Sequence[str], least: int = 1) -> DataFrame:

@@ -173,4 +173,4 @@ def counters(s, d):
 
 @query("st09_rank_by_group", E + ", r AS (SELECT segment, rank() OVER (PARTITION BY segment ORDER BY reviews) + (count(*) OVER (PARTITION BY segment, reviews) - 1) / 2.0 AS x, rank() OVER (PARTITION BY segment ORDER BY price) + (count(*) OVER (PARTITION BY segment, price) - 1) / 2.0 AS y FROM ent WHERE price IS NOT NULL) SELECT segment, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY 1")
 def rank_by_group(s, d):
-    return stats.spearman(entities(s, d), "reviews", "price", "segment").withColumn("rho", r6(F.col("rho")))
+    return stats.spearman(entities(s, d), "reviews", "price", "segment").drop("p").withColumn("rho", r6(F.col("rho")))
