@@ -35,8 +35,9 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
-    largest id stays (null ids come last; of repeated rows with that id one stays). An empty table gives an empty
-    result. Other columns are ignored.
+    largest id stays (null ids come last; of repeated rows with that id one stays). Texts of any length are named block
+    by block. Names are unique integers whose order may differ between runs; the result does not depend on it. An empty
+    table gives an empty result. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     for seed in range(1, 100):

@@ -3,7 +3,8 @@
 A text's bytes are cut into windows; in each window one network reads forwards and one backwards, and a linear layer on
 both states gives every position a distribution over the languages. A document's distribution is the mean over all
 its positions, so texts of any length are read whole in bounded memory. The network is trained by backpropagation
-through time on a bounded sample: windows from at most SAMPLE documents of each language, drawn by hash.
+through time on a bounded sample of labelled rows: WINDOWS windows from each of at most SAMPLE documents of each
+language, both drawn by hash. That bounds what is learned from, not what is predicted.
 """
 
 from __future__ import annotations
@@ -213,8 +214,10 @@ def train(docs: DataFrame, folds: int = FOLDS, held: int = HELD, size: int = SAM
 def languages(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    Null texts and texts without a letter are `und` with score 0, and so are all texts if no row can be learned from.
-    Repeated rows are scored each; rows without an id are not held out; other columns are ignored.
+    Null and empty texts and those without a letter are `und` with score 0, and so are all texts if no row can be
+    learned from. Of a long text every byte is labelled, window by window. Languages that tie for a text give the first
+    by name. Repeated rows are scored each, and learned from once; rows without an id are not held out. An empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     net = train(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD, F.lit(False)).alias("held_out")

@@ -230,8 +230,10 @@ FIELDS = "n_tokens long, n_known long, train_tokens long, base_score double, sco
 def lm_scores(docs: DataFrame, order: int = ORDER, least: tuple[float, float] = LEAST, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    A null text is empty and has one token, its end. Rows without an id are trained on. Repeated rows count and are
-    scored each. Without training texts every probability is one. Other columns are ignored.
+    A null or empty text has one token, its end; texts of any length are counted and scored whole. Rows without an id are
+    trained on. Repeated rows count and are scored each. Equal texts get equal scores, and there are no ties to break.
+    Without training texts every probability is one. An empty table gives an empty result. Other columns are ignored,
+    whatever their names.
     """
     held = fold(F.col("doc_id"), FOLDS) == HELD
     rows = docs.select("doc_id", held.alias("held_out"), "text")

@@ -37,13 +37,21 @@ def _keyed(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (hashes & ~ROW_MASK) | rows.astype(np.uint64)
 
 
+def _again(rows: np.ndarray, hashes: np.ndarray, last: tuple | None) -> np.ndarray:
+    """Whether each word is the one before it in its text once more; last: row and hash of the word before the first."""
+    out = np.zeros(len(rows), bool)
+    out[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
+    out[0] = last is not None and last == (rows[0], hashes[0])
+    return out
+
+
 def votes(text: pa.Array) -> np.ndarray:
     """One row a text: 1 (good), -1 (bad) or 0 for each of LABELLERS."""
     data, offsets = buffers(text)
     n = len(offsets) - 1
     total, short, tail, stop, lone, runs = (np.zeros(n) for _ in range(6))
     mark = MARK[data]
-    seen = [NONE]
+    seen, last = [NONE], None
     for starts, sizes, rows, hashes in words(data, offsets):
         total += np.bincount(rows, minlength=n)
         short += np.bincount(rows[sizes <= 3], minlength=n)
@@ -51,7 +59,9 @@ def votes(text: pa.Array) -> np.ndarray:
         tail += np.bincount(rows[(sizes > 1) & mark[ends] & mark[ends - 1]], minlength=n)
         stop += np.bincount(rows[STOP[data[ends]]], minlength=n)
         lone += np.bincount(rows[(sizes == 1) & mark[starts]], minlength=n)
-        runs += np.bincount(rows[1:][(hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])], minlength=n)
+        again = _again(rows, hashes, last)
+        last = (rows[-1], hashes[-1])
+        runs += np.bincount(rows[again], minlength=n)
         seen.append(_keyed(rows, hashes))
     kinds = np.bincount((np.unique(np.concatenate(seen)) & ROW_MASK).astype(np.int64), minlength=n).astype(float)
     keys = [NONE, *(_keyed(rows, hashes)[sizes >= 12] for _, sizes, rows, hashes in words(data, offsets, gaps=LINES))]
@@ -103,12 +113,13 @@ def fit_labellers(patterns: np.ndarray, count: np.ndarray, rounds: int = 200) ->
 def hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word, twice: its row and its bucket, once by its hash and once by its shape; then the words of each row."""
     data, offsets = buffers(text)
-    rows_, buckets, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(offsets) - 1)
+    rows_, buckets, total, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(offsets) - 1), None
     for starts, sizes, rows, hashes in words(data, offsets):
         total += np.bincount(rows, minlength=len(total))
-        first, last, prior = data[starts], data[starts + sizes - 1], data[np.maximum(starts + sizes - 2, 0)]
-        shape = mix(KIND[first] * np.uint64(1 << 20) + KIND[last] * np.uint64(1 << 10) + KIND[prior] + (np.minimum(sizes, 20) << 32).astype(np.uint64))
-        shape[1:][(hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])] = 0  # a shape of its own: the word before once more
+        first, end, prior = data[starts], data[starts + sizes - 1], data[np.maximum(starts + sizes - 2, 0)]
+        shape = mix(KIND[first] * np.uint64(1 << 20) + KIND[end] * np.uint64(1 << 10) + KIND[prior] + (np.minimum(sizes, 20) << 32).astype(np.uint64))
+        shape[_again(rows, hashes, before)] = 0  # a shape of its own: the word before once more
+        before = (rows[-1], hashes[-1])
         rows_ += [rows, rows]
         buckets += [(hashes % np.uint64(BUCKETS)).astype(np.int64), BUCKETS + (shape % np.uint64(SHAPES)).astype(np.int64)]
     return np.concatenate(rows_), np.concatenate(buckets), total
@@ -132,8 +143,9 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, n_votes, posterior, score, predicted.
 
     n_votes counts the labellers that voted, posterior is the label model's chance of good, score the scorer's, and
-    predicted is 1 from 0.5 on. Null and empty texts get no vote, and score 0. Repeated rows are scored each; an
-    empty table gives an empty result; other columns are ignored.
+    predicted is 1 from 0.5 on. Null and empty texts get no vote, and score 0; texts of any length are read whole, in
+    pieces whose cuts change nothing. Repeated rows are counted and scored each; of rows that tie at the end of the
+    sample any may train. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     rows = docs.select("doc_id", "text")
     code = 3 ** np.arange(len(LABELLERS))

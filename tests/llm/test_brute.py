@@ -332,3 +332,31 @@ def test_secrets_take_time_in_proportion(spark):
         took[n] = time.time() - began
         assert (x["n_hex"], x["n_assign"]) == (n, 1)
     assert took[64000] < 7 * max(took[16000], 1)
+
+
+def test_cuts_inside_texts_change_no_vote(monkeypatch):
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["go", "go", "Go", "stop.", "x" * 30, "!!", "a\nline of some length\n"]) for _ in range(r.randint(0, 90))) for _ in range(30)]
+    plain = quality.votes(pa.array(texts)), quality.hashed(pa.array(texts))
+    monkeypatch.setattr(W, "pieces", lambda data, offsets, limit=0, gaps=W.BLANK, f=W.pieces: f(data, offsets, 25, gaps))
+    assert (quality.votes(pa.array(texts)) == plain[0]).all()
+    key = lambda h: sorted(zip(h[0].tolist(), h[1].tolist(), strict=True))
+    cut = quality.hashed(pa.array(texts))
+    assert key(cut) == key(plain[1]) and (cut[2] == plain[1][2]).all()
+
+
+def test_tables_on_the_way_are_swept(spark):
+    import os
+
+    from marlstone.llm import store
+
+    def make():
+        a = store.saved(spark.range(5))
+        return a.filter("id > 2")
+
+    kept = store.saved(spark.range(3))
+    out = store.settled(spark, make)
+    assert sorted(r["id"] for r in out.collect()) == [3, 4] and kept.count() == 3
+    store.swept(spark, {out._saved_path})
+    there = lambda df: os.path.exists(df._saved_path.removeprefix("file://"))
+    assert there(out) and not there(kept)
