@@ -19,3 +19,9 @@ def counted(values: Column) -> Column:
     starts = lambda a: F.filter(F.transform(a, lambda t, i: F.when((i == 0) | (F.get(a, i - 1) != t), i)), lambda i: i.isNotNull())
     runs = lambda z: F.transform(z["s"], lambda i, k: F.struct(F.get(z["a"], i).alias("term"), (F.coalesce(F.get(z["s"], k + 1), F.size(z["a"])) - i).cast("long").alias("n")))
     return let(F.array_sort(values), lambda a: let(F.struct(a.alias("a"), starts(a).alias("s")), runs))
+
+
+def letter_set(text: Column) -> Column:
+    """The characters of a text, each with its number among equal ones, as a set: two texts share as many of these as their multisets of characters do."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.flatten(F.transform(counted(chars), lambda g: F.transform(F.sequence(F.lit(1), g["n"].cast("int")), lambda k: F.concat(g["term"], k.cast("string")))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.arrays import let
+from ..functions.arrays import let, letter_set
 from ..session import shipped
 
 
@@ -24,19 +24,13 @@ def duplicate_audit(df: DataFrame, definitions: dict[str, list[str]], id_col: st
     return out
 
 
-def _letters(name: Column) -> Column:
-    """The characters of a name, each with its number among equal ones, as a set."""
-    order = F.array_sort(F.filter(F.split(name, ""), lambda c: c != ""))
-    return let(order, lambda a: F.transform(a, lambda c, i: F.concat(c, (i - F.array_position(a, c)).cast("string"))))
-
-
 def alike_names(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     """(id_l, id_r) of all rows of (id, name) tables whose names may have a sequence ratio of floor or more, and no pair that has is left out.
 
     A ratio of t over m and n characters matches t (m + n) / 2 of them at least, so names share as many characters, and
     one of the rarest m - t m / (2 - t) + 1 of each. Shares are counted before pairs leave for the ratio itself.
     """
-    sides = [df.filter(F.length("name") > 0).select("id", "name", F.length("name").alias("n"), _letters(F.col("name")).alias("s")) for df in (left, right)]
+    sides = [df.filter(F.length("name") > 0).select("id", "name", F.length("name").alias("n"), letter_set(F.col("name")).alias("s")) for df in (left, right)]
     every = [df.select("id", "n", F.explode("s").alias("q")) for df in sides]
     rarity = every[0].unionByName(every[1]).groupBy("q").agg(F.count(F.lit(1)).alias("c"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.arrays import letter_set
 from ..session import shipped
 
 
@@ -48,7 +49,9 @@ def alike_within(df: DataFrame, id_col: str, group: str, text: str, threshold: f
     one, two = prefix.withColumnsRenamed({"i": "a", "n": "na"}), prefix.withColumnsRenamed({"i": "b", "n": "nb"})
     near = (F.col("a") < F.col("b")) & (2 * F.least("na", "nb") >= (threshold - 1e-9) * (F.col("na") + F.col("nb")))
     pairs = one.join(two, ["g", "q", "k"]).filter(near).select("g", "a", "b").distinct()
-    texts = rows.select("g", "i", "t")
-    both = pairs.join(texts.withColumnsRenamed({"i": "a", "t": "x"}), ["g", "a"]).join(texts.withColumnsRenamed({"i": "b", "t": "y"}), ["g", "b"])
+    texts = rows.select("g", "i", "t", letter_set(F.col("t")).alias("s"))
+    both = pairs.join(texts.withColumnsRenamed({"i": "a", "t": "x", "s": "u"}), ["g", "a"]).join(texts.withColumnsRenamed({"i": "b", "t": "y", "s": "v"}), ["g", "b"])
+    # A ratio counts matched characters, of which there are no more than characters shared in any order.
+    both = both.filter(2 * F.size(F.array_intersect("u", "v")) >= (threshold - 1e-9) * (F.size("u") + F.size("v"))).drop("u", "v")
     shipped(df.sparkSession)
     return both.withColumn("ratio", T.sequence_ratio("x", "y")).filter(F.col("ratio") >= threshold).select(F.col("g").alias(group), "a", "b", "ratio")
