@@ -66,10 +66,11 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 80, depth
 
 def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step function nearest to y (pool adjacent violators), with half a row of either label in each block's mean."""
-    order = np.argsort(score, kind="stable")
+    # Rows of one score are one row, whatever their order.
+    scores, at = np.unique(score, return_inverse=True)
     blocks: list[list[float]] = []
-    for s, v, w in zip(score[order], y[order], weight[order], strict=True):
-        blocks.append([v * w, w, s, s])
+    for s, v, w in zip(scores, np.bincount(at, y * weight, len(scores)), np.bincount(at, weight, len(scores)), strict=True):
+        blocks.append([v, w, s, s])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             a, b, _, hi = blocks.pop()
             blocks[-1] = [blocks[-1][0] + a, blocks[-1][1] + b, blocks[-1][2], hi]
