@@ -26,6 +26,8 @@ from .words import buffers, combine, mix, word_table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 7
+#: Cells whose parities bound from below in how many shingles two texts differ.
+PARITY = 1024
 #: Up to so many (id, text hash) keys are broadcast to pick texts; beyond, they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -127,7 +129,11 @@ def _multiset():
         nth = (np.arange(len(many)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
         with np.errstate(over="ignore"):
             each = np.where(nth == 0, gram[many], mix(gram[many] + nth * np.uint64(0x9E3779B97F4A7C15)))
-        return {"node": node, "items": _lists(each, np.bincount(row[many], minlength=len(size)))}
+        odd = np.zeros(len(size) * PARITY, bool)
+        cell, times = np.unique(row[many] * PARITY + (mix(each) % np.uint64(PARITY)).astype(np.int64), return_counts=True)
+        odd[cell] = times % 2 == 1
+        bits = np.packbits(odd.reshape(len(size), PARITY), axis=1, bitorder="little").view(np.uint64)
+        return {"node": node, "items": _lists(each, np.bincount(row[many], minlength=len(size))), "bits": _lists(bits.ravel(), np.full(len(size), PARITY // 64))}
 
     return work
 
@@ -163,29 +169,35 @@ def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def across(rest: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that have all pairs of rest (node, label, items) with different labels whose sets of items are alike by threshold.
+    """Pairs (a, b) that have all pairs of rest (node, label, items, bits) with different labels whose sets of items are alike by threshold.
 
     Two sets of which the larger has n items share n * threshold or more. So if all items are put in one order, the
     first item that both share lies among the first n - n * threshold + 1 of each. Items that no two labels share come
     first in that order and pair no one; then the rarest. Where that leaves a group of one item, its most frequent
-    label's members meet only the others, so that a large component is never held against itself.
+    label's members meet only the others, so that a large component is never held against itself. Two sets differ in as
+    many items at least as their bits, the parities of how many items fall in each of PARITY cells, differ in places;
+    pairs that differ in too many leave no row.
     """
-    tokens = rest.select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
+    tokens = rest.select("node", "label", "bits", F.size("items").alias("n"), F.explode("items").alias("item"))
     useful = tokens.groupBy("item").agg(F.count(F.lit(1)).alias("c"), (F.min("label") != F.max("label")).alias("several")).filter("several").select("item", "c")
-    have = tokens.join(useful, "item").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("s"))
+    have = tokens.join(useful, "item").groupBy("node", "label", "n").agg(F.first("bits").alias("bits"), F.array_sort(F.collect_list(F.struct("c", "item"))).alias("s"))
     before = F.col("n") - F.size("s")
     upto = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - before
-    first = have.withColumn("upto", F.least(F.size("s"), upto.cast("int"))).filter("upto > 0")
-    prefix = saved(first.select("node", "label", "n", before.alias("before"), F.posexplode(F.slice("s", 1, F.col("upto"))).alias("at", "x")).select("node", "label", "n", (F.col("n") - F.col("before") - F.col("at")).alias("left"), F.col("x.item").alias("item")))
+    first = have.withColumn("upto", F.least(F.size("s"), upto.cast("int"))).filter("upto > 0").withColumn("before", before)
+    first = first.withColumn("head", F.transform(F.slice("s", 1, F.col("upto")), lambda x: x["item"])).drop("s")
+    prefix = saved(first.select("*", F.posexplode("head").alias("at", "item")).withColumn("left", F.col("n") - F.col("before") - F.col("at")).select("node", "label", "n", "bits", "head", "left", "item"))
     labels = prefix.groupBy("item", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("item").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("item", "main")
     marked = prefix.join(labels, "item")
-    one = marked.filter("label <> main").select("item", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("left").alias("lefta"))
-    two = marked.select("item", "main", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("left").alias("leftb"))
-    once = (F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))
+    one = marked.filter("label <> main").select("item", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "bits", "head", "left")))
+    two = marked.select("item", "main", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "bits", "head", "left")))
+    side = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
     # What both have from their first shared item on bounds how many they share.
-    enough = F.least("lefta", "leftb") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    pairs = one.join(two, "item").filter((F.col("la") != F.col("lb")) & once & enough)
-    out = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both, need = F.col("n_a") + F.col("n_b"), threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    enough = F.least("left_a", "left_b") >= need
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    once = F.element_at(F.array_intersect("head_a", "head_b"), 1) == F.col("item")
+    pairs = one.join(two, "item").filter(side & enough & (differ <= both - 2 * need) & once)
+    out = saved(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     dropped(prefix)
     return out
 
@@ -210,7 +222,7 @@ def _assigned(docs: DataFrame, threshold: float) -> DataFrame:
     stars = saved(bucket.filter("node <> centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n")))
     asked = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     keys = saved(nodes.select("node", "id", "loc").join(asked, "node"))
-    items = saved(gathered(_picked(rows, keys), "text", ["node"], "node long, items array<long>", _multiset).groupBy("node").agg(F.min("items").alias("items")))
+    items = saved(gathered(_picked(rows, keys), "text", ["node"], "node long, items array<long>, bits array<long>", _multiset).groupBy("node").agg(F.min("items").alias("items"), F.min("bits").alias("bits")))
     dropped(keys)
 
     def compared(pairs: DataFrame) -> DataFrame:

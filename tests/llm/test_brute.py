@@ -240,6 +240,14 @@ def test_trees_and_calibration():
         assert np.interp(s[i], knots, values) == pytest.approx((v * m + half) / (m + 2 * half), abs=1e-9)
 
 
+def test_ties_are_calibrated_together():
+    knots, values = gbdt.isotonic(np.zeros(10), np.array([0.0] * 8 + [1.0] * 2), np.ones(10))
+    assert np.interp(0.0, knots, values) == pytest.approx(2.5 / 11)
+    a = gbdt.isotonic(np.array([1.0, 2, 2, 3]), np.array([0.0, 0, 1, 1]), np.ones(4))
+    b = gbdt.isotonic(np.array([3.0, 2, 2, 1]), np.array([1.0, 1, 0, 0]), np.ones(4))
+    assert np.interp([1, 2, 3], *a) == pytest.approx(np.interp([1, 2, 3], *b))
+
+
 def test_expectation_maximisation():
     r = np.random.default_rng(5)
     truth = r.random(200) < 0.7
