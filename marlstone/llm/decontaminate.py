@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -122,8 +123,19 @@ def _columns(rows: list[tuple[int, list, list, list]]) -> list:
 
 
 def _scanner(docs: DataFrame, items: Items, width: int) -> Callable[[], Scanner]:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-    return lambda: Scanner(sent.value, width)
+    sent, token = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    return lambda: _scanner_of(token, sent, width)
+
+
+#: The last automaton that this process built, which the next task that it runs can use.
+_built: list = ["", None]
+
+
+def _scanner_of(token: str, sent, width: int) -> Scanner:
+    if _built[0] != token:
+        _built[:] = ["", None]
+        _built[:] = [token, Scanner(sent.value, width)]
+    return _built[1]
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, width: int, limit: int) -> DataFrame:
