@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, lmscore, mixing, neardup, quality, secrets, sharding, toxicity
+from . import decontaminate, divergence, exact_dedup, langid, lmscore, mixing, neardup, quality, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_language_id, op4_near_duplicates, op5_mixing, op6_toxicity, op7_quality, op8_exact_dedup, op9_decontamination, op10_secrets)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_language_id, op4_near_duplicates, op5_mixing, op6_toxicity, op7_quality, op8_exact_dedup, op9_decontamination, op10_secrets, op11_source_divergence)}
 
 
 OP8_SQL = """
@@ -84,5 +88,27 @@ FROM w LEFT JOIN covered ON covered.doc_id = w.id LEFT JOIN named ON named.doc_i
 """
 
 
+#: Every group with every kept term of its language; p and q are shares of the group and of the other source or the language.
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT rid, lang, source, unnest(ws) AS term FROM d),
+keep AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM keep GROUP BY 1),
+grp AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN keep USING (lang, term) GROUP BY ALL),
+tot AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM grp LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT tot.lang, tot.source, keep.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (tot.total + 2 * v) AS BIGINT) AS p,
+        CAST(1 + (1000000000::HUGEINT * (keep.n + 2)) // (langs.total + 2 * v) AS BIGINT) AS q
+      FROM tot JOIN langs USING (lang) JOIN keep USING (lang) LEFT JOIN c ON c.lang = tot.lang AND c.source = tot.source AND c.term = keep.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_source_divergence": OP11_SQL}
