@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, exact_dedup, langid, lmscore, mixing, neardup, quality, secrets, sharding, toxicity
+from . import decontaminate, divergence, exact_dedup, jaccard, langid, lmscore, mixing, neardup, quality, secrets, sharding, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_links(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_language_id, op4_near_duplicates, op5_mixing, op6_toxicity, op7_quality, op8_exact_dedup, op9_decontamination, op10_secrets, op11_source_divergence)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_sharding, op3_language_id, op4_near_duplicates, op5_mixing, op6_toxicity, op7_quality, op8_exact_dedup, op9_decontamination, op10_secrets, op11_source_divergence, op12_ngram_jaccard, op13_prefix_trie)}
 
 
 OP8_SQL = """
@@ -110,5 +118,37 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
+#: Links from all pairs that share a shingle, and what they reach.
+OP12_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT rid, unnest(CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM t),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+reach(a, b) AS (SELECT rid, rid FROM t UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN t ON t.rid = b GROUP BY 1),
+many AS (SELECT a AS rid, count(*) AS n_links FROM links GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM t LEFT JOIN n USING (rid) LEFT JOIN least USING (rid) LEFT JOIN many USING (rid)
+"""
+
+#: CRC-32 bit by bit; a path is the digests of its turns; each node adds to those that lie on its smallest member's path.
+OP13_SQL = """
+WITH t AS (SELECT conv_id AS c, length(coalesce(text, '')) AS tok, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS body, turn FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, tok, body, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, body) AS i FROM t),
+crc AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+          lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM n)),
+head AS (SELECT crc.c, h, count(i) AS k FROM crc LEFT JOIN n ON n.c = base AND i <= h GROUP BY ALL),
+r AS (SELECT crc.c, i AS d, body, tok FROM crc JOIN n ON n.c = base AND i <= h
+      UNION ALL SELECT c, k + i - h, body, tok FROM n JOIN head USING (c) WHERE i > h
+      UNION ALL SELECT c, 0, '', 0 FROM crc),
+path AS (SELECT c, d, tok, string_agg(body, '/') OVER (PARTITION BY c ORDER BY d) AS path, max(d) OVER (PARTITION BY c) AS len FROM r),
+node AS (SELECT path, d, min(c) AS owner, count(*) AS n_convs, min(tok) AS tok, max(len) = d AS leaf, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len = d), '') AS ends FROM path GROUP BY path, d),
+up AS (SELECT node.*, above.path AS on_path, above.d AS on_d FROM node JOIN path above ON above.c = owner AND above.d <= node.d),
+sums AS (SELECT on_path AS path, sum((n_convs - 1) * tok) AS saved_tokens, count_if(leaf) AS n_leaves, count_if(d = on_d + 1) AS n_children FROM up GROUP BY 1)
+SELECT node.owner AS conv_id, node.d AS depth, p.owner AS parent_conv_id, node.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN sums USING (path) LEFT JOIN up ON up.path = node.path AND up.on_d = node.d - 1 LEFT JOIN node p ON p.path = up.on_path
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_source_divergence": OP11_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_ngram_jaccard": OP12_SQL, "op13_prefix_trie": OP13_SQL}
