@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .apply import annotated, gathered, trimmed
-from .neardup import components, shingles
+from .apply import annotated, gathered, quoted, trimmed
+from .neardup import shingles
 from .store import dropped, saved, shipped
 from .words import combine, mix
 
@@ -41,6 +41,8 @@ PROBE = 0.0085
 HEAP = 256
 #: Lists that hold at least one in DENSE sets of a tile are probed by position instead of by bisection.
 DENSE = 16
+#: Bits of the filter that is broadcast to pick the sets that may have partners. It lets all through that have, and more of the others the more sets there are.
+FILTER_BITS, FILTER_HASHES = 1 << 25, 4
 
 
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ def segment_keys(row: np.ndarray, gram: np.ndarray, n: np.ndarray, percent: int)
     for up in (0, 1):
         at = band + up
         live = (n > 0) & (differ[at] > 0) & ((up == 0) | (n * 100 // percent > top[band]))
-        segments = np.where(live, differ[at] + 2 + differ[at] // 6, 0)
+        segments = np.where(live, differ[at] + 2 + differ[at] // 12, 0)
         first = np.concatenate([[0], np.cumsum(segments)])
         take = live[row]
         r, g = row[take], gram[take]
@@ -222,11 +224,62 @@ def _sized():
     return work
 
 
-def _bodies():
+def filter_bits(nodes: np.ndarray) -> np.ndarray:
+    """(nodes, FILTER_HASHES): the bits of the filter that stand for each node."""
+    seeds = np.arange(1, FILTER_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        return (mix(nodes[:, None] + seeds) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _filter(nodes: DataFrame) -> np.ndarray:
+    """The filter's bits, of nodes (node); tasks set bits in words of 64, of which there are a fixed number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            flags[filter_bits(batch.column(0).to_numpy().view(np.uint64)).ravel()] = True
+        words = np.packbits(flags, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["at", "word"])
+
+    shipped(nodes.sparkSession)
+    words = nodes.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of all nodes of edges (a, b), by contraction: each node moves to its least neighbour, and edges between what is left go on; these become fewer from round to round."""
+    live, label = edges, None
+    while True:
+        both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
+        top = low.select(F.col("node").alias("at"), F.col("up").alias("top"))
+        # One step further along, since a least neighbour often has a lesser one.
+        moved = saved(low.join(top, F.col("up") == F.col("at"), "left").select("node", F.least("up", "top").alias("up")))
+        new = moved.select("node", F.col("up").alias("label"))
+        if label is not None:
+            step = moved.select(F.col("node").alias("at"), "up")
+            new = label.join(step, F.col("label") == F.col("at"), "left").select("node", F.coalesce("up", "label").alias("label"))
+        new = saved(new)
+        of = lambda c: moved.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: B023, E731
+        rest = live.join(of("a"), "a").join(of("b"), "b").filter("a_up <> b_up")
+        rest = saved(rest.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
+        done = rest.isEmpty()
+        dropped(moved, *([label, live] if label is not None else []))
+        live, label = rest, new
+        if done:
+            dropped(rest)
+            return label
+
+
+def _bodies(wanted):
     def work(text):
         row, gram, n, marks = sets(text)
         first = np.concatenate([[0], np.cumsum(n)])
         _, one = np.unique(marks, axis=0, return_index=True)
+        one = one[wanted.value[filter_bits(marks[one, 0])].all(1)]
         return {"mark": [marks[i].tobytes() for i in one], "body": [gram[first[i] : first[i + 1]].tobytes() for i in one]}
 
     return work
@@ -293,19 +346,20 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared by both. Rows with equal texts, repeated rows too, link with each other and with the same others. A component without ids has a null component_id.
     Texts of any length are read whole. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumns({"loc": F.xxhash64("text"), "same": F.xxhash64(F.lit(1), "text")})
-    sized = saved(annotated(rows, "text", ["doc_id", "loc", "same"], "n long, mark binary, node long", _sized))
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
+    sized = saved(annotated(rows, "text", ["doc_id"], "n long, mark binary, node long", _sized))
     alike = gathered(rows, "text", [], "key long, node long, other long", lambda: _keys(percent))
     before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
     met = alike.select("node", F.coalesce("other", F.when(F.col("other").isNull(), before)).alias("other")).filter("node <> other")
     edges = saved(met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
     label = components(edges)
-    whole = saved(sized.filter("n > 0").groupBy("mark", "node", "n").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("least"), F.min(F.struct("loc", "same")).alias("text")))
-    near = saved(whole.join(label, "node").select("label", "mark", "n", "times", "text"))
+    whole = saved(sized.filter("n > 0").groupBy("mark", "node", "n").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("least")))
+    near = saved(whole.join(label, "node").select("label", "node", "mark", "n", "times"))
     dealt = _tiles(near, percent, block)
-    picked = rows.join(near.select("text.loc", "text.same"), ["loc", "same"], "left_semi")
-    bodies = gathered(picked, "text", [], "mark binary, body binary", _bodies)
-    tiles = dealt.join(bodies, "mark").select("tile", "n", "mark", "times", "side", "body")
+    # Sets are made again from the texts where these lie; only those that may have partners leave.
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(near.select("node")))
+    bodies = gathered(rows, "text", [], "mark binary, body binary", lambda: _bodies(wanted))
+    tiles = dealt.hint("merge").join(bodies, "mark").select("tile", "n", "mark", "times", "side", "body")
     found = saved(_searched(tiles.repartition("tile").sortWithinPartitions("tile", "side", "n", "mark"), percent))
     stars = saved(found.filter("mark <> root").select(F.col("mark").alias("a"), F.col("root").alias("b")).distinct())
     top = components(stars)
