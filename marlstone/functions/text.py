@@ -150,8 +150,8 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def unescaped(c: pd.Series) -> pd.Series:
-    """HTML entities resolved and characters in compatibility form (NFKC)."""
-    return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", html.unescape(x)))
+    """HTML entities resolved and characters in compatibility form (NFKC). ASCII without entities is that already."""
+    return c.map(lambda x: x if x is None or (x.isascii() and "&" not in x) else unicodedata.normalize("NFKC", html.unescape(x)))
 
 
 def raw_clean(c: Column) -> Column:

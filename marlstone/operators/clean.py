@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
@@ -83,7 +85,7 @@ def small_folded(c: str, least: int, other: str = "Other") -> Column:
 
 
 def shrunk(df: DataFrame, rating: str, votes: str, out: str = "weighted") -> DataFrame:
-    """Ratings drawn to the overall mean: v / (v + m) of the rating, m the median of votes; the two scalars come as one broadcast row."""
-    scalars = df.agg(F.avg(rating).alias("__mean"), F.percentile(votes, F.lit(0.5)).alias("__m"))
+    """Ratings drawn to the overall mean: v / (v + m) of the rating, m the exact median of votes; the two scalars come as one broadcast row. df is read three times; save it first if it is costly."""
+    scalars = df.agg(F.avg(rating).alias("__mean")).crossJoin(exact_quantiles(df, {"__m": (votes, 0.5)}))
     weight = F.col(votes) / (F.col(votes) + F.col("__m"))
     return df.crossJoin(F.broadcast(scalars)).withColumn(out, weight * F.col(rating) + (1 - weight) * F.col("__mean")).drop("__mean", "__m")

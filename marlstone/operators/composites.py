@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import shipped
+from ..sources.stage import saved
 from . import clean
+from .quantiles import exact_quantiles
 
 #: What betrays leftovers of a page, of its markup and of a wrong encoding, and personal data.
 BOILERPLATE = "(?iu)devamını oku|marka profilini gör|şikayetin çözümü"
@@ -17,8 +19,12 @@ MAIL, MOBILE = "(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b", "(?<!\\d)(?:\
 SHORT = 40
 
 
+#: Second names under which the same flags are given.
+ALIASES = {"missing_text_flag": "complaint_text_missing_flag", "missing_title_flag": "complaint_title_missing_flag", "very_short_text_flag": "complaint_text_very_short_flag", "date_parse_failed_flag": "complaint_date_parse_failed_flag", "date_is_approximate_flag": "complaint_date_is_approximate"}
+
+
 def _or_null(df: DataFrame, names: list[str]) -> DataFrame:
-    """df with those of names that it lacks, as NULL texts."""
+    """df with those of names (fixed values, the columns of the raw table) that it lacks, as NULL texts."""
     return df.withColumns({c: F.lit(None).cast("string") for c in names if c not in df.columns})
 
 
@@ -26,9 +32,10 @@ def _sizes(c: Column, prefix: str) -> dict[str, Column]:
     return {f"{prefix}_char_count": F.length(c), f"{prefix}_word_count": F.regexp_count(c, F.lit("\\S+"))}
 
 
-def short_threshold(words: str, cap: int = SHORT) -> Column:
-    """The 5th percentile of word counts as a whole number from 1 to cap; cap without any."""
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(cap), F.floor(F.percentile(words, F.lit(0.05))))), F.lit(cap))
+def short_threshold(df: DataFrame, words: str, out: str, cap: int = SHORT) -> DataFrame:
+    """One row: the exact 5th percentile of word counts as a whole number from 1 to cap; cap without any. df is read three times."""
+    q = F.when(F.col("q").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(cap), F.floor("q"))))
+    return exact_quantiles(df.select(words), {"q": (words, 0.05)}).select(F.coalesce(q, F.lit(cap)).cast("long").alias(out))
 
 
 def prepared_complaints(df: DataFrame) -> DataFrame:
@@ -39,6 +46,9 @@ def prepared_complaints(df: DataFrame) -> DataFrame:
     company_response_exists and progress_exists, all texts; those that are missing are NULL. What cannot be read is NULL
     and flagged, never zero. very_short_threshold is the same in all rows. Texts that occur twice are counted by
     digest, so that a text in very many rows is one small group.
+
+    Cleaning runs once: its rows are written to the checkpoint folder, and the threshold and the repeated texts are read from two
+    narrow columns of these.
     """
     shipped(df.sparkSession)
     texts = {"complaint": "complaint_text", "title": "complaint_title", "company_response": "company_response_text", "progress": "progress_text"}
@@ -71,7 +81,8 @@ def prepared_complaints(df: DataFrame) -> DataFrame:
             "potential_pii_flag": F.coalesce(F.col("complaint_text_clean").rlike(PERSONAL), F.lit(False)),
         }
     ).withColumn("view_count_parse_failed_flag", clean.blank_to_null(F.col("view_count")).isNotNull() & F.col("view_count_numeric").isNull())
-    cut = out.agg(short_threshold("complaint_word_count").alias("very_short_threshold"))
+    out = saved(out)
+    cut = short_threshold(out, "complaint_word_count", "very_short_threshold")
     repeated = out.filter(F.col("__digest").isNotNull()).groupBy("__digest").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     out = out.join(repeated, "__digest", "left").crossJoin(F.broadcast(cut))
     return out.withColumns(
@@ -79,7 +90,7 @@ def prepared_complaints(df: DataFrame) -> DataFrame:
             "complaint_text_very_short_flag": F.coalesce(F.col("complaint_word_count") <= F.col("very_short_threshold"), F.lit(False)),
             "complaint_text_possible_boilerplate_flag": F.col("__n").isNotNull() | F.coalesce(F.col("complaint_text_clean").rlike(BOILERPLATE), F.lit(False)),
         }
-    ).drop("__digest", "__date", "__n")
+    ).withColumns({to: F.col(c) for to, c in ALIASES.items()}).drop("__digest", "__date", "__n")
 
 
 def prepared_replies(df: DataFrame, references: DataFrame, key: str = "canonical_complaint_url") -> DataFrame:

@@ -61,3 +61,32 @@ def cards(pages: DataFrame, html: str = "html", prefix: str = "") -> DataFrame:
     """page_id, href and title of links two levels deep or more whose path starts with prefix; a link's first place stands."""
     rows = links(pages, html, prefix).filter((F.length("href") - F.length(F.replace(F.col("href"), F.lit("/"), F.lit("")))) >= 2)
     return rows.groupBy("page_id", "href").agg(F.min_by("title", "position").alias("title"))
+
+
+#: What a company's page has in its title, and addresses that a missing page leads to.
+TITLE, ELSEWHERE = "[Şşs]ikayet", "/sikayetler|/arama|/search"
+
+
+def identities(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """One row a page (page_id, and the address at which it was found): exists, slug, page_title, company_name, own_cards, related_slugs.
+
+    A page exists as a company's if its title says so and its address is none that missing pages lead to. The company's name is the
+    title up to that word. Cards are its own if they lie below its slug; where it has none, the slugs of others' cards
+    on it are leads, in order of their first place. What is unknown is NULL; a page that is no company's has neither name nor cards.
+    """
+    path = lambda c: F.regexp_replace(F.regexp_replace(c, "^https?://[^/]+", ""), "[?#].*$", "")
+    slug = lambda c: F.regexp_extract(path(c), "^/*([^/]*)", 1)
+    title = F.coalesce(_text(F.regexp_extract(F.col(html), "(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    head = pages.select("page_id", F.coalesce(slug(F.col(url)), F.lit("")).alias("slug"), title.alias("page_title"), F.col(url).rlike(ELSEWHERE).alias("elsewhere"))
+    head = head.withColumn("exists", ~F.coalesce("elsewhere", F.lit(True)) & F.col("page_title").rlike("(?i)" + TITLE))
+    found = links(pages, html).withColumn("path", path(F.col("href"))).filter(F.size(F.regexp_extract_all("path", F.lit("/"), F.lit(0))) >= 2)
+    card = found.groupBy("page_id", "path").agg(F.min("position").alias("position")).withColumn("to", slug(F.col("path"))).filter("to <> ''")
+    by_slug = card.groupBy("page_id", "to").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("position"))
+    mine = by_slug.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "to", "n"))).alias("cards"))
+    rows = head.join(mine, "page_id", "left").withColumn("cards", F.coalesce("cards", F.expr("cast(array() as array<struct<position:int,to:string,n:bigint>>)")))
+    own = F.aggregate(F.filter("cards", lambda x: x["to"] == F.col("slug")), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    leads = F.transform(F.filter("cards", lambda x: x["to"] != F.col("slug")), lambda x: x["to"])
+    name = F.nullif(F.trim(F.get(F.split("page_title", "\\s+" + TITLE, 2), F.lit(0))), F.lit(""))
+    rows = rows.withColumn("own", own)
+    there = lambda c: F.when(F.col("exists"), c)
+    return rows.select("page_id", "slug", "exists", "page_title", there(name).alias("company_name"), there(F.col("own")).alias("own_cards"), there(F.when(F.col("own") == 0, leads).otherwise(F.array().cast("array<string>"))).alias("related_slugs"))

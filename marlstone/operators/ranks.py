@@ -1,59 +1,49 @@
-"""Global ranks without a global window: rows are dealt by ranges of their order, and counts of the ranges before are added."""
+"""Global order without a global window: rows are dealt by ranges of their whole order, and what the ranges before hold is added."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Ranges that rows are dealt in; each is sorted apart.
-RANGES = 256
+from ..sources.stage import saved
 
 
-def order_key(df: DataFrame, name: str) -> Column:
-    """A double that never falls as the column rises; texts by their first six bytes."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.col(name).cast("timestamp").cast("double")
-    return F.col(name).cast("double")
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def in_ranges(df: DataFrame, by: str, descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """df with __range, a number that never falls in the order of by (NULL first, or last when descending). Bounds are approximate quantiles, one broadcast row; a value's rows are all in one range."""
-    key = order_key(df, by)
-    key = -key if descending else key
-    bounds = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("__bounds"))
-    at = F.size(F.filter("__bounds", lambda b: b < F.col("__key")))
-    missing = ranges if descending else -1
-    placed = df.withColumn("__key", key).crossJoin(F.broadcast(bounds))
-    return placed.withColumn("__range", F.when(F.col("__key").isNull(), missing).otherwise(F.coalesce(at, F.lit(0)))).drop("__key", "__bounds")
+def along(df: DataFrame, order: Sequence[str], new: Mapping[str, str | None], descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """df with new columns that run in the order of its columns (NULL first; descending: of the first of them only, its NULLs last): the row's number from 1 (None), or the sum of a column up to the row.
 
+    Rows are written once in ranges of the whole order, whose bounds are sampled from all its columns, so that texts with
+    a common beginning, NULLs and ties of the first column are split by the later ones; rows equal in all of them may
+    lie in any order, and are split too. A range is sorted apart; the ranges' totals, one row each, are all that is
+    looked at together. Columns of df may have any names but those that are new, which they give way to.
+    """
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in new}]
+    names = [f"k{i}" for i in range(len(order))]
+    keys = [F.desc_nulls_last("k0") if descending else F.asc_nulls_first("k0"), *map(F.asc_nulls_first, names[1:]), F.asc("nth")]
+    rows = df.select(F.struct(*map(_quoted, df.columns)).alias("row"), *(_quoted(c).alias(k) for c, k in zip(order, names, strict=True))).withColumn("nth", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(*([ranges] if ranges else []), *keys)
+    dealt = saved(dealt.withColumn("part", F.spark_partition_id()))
+    value = lambda c: F.lit(1) if c is None else F.coalesce(F.col("row")[c], F.lit(0))
+    totals = dealt.groupBy("part").agg(*(F.sum(value(c)).alias(f"t{i}") for i, c in enumerate(new.values())))
+    past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("part", *(F.coalesce(F.sum(f"t{i}").over(past), F.lit(0)).alias(f"t{i}") for i in range(len(new))))
+    here = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(totals), "part")
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), *((F.col(f"t{i}") + F.sum(value(c)).over(here)).alias(name) for i, (name, c) in enumerate(new.items())))
 
-def before(sums: DataFrame, value: str) -> DataFrame:
-    """(__range, __before) for the sums of the ranges, which are a fixed number of rows."""
-    return sums.select("__range", F.coalesce(F.sum(value).over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
 
-
-def numbered(df: DataFrame, order: Sequence[str], out: str, descending: bool = False) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], out: str, descending: bool = False, ranges: int | None = None) -> DataFrame:
     """df with out, the row's number from 1 in the order of its columns (descending: of the first of them only); the last should be unique."""
-    dealt = in_ranges(df, order[0], descending)
-    counts = before(dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")), "n")
-    columns = [F.desc(order[0]) if descending else F.asc(order[0]), *map(F.asc, order[1:])]
-    number = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy(*columns))
-    return dealt.join(F.broadcast(counts), "__range").withColumn(out, number.cast("long")).drop("__range", "__before")
+    return along(df, order, {out: None}, descending, ranges)
 
 
 def mean_ranks(df: DataFrame, value: str) -> DataFrame:
     """(value, ties, rank): each distinct value with its rows and their mean rank among all. Rows are counted before anything is sorted."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("ties"))
-    dealt = in_ranges(counts, value)
-    starts = before(dealt.groupBy("__range").agg(F.sum("ties").alias("n")), "n")
-    upto = F.sum("ties").over(Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.join(F.broadcast(starts), "__range").select(value, "ties", (F.col("__before") + upto - (F.col("ties") - 1) / 2).alias("rank"))
+    counts = df.filter(_quoted(value).isNotNull()).groupBy(_quoted(value).alias(value)).agg(F.count(F.lit(1)).alias("ties"))
+    return along(counts, [value], {"rank": "ties"}).select(_quoted(value), "ties", (F.col("rank") - (F.col("ties") - 1) / 2).alias("rank"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.arrays import let, letter_set
+from ..functions.arrays import let
 from ..session import shipped
 
 
@@ -24,46 +27,86 @@ def duplicate_audit(df: DataFrame, definitions: dict[str, list[str]], id_col: st
     return out
 
 
-def alike_names(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
-    """(id_l, id_r) of all rows of (id, name) tables whose names may have a sequence ratio of floor or more, and no pair that has is left out.
+#: Names in a block of one length band; a task compares two blocks at a time.
+BLOCK, CELLS = 2000, 64
+
+
+def _compared(floor: float):
+    """Of a tile's names of each side: the pairs whose sequence ratio is floor or more."""
+
+    def letters(names: list[str]) -> np.ndarray:
+        """How many characters of each name fall in each of CELLS cells; two names share no more than the sum of the smaller counts."""
+        code = np.array([ord(c) % CELLS for n in names for c in n], np.int64)
+        row = np.repeat(np.arange(len(names)), [len(n) for n in names])
+        return np.bincount(row * CELLS + code, minlength=len(names) * CELLS).reshape(-1, CELLS).astype(np.uint16)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (t.column("name").to_pylist() for t in (left, right))
+        out: list[tuple[str, str, float]] = []
+        if a and b:
+            x, n = letters(a), np.array([len(s) for s in a])
+            match = difflib.SequenceMatcher(None)
+            for name, counts in zip(b, letters(b), strict=True):
+                near = np.flatnonzero(2 * np.minimum(x, counts).sum(1) >= (floor - 1e-9) * (n + len(name)))
+                if len(near):
+                    match.set_seq2(name)
+                    for i in near:
+                        match.set_seq1(a[i])
+                        # The same bound without cells, then the ratio itself.
+                        if match.quick_ratio() >= floor and (ratio := match.ratio()) >= floor:
+                            out.append((a[i], name, ratio))
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["left", "right", "ratio"])
+
+    return run
 
-    A ratio of t over m and n characters matches t (m + n) / 2 of them at least, so names share as many characters, and
-    one of the rarest m - t m / (2 - t) + 1 of each. Shares are counted before pairs leave for the ratio itself.
-    """
-    sides = [df.filter(F.length("name") > 0).select("id", "name", F.length("name").alias("n"), letter_set(F.col("name")).alias("s")) for df in (left, right)]
-    every = [df.select("id", "n", F.explode("s").alias("q")) for df in sides]
-    rarity = every[0].unionByName(every[1]).groupBy("q").agg(F.count(F.lit(1)).alias("c"))
 
-    def prefix(df: DataFrame, side: str) -> DataFrame:
-        ordered = df.join(rarity, "q").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "q"))).alias("s"))
-        most = (F.col("n") - F.ceil(floor * F.col("n") / (2 - floor) - 1e-9) + 1).cast("int")
-        return ordered.select(F.col("id").alias(f"id_{side}"), F.explode(F.slice("s", 1, most)).alias("x")).select(f"id_{side}", F.col("x.q").alias("q"))
+def alike_names(left: DataFrame, right: DataFrame, floor: float, block: int = BLOCK) -> DataFrame:
+    """(left, right, ratio) of all distinct names (name) of two tables whose sequence ratio is floor or more; no such pair is left out.
 
-    pairs = prefix(every[0], "l").join(prefix(every[1], "r"), "q").select("id_l", "id_r").distinct()
-    for df, side in zip(sides, "lr", strict=True):
-        pairs = pairs.join(df.select(F.col("id").alias(f"id_{side}"), F.col("s").alias(f"s_{side}")), f"id_{side}")
-    shared = F.size(F.array_intersect("s_l", "s_r"))
-    return pairs.filter(2 * shared >= (floor - 1e-9) * (F.size("s_l") + F.size("s_r"))).select("id_l", "id_r")
+    Every block of names of one table meets every block of the other whose lengths allow the floor: a ratio of t over m
+    and n characters matches t (m + n) / 2 of them, so the shorter name has t / (2 - t) of the longer one's length.
+    Within a tile of at most block names a side, letter counts bound the ratio before it is computed. Empty names have no partner.
+    """
+    shipped(left.sparkSession)
+    sides = []
+    for df in (left, right):
+        names = df.select("name").filter(F.length("name") > 0).distinct().withColumn("n", F.length("name"))
+        count = names.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+        sides.append((names.join(count, "n").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")), count))
+    grid = [c.select(F.col("n").alias(f"n_{x}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{x}"), F.lit(1).alias("one")) for (_, c), x in zip(sides, "lr", strict=True)]
+    long, short = F.greatest("n_l", "n_r"), F.least("n_l", "n_r")
+    tiles = grid[0].join(grid[1], "one").filter(short * (2 - floor) >= (floor - 1e-9) * long)
+    dealt = []
+    for (names, _), x in zip(sides, "lr", strict=True):
+        at = tiles.select(F.col(f"n_{x}").alias("n"), F.col(f"part_{x}").alias("part"), F.concat_ws(":", "n_l", "part_l", "n_r", "part_r").alias("tile"))
+        dealt.append(names.join(at, ["n", "part"]).select("tile", "name"))
+    return dealt[0].groupBy("tile").cogroup(dealt[1].groupBy("tile")).applyInArrow(_compared(floor), "left string, right string, ratio double")
 
 
 def candidates(left: DataFrame, right: DataFrame, floor: float = 0.55, drop: Sequence[str] = ()) -> DataFrame:
-    """Pairs of (id, name, phone, area) tables with an equal phone or core name, or names alike by floor or more, in full or in their cores without the words of drop; name_similarity is the larger of both ratios."""
+    """Pairs of (id, name, phone, area) tables with an equal phone or core name, or names alike by floor or more, in full or in their cores without the words of drop; name_similarity is the larger of both ratios. Names that several rows have are compared once; all their rows are paired."""
     shipped(left.sparkSession)
     sides = [df.select("id", T.folded(F.col("name")).alias("full"), T.core_name(F.col("name"), drop).alias("core"), T.phone_key(F.col("phone")).alias("phone"), "area") for df in (left, right)]
+    sides = [df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns)) for df, x in zip(sides, "lr", strict=True)]
 
     def equal(c: str) -> DataFrame:
-        one, two = (df.filter(F.col(c).isNotNull()).select(c, F.col("id").alias(f"id_{x}")) for df, x in zip(sides, "lr", strict=True))
-        return one.join(two, c).select("id_l", "id_r")
-
-    pairs = equal("phone").unionByName(equal("core"))
-    for c in ("full", "core") if drop else ("full",):
-        pairs = pairs.unionByName(alike_names(*(df.select("id", F.col(c).alias("name")) for df in sides), floor))
-    pairs = pairs.distinct()
-    for df, side in zip(sides, "lr", strict=True):
-        pairs = pairs.join(df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns)), f"id_{side}")
+        return sides[0].join(sides[1], F.col(f"{c}_l") == F.col(f"{c}_r")).select("id_l", "id_r", F.lit(None).cast("double").alias("ratio"))
+
+    def alike(c: str) -> DataFrame:
+        names = alike_names(*(df.select(F.col(f"{c}_{x}").alias("name")) for df, x in zip(sides, "lr", strict=True)), floor)
+        one = names.join(sides[0].select("id_l", F.col(f"{c}_l").alias("left")), "left")
+        return one.join(sides[1].select("id_r", F.col(f"{c}_r").alias("right")), "right").select("id_l", "id_r", "ratio")
+
+    pairs = equal("phone").unionByName(equal("core")).unionByName(alike("full"))
+    if drop:
+        pairs = pairs.unionByName(alike("core"))
+    pairs = pairs.groupBy("id_l", "id_r").agg(F.max("ratio").alias("name_similarity"))
+    for df, x in zip(sides, "lr", strict=True):
+        pairs = pairs.join(df, f"id_{x}")
+    # Neither name is alike by floor: the ratios of those that only a phone or a core name brings together are taken here.
     ratio = T.sequence_ratio("full_l", "full_r")
-    scored = pairs.withColumn("name_similarity", F.greatest(ratio, T.sequence_ratio("core_l", "core_r")) if drop else ratio)
-    return scored.filter((F.col("name_similarity") >= floor) | (F.col("phone_l") == F.col("phone_r")) | (F.col("core_l") == F.col("core_r")))
+    rest = pairs.filter(F.col("name_similarity").isNull()).withColumn("name_similarity", F.greatest(ratio, T.sequence_ratio("core_l", "core_r")) if drop else ratio)
+    return pairs.filter(F.col("name_similarity").isNotNull()).unionByName(rest)
 
 
 def best_matches(left: DataFrame, scored: DataFrame) -> DataFrame:
@@ -150,6 +193,20 @@ def entity_match(document: Column, requires: Column, wanted: Column, excluded: C
     return F.when(~requires, F.struct(F.lit("MATCHED").alias("status"), F.lit(None).cast("string").alias("term"))).otherwise(let(T.match_key(document), judged))
 
 
+def resolved_by_source(docs: DataFrame, rules: DataFrame, id_col: str, source: str, text: Column) -> DataFrame:
+    """(id, entity, pattern, status) of documents by rules (source, priority, pattern, entity), each of which holds for one source alone: the entity of the first rule, by priority, whose pattern the text has.
+
+    RESOLVED, NO_RULE_HOLDS, or NO_RULES where the document's source is missing or has none; never a guess from another source's rules.
+    A source has few rules: they are one array, looked through in order of priority (ties by pattern). A missing text has no pattern.
+    """
+    mine = rules.groupBy(F.col("source").alias("__source")).agg(F.array_sort(F.collect_list(F.struct("priority", "pattern", "entity"))).alias("__rules"))
+    rows = docs.select(id_col, F.col(source).alias("__source"), text.alias("__text")).join(mine, "__source", "left")
+    first = F.get(F.filter("__rules", lambda r: F.regexp_like(F.col("__text"), r["pattern"])), F.lit(0))
+    rows = rows.select(id_col, F.col("__rules").isNotNull().alias("__has"), first.alias("__first"))
+    status = F.when(~F.col("__has"), "NO_RULES").when(F.col("__first").isNull(), "NO_RULE_HOLDS").otherwise("RESOLVED")
+    return rows.select(id_col, F.col("__first.entity").alias("entity"), F.col("__first.pattern").alias("pattern"), status.alias("status"))
+
+
 def unique_only(df: DataFrame, key: str, out: str) -> DataFrame:
     """out is key where no other row has it, else NULL: a shared key proves nothing."""
     return df.withColumn(out, F.when(F.count(F.lit(1)).over(Window.partitionBy(key)) == 1, F.col(key)))

@@ -9,25 +9,48 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.arrays import letter_set
 from ..session import shipped
+from ..sources.stage import saved
 
 
-def cosine_pairs(weights: DataFrame, threshold: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+#: Rows of one feature that are held against each other in one tile.
+TILE = 2000
+
+
+def tiled_pairs(rows: DataFrame, key: str, id_col: str, values: list[str], tile: int = TILE) -> DataFrame:
+    """(key, a, b, and of each side the values as <value>_a, <value>_b) of all pairs of rows with an equal key, in either order once.
+
+    A key with more than tile rows is dealt in blocks by its rows' ids, and each pair of blocks is a tile of its own: the
+    rows of a heavy key go to as many tasks as it has tiles, and no task has more than two blocks of it.
+    """
+    parts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts")).filter("parts > 1")
+    at = F.coalesce(F.pmod(F.xxhash64(id_col), F.col("parts")).cast("int"), F.lit(0))
+    dealt = rows.join(parts, key, "left").withColumn("at", at)
+    last = F.coalesce(F.col("parts"), F.lit(1)) - 1
+    side = lambda x: [F.col(id_col).alias(x), *(F.col(v).alias(f"{v}_{x}") for v in values)]
+    one = dealt.select(key, *side("a"), F.col("at").alias("i"), F.explode(F.sequence("at", last)).alias("j"))
+    two = dealt.select(key, *side("b"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
+    return one.join(two, [key, "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))).drop("i", "j")
+
+
+def cosine_pairs(weights: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
     """(a, b, cosine) with a < b for rows (id, term, weight) whose vectors have length one.
 
     A row's terms are walked from the rarest on; once what is left is shorter than the threshold, no partner can be
-    found through it alone. The first term that two partners share lies before that point in both.
+    found through it alone. The first term that two partners share lies before that point in both. Terms travel as
+    hashes of 64 bits beside their id. A term that very many rows have is dealt in tiles.
     """
-    rarity = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    by = Window.partitionBy(id_col).orderBy("df", "term")
+    terms = weights.select(F.col(id_col).alias("id"), F.xxhash64("term").alias("t"), "weight")
+    rarity = terms.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    by = Window.partitionBy("id").orderBy("df", "t")
     left = 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    prefix = weights.join(rarity, "term").withColumn("left", left).filter(F.col("left") >= threshold * threshold - 1e-9)
-    one = prefix.select("term", F.col(id_col).alias("a"), F.col("left").alias("la"))
-    two = prefix.select("term", F.col(id_col).alias("b"), F.col("left").alias("lb"))
+    ranked = saved(terms.join(rarity, "t").withColumn("left", left).select("id", "t", "weight", "left"))
+    prefix = ranked.filter(F.col("left") >= threshold * threshold - 1e-9).select("id", "t", "left")
     # At the first shared term, what is left of both vectors bounds their product.
-    near = (F.col("a") < F.col("b")) & (F.col("la") * F.col("lb") >= threshold * threshold - 1e-9)
-    pairs = one.join(two, "term").filter(near).select("a", "b").distinct()
-    x, y = weights.select(F.col(id_col).alias("a"), "term", F.col("weight").alias("x")), weights.select(F.col(id_col).alias("b"), "term", F.col("weight").alias("y"))
-    return pairs.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine")).filter(F.col("cosine") >= threshold)
+    near = F.col("left_a") * F.col("left_b") >= threshold * threshold - 1e-9
+    met = tiled_pairs(prefix, "t", "id", ["left"], tile).filter(near)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = ranked.select(F.col("id").alias("a"), "t", F.col("weight").alias("x")), ranked.select(F.col("id").alias("b"), "t", F.col("weight").alias("y"))
+    return pairs.join(x, "a").join(y, ["b", "t"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine")).filter(F.col("cosine") >= threshold)
 
 
 def alike_within(df: DataFrame, id_col: str, group: str, text: str, threshold: float = 0.94) -> DataFrame:

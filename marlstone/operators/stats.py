@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..session import shipped
+from .quantiles import exact_quantiles
 from .ranks import mean_ranks
 
 
@@ -87,9 +88,17 @@ def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataF
     return out.select("n_a", "n_b", "u", normal_p_of(z).alias("p"))
 
 
-def fences(value: str, k: float = 1.5) -> tuple[Column, Column]:
-    q1, q3 = F.percentile(value, F.lit(0.25)), F.percentile(value, F.lit(0.75))
-    return q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+def fences(df: DataFrame, *values: str, k: float = 1.5) -> DataFrame:
+    """One row: low_<value> and high_<value> for each column, k times the distance of the exact quartiles beyond them. df is read three times; save it first if it is costly."""
+    row = exact_quantiles(df, {f"{v}{i}": (v, q) for v in values for i, q in ((1, 0.25), (3, 0.75))})
+    far = lambda v: k * (F.col(f"{v}3") - F.col(f"{v}1"))
+    return row.select(*(c for v in values for c in ((F.col(f"{v}1") - far(v)).alias(f"low_{v}"), (F.col(f"{v}3") + far(v)).alias(f"high_{v}"))))
+
+
+def outside_fences(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
+    """The rows of df whose value lies beyond the fences of the whole table."""
+    out = df.crossJoin(F.broadcast(fences(df.select(value), value, k=k)))
+    return out.filter((F.col(value) < F.col(f"low_{value}")) | (F.col(value) > F.col(f"high_{value}"))).select(*df.columns)
 
 
 def sample_skewness(value: str) -> Column:

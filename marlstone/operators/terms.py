@@ -50,6 +50,71 @@ def keyword_pattern(keywords: Sequence[str], suffix: int = 10) -> str:
     return "(^|[^\\p{L}])(" + "|".join(keyword_form(k, suffix=suffix) for k in keywords) + ")([^\\p{L}]|$)"
 
 
+#: A run of letters, which is what keywords are compared with.
+RUN = "\\p{L}+"
+
+
+def keyword_table(aspects: Mapping[str, Sequence[str]], unless: Mapping[str, Mapping[str, Sequence[str]]] | None = None, suffix: int = 10) -> list[tuple[str, int, str, str, bool]]:
+    """(key, most, aspect, keyword, veto): the texts that stand for keywords. A run of letters that begins with key and goes on for up to most letters is a form of it; a key of several runs is what lies between the first and the last of them. veto: the keyword does not count in a text where this one occurs."""
+
+    def forms(k: str) -> list[tuple[str, int]]:
+        if k in ENDINGS:
+            return [(k + e, 0) for e in ("", *ENDINGS[k])]
+        return [(k, 0 if " " in k or len(k) < 4 or k in UNINFLECTED or not k.isalpha() else suffix)]
+
+    rows = [(key, most, a, k, False) for a, keywords in aspects.items() for k in dict.fromkeys(keywords) for key, most in forms(k)]
+    return rows + [(key, most, a, k, True) for a, of in (unless or {}).items() for k, others in of.items() for o in others for key, most in forms(o)]
+
+
+def keyword_rows(df: DataFrame, id_col: str, text: Column, aspects: Mapping[str, Sequence[str]], unless: Mapping[str, Mapping[str, Sequence[str]]] | None = None, suffix: int = 10) -> DataFrame:
+    """(id, aspect, keyword) for each keyword of each aspect that occurs in a lower-cased text, with keyword_form's rules, in one pass whose cost does not depend on the number of keywords.
+
+    A text is cut in runs of letters. Its distinct runs, and what lies between the first run of a phrase and its last, are looked
+    up in a table of forms, under each length that a keyword with endings has. The table is broadcast if Spark finds it small, else
+    joined by shuffle. Keywords begin and end with a letter. unless: as in aspect_flags. A document is a row, and ids should be
+    unique; NULL texts have no keyword.
+    """
+    table = keyword_table(aspects, unless, suffix)
+    odd = [k for k, *_ in table if not (k[:1].isalpha() and k[-1:].isalpha())]
+    if odd:
+        raise ValueError(f"keywords that do not begin and end with a letter: {odd}")
+    letters = lambda k: re.findall(r"[^\W\d_]+", k)
+    spans = sorted({len(letters(k)) for k, *_ in table} - {1})
+    first = sorted({letters(k)[0] for k, *_ in table if not k.isalpha()})
+    most = {n: max(m for k, m, *_ in table if len(k) == n) for n in {len(k) for k, m, *_ in table if m}}
+    # A phrase is told from a run by a character before it that is no letter.
+    forms = df.sparkSession.createDataFrame([(k if k.isalpha() else "\0" + k, *rest) for k, *rest in table], "key string, most int, aspect string, keyword string, veto boolean")
+    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+    words = F.array_distinct("runs")
+    cut = df.select(F.col(id_col).alias("id"), text.alias("text"), runs.alias("runs"))
+    if spans:
+        begins = F.arrays_overlap("runs", F.array(*map(F.lit, first)))
+        cut = cut.withColumn("gaps", F.when(begins, F.split("text", RUN, -1)))
+
+        def phrases(n: int) -> Column:
+            """What lies between a phrase's first run and the n-th from it, wherever a phrase may begin."""
+            text_at = lambda i: F.concat(F.lit("\0"), *(x for k in range(n) for x in ([F.get("gaps", i + k)] if k else []) + [F.get("runs", i + k)]))
+            return F.transform(F.filter(F.sequence(F.lit(0), F.size("runs") - n), lambda i: F.get("runs", i).isin(*first)), text_at)
+
+        none = F.array().cast("array<string>")
+        words = F.concat(words, *(F.when(F.col("gaps").isNotNull() & (F.size("runs") >= n), F.array_distinct(phrases(n))).otherwise(none) for n in spans))
+    seen = cut.select("id", F.explode(words).alias("run")).withColumn("n", F.length("run"))
+    # Each run as it is, and cut to the lengths of keywords that take endings.
+    sizes = F.explode(F.array(F.struct(F.lit(None).cast("int").alias("k"), F.lit(0).alias("most")), *(F.struct(F.lit(k).alias("k"), F.lit(most[k]).alias("most")) for k in sorted(most))))
+    looked = seen.select("id", "run", "n", sizes.alias("s")).filter("s.k is null or (n > s.k and n <= s.k + s.most)")
+    looked = looked.select("id", F.when(F.col("s.k").isNull(), F.col("run")).otherwise(F.substring("run", F.lit(1), F.col("s.k"))).alias("key"), F.when(F.col("s.k").isNull(), 0).otherwise(F.col("n") - F.col("s.k")).alias("extra"))
+    met = looked.join(forms, "key").filter("extra <= most")
+    found = met.groupBy("id", "aspect", "keyword").agg(F.bool_or("veto").alias("veto"), F.bool_or(~F.col("veto")).alias("hit"))
+    return found.filter("hit and not veto").select(F.col("id").alias(id_col), "aspect", "keyword")
+
+
+def keyword_counts(df: DataFrame, id_col: str, text: Column, aspects: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(aspect, keyword, n_docs) of every keyword of a dictionary, by keyword_rows."""
+    every = df.sparkSession.createDataFrame([(a, k) for a, keywords in aspects.items() for k in dict.fromkeys(keywords)], "aspect string, keyword string")
+    counts = keyword_rows(df, id_col, text, aspects).groupBy("aspect", "keyword").agg(F.count(F.lit(1)).alias("n_docs"))
+    return every.join(counts, ["aspect", "keyword"], "left").na.fill(0, ["n_docs"])
+
+
 def by_phrase(keywords: Sequence[str]) -> list[str]:
     """Phrases of more words first, then longer ones, then as given."""
     return sorted(dict.fromkeys(keywords), key=lambda k: (-len(k.split()), -len(k)))

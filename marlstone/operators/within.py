@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import exact_quantiles
+
 
 def group_median(value: str, group: str) -> Column:
     return F.percentile(value, F.lit(0.5)).over(Window.partitionBy(group))
@@ -35,8 +37,8 @@ def available_mean(parts: Sequence[tuple[Column, float]], least: int = 1) -> Col
 
 
 def quadrant(df: DataFrame, x: str, y: str, labels: tuple[str, str, str, str], out: str = "quadrant") -> DataFrame:
-    """High x and y, high x only, high y only, neither, against the medians over complete rows (one broadcast row); NULL where either is missing."""
-    mid = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.percentile(x, F.lit(0.5)).alias("__x"), F.percentile(y, F.lit(0.5)).alias("__y"))
+    """High x and y, high x only, high y only, neither, against the exact medians over complete rows (one broadcast row); NULL where either is missing. df is read three times; save it first if it is costly."""
+    mid = exact_quantiles(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), {"__x": (x, 0.5), "__y": (y, 0.5)})
     hx, hy = F.col(x) >= F.col("__x"), F.col(y) >= F.col("__y")
     label = F.when(hx & hy, labels[0]).when(hx & ~hy, labels[1]).when(~hx & hy, labels[2]).when(~hx & ~hy, labels[3])
     return df.crossJoin(F.broadcast(mid)).withColumn(out, label).drop("__x", "__y")

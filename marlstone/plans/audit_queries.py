@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import checks, clean, stats, terms, within
+from ..operators.quantiles import exact_quantiles, with_quantiles
+from ..sources.stage import saved
 from .frames import ASP, ENT, LONG, MON, aspect_docs, entities, monthly, r6, table
 from .registry import query
 
@@ -51,19 +53,20 @@ def statistics(s, d):
     cols = ["rating", "reviews", "price"]
     r4 = lambda c: F.round(c, 4)
 
+    e = saved(entities(s, d).select(*cols))
+    ends = stats.fences(e, *cols).crossJoin(exact_quantiles(e, {f"mid_{c}": (c, 0.5) for c in cols}))
+
     def of(c):
-        low, high = stats.fences(c)
-        return F.struct(F.count(c).alias("n"), (F.count(F.lit(1)) - F.count(c)).alias("missing"), r4(F.min(c).cast("double")).alias("low"), r4(F.max(c).cast("double")).alias("high"), r4(F.avg(c)).alias("mean"), r4(F.percentile(c, F.lit(0.5))).alias("median"), r4(low).alias("lower_fence"), r4(high).alias("upper_fence")).alias(c)
+        return F.struct(F.count(c).alias("n"), (F.count(F.lit(1)) - F.count(c)).alias("missing"), r4(F.min(c).cast("double")).alias("low"), r4(F.max(c).cast("double")).alias("high"), r4(F.avg(c)).alias("mean"), r4(F.first(f"mid_{c}")).alias("median"), r4(F.first(f"low_{c}")).alias("lower_fence"), r4(F.first(f"high_{c}")).alias("upper_fence")).alias(c)
 
-    return _stacked(entities(s, d).agg(*(of(c) for c in cols)), cols)
+    return _stacked(e.crossJoin(F.broadcast(ends)).agg(*(of(c) for c in cols)), cols)
 
 
 @query("nb11_extremes", E + "SELECT entity_id, rating <= 0 AS low_rated, coalesce(reviews > r95, false) AS busy, coalesce(price > p95, false) AS dear FROM ent, (SELECT quantile_cont(reviews, 0.95) AS r95, quantile_cont(price, 0.95) AS p95 FROM ent) WHERE rating <= 0 OR reviews > r95 OR price > p95")
 def extremes(s, d):
-    e = entities(s, d)
-    ends = F.broadcast(e.agg(F.percentile("reviews", F.lit(0.95)).alias("r95"), F.percentile("price", F.lit(0.95)).alias("p95")))
+    e = saved(entities(s, d).select("entity_id", "rating", "reviews", "price"))
     low, busy, dear = F.col("rating") <= 0, F.coalesce(F.col("reviews") > F.col("r95"), F.lit(False)), F.coalesce(F.col("price") > F.col("p95"), F.lit(False))
-    return e.crossJoin(ends).filter(low | busy | dear).select("entity_id", low.alias("low_rated"), busy.alias("busy"), dear.alias("dear"))
+    return with_quantiles(e, {"r95": ("reviews", 0.95), "p95": ("price", 0.95)}).filter(low | busy | dear).select("entity_id", low.alias("low_rated"), busy.alias("busy"), dear.alias("dear"))
 
 
 @query("nb14_nb26_context_medians", E + "SELECT segment, count(*) AS n, count(price) AS priced, round(count(price) / count(*), 6) AS coverage, round(quantile_cont(price, 0.5), 4) AS median_price, round(quantile_cont(rating, 0.5), 4) AS median_rating FROM ent GROUP BY 1")

@@ -67,18 +67,18 @@ _FOUND = {
 def keyword_rule(s, d):
     """Matched aspects in order of name and their keywords, phrases first; 'servis' counts for the staff only where no vehicle is meant."""
     x = _said(s, d)
-    flags = terms.aspect_flags(F.col("t"), STAYS, UNLESS)
-    found = F.concat(*(terms.keywords_found(F.col("t"), k, UNLESS.get(a)) for a, k in STAYS.items()))
-    return x.select("doc_id", F.concat_ws("|", *(F.when(flags[a], F.lit(a)) for a in sorted(STAYS))).alias("aspects"), F.array_join(found, "|").alias("keywords"))
+    order = s.createDataFrame([(i, j, a, k) for i, a in enumerate(STAYS) for j, k in enumerate(terms.by_phrase(STAYS[a]))], "i int, j int, aspect string, keyword string")
+    found = terms.keyword_rows(x, "doc_id", F.col("t"), STAYS, UNLESS).join(F.broadcast(order), ["aspect", "keyword"])
+    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("aspect")).alias("aspects"), F.array_sort(F.collect_list(F.struct("i", "j", "keyword"))).alias("keywords"))
+    text = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
+    return x.select("doc_id").join(found, "doc_id", "left").select("doc_id", text(F.col("aspects")).alias("aspects"), text(F.col("keywords.keyword")).alias("keywords"))
 
 
 @query("tm02_dictionary", " UNION ALL ".join(f"SELECT '{a}' AS aspect, '{k}' AS keyword, '{'PHRASE' if ' ' in k else 'UNIGRAM'}' AS kind, '{'DISCOVERED' if k == 'muhatap yok' else 'SEED'}' AS origin, count(*) FILTER ({c.partition(' AND NOT ')[0]}) AS n_docs FROM {_SAID}" for a in STAYS for k, c in _FOUND[a]))
 def dictionary(s, d):
     """Documents with each keyword of the dictionary by the keyword rule, all in one scan."""
-    keys = [(a, k) for a in STAYS for k in STAYS[a]]
-    one = _said(s, d).agg(*(F.count_if(F.col("t").rlike(terms.keyword_pattern([k]))).alias(f"n{i}") for i, (_, k) in enumerate(keys)))
-    row = lambda i, a, k: F.struct(F.lit(a).alias("aspect"), F.lit(k).alias("keyword"), F.lit("PHRASE" if " " in k else "UNIGRAM").alias("kind"), F.lit("DISCOVERED" if k == "muhatap yok" else "SEED").alias("origin"), F.col(f"n{i}").alias("n_docs"))
-    return one.select(F.inline(F.array(*(row(i, a, k) for i, (a, k) in enumerate(keys)))))
+    k = F.col("keyword")
+    return terms.keyword_counts(_said(s, d), "doc_id", F.col("t"), STAYS).select("aspect", "keyword", F.when(F.contains(k, F.lit(" ")), "PHRASE").otherwise("UNIGRAM").alias("kind"), F.when(k == "muhatap yok", "DISCOVERED").otherwise("SEED").alias("origin"), "n_docs")
 
 
 _HOTEL = "(SELECT s_suppkey, " + _case("s_suppkey", ["s_name || ' & Spa Hotel'", "'Hotel ' || n_name || ' ' || s_suppkey", "'Şato  Bodrum ' || s_suppkey", "s_name"]) + " AS name, n_name AS area FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
@@ -109,11 +109,11 @@ def match_key(s, d):
     return table(s, d, "documents").select("doc_id", X.match_key(F.col("text")).alias("key"))
 
 
-@query("tx36_variants", "SELECT key, string_agg(DISTINCT raw, '|' ORDER BY raw) AS variants, count(DISTINCT raw) AS n FROM (SELECT lower(p_type) AS key, " + _case("p_partkey", ["p_type", "lower(p_type)", "p_type"]) + " AS raw FROM part WHERE p_partkey % 2 = 0 OR p_type <> 'PROMO') GROUP BY 1 HAVING count(DISTINCT raw) > 1")
+@query("tx36_variants", "SELECT key, string_agg(DISTINCT raw, '|' ORDER BY raw) AS variants, count(DISTINCT raw) AS n FROM (SELECT lower(p_type) AS key, " + _case("p_partkey", ["p_type", "CASE WHEN p_type = 'PROMO' THEN p_type ELSE lower(p_type) END", "p_type"]) + " AS raw FROM part) GROUP BY 1 HAVING count(DISTINCT raw) > 1")
 def variants(s, d):
     """Ways to write one value that differ but for case and marks; values that are always written alike are left out."""
-    p = table(s, d, "part").filter("p_partkey % 2 = 0 OR p_type <> 'PROMO'")
-    rows = p.select(_pick(F.col("p_partkey"), [F.col("p_type"), F.lower("p_type"), F.col("p_type")]).alias("raw")).withColumn("key", X.folded(F.col("raw")))
+    raw = F.col("p_type")
+    rows = table(s, d, "part").select(_pick(F.col("p_partkey"), [raw, F.when(raw == "PROMO", raw).otherwise(F.lower(raw)), raw]).alias("raw")).withColumn("key", X.folded(F.col("raw")))
     return rows.groupBy("key").agg(F.sort_array(F.collect_set("raw")).alias("v")).filter(F.size("v") > 1).select("key", F.array_join("v", "|").alias("variants"), F.size("v").cast("long").alias("n"))
 
 
@@ -341,13 +341,22 @@ def entity_match(s, d):
     return m.select("l_orderkey", "l_linenumber", "m.*")
 
 
+def _projects(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts and suppliers as (id, name, phone, area)."""
+    key = F.col("s_suppkey")
+    words = _pick(key, ["Small", "Old", "Hot", "Cold", "Blue", "Green", "Large", "New"]), _pick(F.floor(key / 8), ["Widget", "Gear", "Bolt", "Plate", "Ring", "Anvil", "Valve"])
+    nation = F.broadcast(table(s, d, "nation").select("n_nationkey", "n_name"))
+    official = table(s, d, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    phone = lambda c, n: F.lpad((c % n).cast("string"), 7, "0").alias("phone")
+    right = official.select(key.alias("id"), F.concat_ws(" ", *words, "n_name").alias("name"), phone(key, 1013), F.concat(F.lit("Brand#"), (key % 25).cast("string")).alias("area"))
+    left = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.initcap("p_type"), "p_name").alias("name"), phone(F.col("p_partkey"), 10_007), F.col("p_brand").alias("area"))
+    return left, right
+
+
 @query("jn16_er01_er03_matches")
 def matches(s, d):
-    """Names of parts against their names with a type, every pair of similarity 0.55 or more scored, the best for each, and those without any. String similarity has no SQL; a test holds it against all pairs."""
-    p = table(s, d, "part")
-    side = lambda g, name, digits: g.agg(F.min("p_partkey").alias("id"), F.min("p_brand").alias("area")).select("id", name.alias("name"), F.lpad((F.col("id") % digits).cast("string"), 7, "0").alias("phone"), "area")
-    left = side(p.groupBy("p_name"), F.col("p_name"), 1009)
-    right = side(p.groupBy("p_name", "p_type"), F.concat_ws(" ", "p_type", "p_name"), 1013)
+    """Every part as a project (type and name) against every supplier as an official row, whose names are written in the parts' words; every pair of similarity 0.55 or more is scored, the best taken for each, and those without any are kept. String similarity has no SQL; a test holds it against all pairs."""
+    left, right = _projects(s, d)
     c = resolve.candidates(left, right)
     phone, area = F.col("phone_l") == F.col("phone_r"), F.col("area_l") == F.col("area_r")
     c = c.withColumn("score", resolve.match_score(F.col("name_similarity"), phone, area, F.lit(None).cast("double")))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import checks, clean, ranks, stats, terms, within
+from ..operators.quantiles import exact_quantiles
+from ..sources.stage import saved
 from .document_queries import NAMES
 from .frames import ASP, ENT, LONG, aspect_docs, entities, r6, table
 from .registry import query
@@ -44,7 +46,8 @@ def coverage_states(s, d):
 
 @query("ag32_ag40_kpis", E + "SELECT count(*) AS entities, sum(reviews)::BIGINT AS reviews, quantile_cont(reviews, 0.5) AS median_reviews, round(100.0 * count(price) / count(*), 6) AS priced_pct FROM ent")
 def kpis(s, d):
-    return entities(s, d).agg(F.count(F.lit(1)).alias("entities"), F.sum("reviews").alias("reviews"), F.percentile("reviews", F.lit(0.5)).alias("median_reviews"), r6(100 * F.count("price") / F.count(F.lit(1))).alias("priced_pct"))
+    e = saved(entities(s, d).select("reviews", "price"))
+    return e.crossJoin(F.broadcast(exact_quantiles(e, {"m": ("reviews", 0.5)}))).agg(F.count(F.lit(1)).alias("entities"), F.sum("reviews").alias("reviews"), F.first("m").alias("median_reviews"), r6(100 * F.count("price") / F.count(F.lit(1))).alias("priced_pct"))
 
 
 @query("ag36_ag43_two_groups", "SELECT has_company, count(*) AS n, quantile_cont(turns, 0.5) AS median_turns FROM (SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') > 1 AS has_company FROM conversations GROUP BY 1) GROUP BY 1")
@@ -76,7 +79,7 @@ def length_by_group(s, d):
 
 @query("wn05_rank_change", E + ", w AS (SELECT entity_id, grp, rating, reviews / (reviews + m) * rating + (1 - reviews / (reviews + m)) * mu AS weighted FROM ent, (SELECT quantile_cont(reviews, 0.5) AS m, avg(rating) AS mu FROM ent)), g AS (SELECT grp, avg(rating) AS a, avg(weighted) AS b FROM w GROUP BY 1) SELECT grp, rank() OVER (ORDER BY a DESC) - rank() OVER (ORDER BY b DESC) AS change FROM g")
 def rank_change(s, d):
-    g = clean.shrunk(entities(s, d), "rating", "reviews").groupBy("grp").agg(F.avg("rating").alias("a"), F.avg("weighted").alias("b"))
+    g = clean.shrunk(saved(entities(s, d).select("grp", "rating", "reviews")), "rating", "reviews").groupBy("grp").agg(F.avg("rating").alias("a"), F.avg("weighted").alias("b"))
     return g.select("grp", (F.rank().over(Window.orderBy(F.desc("a"))) - F.rank().over(Window.orderBy(F.desc("b")))).alias("change"))
 
 

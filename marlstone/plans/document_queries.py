@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import pages, resolve, terms, within
+from ..operators import composites, pages, resolve, terms, within
+from ..operators.quantiles import exact_quantiles
 from ..session import shipped
 from ..sources import io
+from ..sources.stage import saved
 from .frames import ASP, ASPECTS, ENT, HIGH, LONG, MEDIUM, SEVERITY, aspect_docs, entities, r6, table
 from .registry import query
 
@@ -164,8 +166,8 @@ def lift(s, d):
 
 @query("nb30_aspect_coverage", A + "SELECT count(*) FILTER (k > 0) AS with_any, count(*) FILTER (k = 0) AS without_any, round(avg(k), 6) AS mean_aspects, quantile_cont(k, 0.5) AS median_aspects FROM (SELECT " + " + ".join(f"{a}::INT" for a in NAMES) + " AS k FROM asp)")
 def aspect_coverage(s, d):
-    k = aspect_docs(s, d).select(sum((F.col(x).cast("int") for x in NAMES), F.lit(0)).alias("k"))
-    return k.agg(F.count_if(F.col("k") > 0).alias("with_any"), F.count_if(F.col("k") == 0).alias("without_any"), r6(F.avg("k")).alias("mean_aspects"), F.percentile("k", F.lit(0.5)).alias("median_aspects"))
+    k = saved(aspect_docs(s, d).select(sum((F.col(x).cast("int") for x in NAMES), F.lit(0)).alias("k")))
+    return k.crossJoin(F.broadcast(exact_quantiles(k, {"m": ("k", 0.5)}))).agg(F.count_if(F.col("k") > 0).alias("with_any"), F.count_if(F.col("k") == 0).alias("without_any"), r6(F.avg("k")).alias("mean_aspects"), F.first("m").alias("median_aspects"))
 
 
 @query("nb36_cell_sizes", A + ", g AS (SELECT * FROM (SELECT DISTINCT source FROM asp), (VALUES ('LOW'), ('MIXED'), ('HIGH')) t(rating_group)) SELECT g.source, g.rating_group, count(a.doc_id) AS n, CASE WHEN count(a.doc_id) >= 30 THEN 'STRONG' WHEN count(a.doc_id) >= 10 THEN 'LIMITED' ELSE 'SMALL' END AS tier FROM g LEFT JOIN asp a USING (source, rating_group) GROUP BY 1, 2")
@@ -178,9 +180,8 @@ def cell_sizes(s, d):
 
 @query("tx25_text_counts", r"WITH c AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+')) AS n_words FROM documents), q AS (SELECT greatest(1, least(40, floor(quantile_cont(n_words, 0.05)))) AS cut FROM c) SELECT doc_id, n_chars, n_words, n_words <= cut AS very_short FROM c, q")
 def text_counts(s, d):
-    c = table(s, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\r\f\x0B]+")).alias("n_words"))
-    cut = F.broadcast(c.agg(F.greatest(F.lit(1), F.least(F.lit(40), F.floor(F.percentile("n_words", F.lit(0.05))))).alias("cut")))
-    return c.crossJoin(cut).select("doc_id", "n_chars", "n_words", (F.col("n_words") <= F.col("cut")).alias("very_short"))
+    c = saved(table(s, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\r\f\x0B]+")).alias("n_words")))
+    return c.crossJoin(F.broadcast(composites.short_threshold(c, "n_words", "cut"))).select("doc_id", "n_chars", "n_words", (F.col("n_words") <= F.col("cut")).alias("very_short"))
 
 
 @query("tx26_artifacts", "WITH k AS (SELECT doc_id, text, count(*) OVER (PARTITION BY text) > 1 AS rep FROM documents) SELECT count(*) FILTER (rep) AS boilerplate, count(*) FILTER (regexp_matches(text, '<[A-Za-z/][^>]*>')) AS with_tags FROM k")

@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Importing the modules of queries registers them."""
-    from . import audit_queries, cleaning_queries, composite_queries, document_queries, entity_queries, matching_queries, series_queries, source_queries  # noqa: F401
+    from . import audit_queries, cleaning_queries, composite_queries, document_queries, entity_queries, matching_queries, report_queries, series_queries, source_queries  # noqa: F401

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import checks, clean, stats, within
+from ..operators.quantiles import with_quantiles
+from ..sources.stage import saved
 from ..streaming import incremental
 from .frames import MON, SHIP, monthly, r6, shipped_monthly, table
 from .registry import query
@@ -64,10 +66,8 @@ def annual(s, d):
 
 @query("ts09_wn23_monthly", M + ", q AS (SELECT quantile_cont(total, 1/3.0) AS a3, quantile_cont(total, 2/3.0) AS b3 FROM mon) SELECT period, round(100.0 * total / sum(total) OVER (PARTITION BY year), 6) AS year_share, round(100.0 * total / max(total) OVER (), 6) AS max_index, CASE WHEN total <= a3 THEN 'LOW' WHEN total <= b3 THEN 'SHOULDER' ELSE 'PEAK' END AS season FROM mon, q")
 def monthly_features(s, d):
-    m = monthly(s, d)
-    q = m.agg(F.percentile("total", F.lit(1 / 3)).alias("lo"), F.percentile("total", F.lit(2 / 3)).alias("hi"))
     v = F.col("total")
-    return m.crossJoin(F.broadcast(q)).select("period", r6(100 * within.share("total", "year")).alias("year_share"), r6(100 * v / F.max("total").over(Window.partitionBy())).alias("max_index"), F.when(v <= F.col("lo"), "LOW").when(v <= F.col("hi"), "SHOULDER").otherwise("PEAK").alias("season"))
+    return with_quantiles(saved(monthly(s, d)), {"lo": ("total", 1 / 3), "hi": ("total", 2 / 3)}).select("period", r6(100 * within.share("total", "year")).alias("year_share"), r6(100 * v / F.max("total").over(Window.partitionBy())).alias("max_index"), F.when(v <= F.col("lo"), "LOW").when(v <= F.col("hi"), "SHOULDER").otherwise("PEAK").alias("season"))
 
 
 @query("ts10_part_of_whole", YEAR + "SELECT round(100.0 * sum(a) / sum(total), 6) AS a_pct, round(100 * max(value) / sum(value), 6) AS top_year_value_pct FROM y")

@@ -83,13 +83,13 @@ def unchanged(s, d):
     return out[0].unionByName(out[1])
 
 
-@query("src12_cards", "SELECT n_nationkey AS page_id, '/' || lower(n_name) || '/' || s_suppkey AS href, min(s_name) AS title FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2")
+@query("src12_cards", "SELECT n_nationkey + 25 * (s_suppkey // 1250) AS page_id, '/' || lower(n_name) || '/' || s_suppkey AS href, min(s_name) AS title FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2")
 def cards(s, d):
-    """Each nation as a listing of its suppliers, each twice and with a query, between links that are no cards."""
+    """Each nation as listings of its suppliers, some 50 to a page, each twice and with a query, between links that are no cards."""
     j = table(s, d, "supplier").join(F.broadcast(table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     href = F.concat(F.lit("/"), F.lower("n_name"), F.lit("/"), F.col("s_suppkey").cast("string"))
     card = F.concat(F.lit("<article><h3><a class='x' href='"), href, F.lit("?ref=1#top'>\n<b>"), F.col("s_name"), F.lit("</b></a></h3></article><a href='"), href, F.lit("'>more</a>"))
-    g = j.groupBy(F.col("n_nationkey").alias("page_id"), "n_name").agg(F.array_join(F.collect_list(card), "").alias("c"))
+    g = j.groupBy((F.col("n_nationkey") + 25 * F.floor(F.col("s_suppkey") / 1250)).alias("page_id"), "n_name").agg(F.array_join(F.collect_list(card), "").alias("c"))
     return pages.cards(g.select("page_id", F.concat(F.lit("<a href='/about'>About</a><a href='/other/9'>other</a>"), F.col("c")).alias("html")), prefix="/nation")
 
 
@@ -146,7 +146,7 @@ def search(s, d):
     words = F.split(F.lower(F.regexp_extract("html", "<article>(.*?)</article>", 1)), " ")
     found = p.select("page_id", words.alias("words"), F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("position", "href"))
     one = found.filter((F.size(F.regexp_extract_all("href", F.lit("/"), F.lit(0))) == 1) & (F.length("href") > 1))
-    slug = F.substring("href", 2, 10_000)
+    slug = F.expr("substr(href, 2)")
     one = one.filter(F.arrays_overlap(F.split(F.lower(slug), "-"), "words")).groupBy("page_id", slug.alias("slug")).agg(F.min("position").alias("position"))
     return within.top_k(one, 5, [F.col("position")], ["page_id"]).select("page_id", "slug")
 
