@@ -23,7 +23,7 @@ NOTE = "- Orders are not visits.\n- Missing prices are left out, never zero."
     E + f""", g AS (SELECT grp, count(*) AS n, sum(reviews)::BIGINT AS orders, count(price) AS priced FROM ent GROUP BY 1),
 k AS (SELECT grp, segment, count(*) AS n, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, segment) AS r FROM ent GROUP BY 1, 2),
 lines AS (SELECT grp, 0 AS s, 0 AS pos, grp AS line FROM g UNION ALL SELECT grp, 0, 1, repeat('=', length(grp)) FROM g
-UNION ALL SELECT grp, 1, 0, '' FROM g UNION ALL SELECT grp, 1, 1, 'COVERAGE' FROM g UNION ALL SELECT grp, 1, 2, '- Entities: ' || n FROM g UNION ALL SELECT grp, 1, 3, '- Orders: ' || orders || ' (' || printf('%.1f', orders / n) || ' each)' FROM g
+UNION ALL SELECT grp, 1, 0, '' FROM g UNION ALL SELECT grp, 1, 1, 'COVERAGE' FROM g UNION ALL SELECT grp, 1, 2, '- Entities: ' || n FROM g UNION ALL SELECT grp, 1, 3, '- Orders: ' || orders || ' (' || (orders // n) || ' or more each)' FROM g
 UNION ALL SELECT grp, 2, 0, '' FROM g UNION ALL SELECT grp, 2, 1, 'SEGMENTS' FROM g UNION ALL SELECT grp, 2, 1 + r, '- ' || segment || ': ' || n FROM k WHERE r <= 3
 UNION ALL SELECT grp, 3, 0, '' FROM g UNION ALL SELECT grp, 3, 1, 'DEBTS' FROM g UNION ALL SELECT grp, 3, 2, '- ' || name || ' owes ' || printf('%.2f', -rating) FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rating, entity_id) AS r FROM ent WHERE rating < -900) WHERE r = 1
 UNION ALL SELECT grp, 3, 2, '- no data' FROM g WHERE grp NOT IN (SELECT grp FROM ent WHERE rating < -900)
@@ -35,7 +35,7 @@ def report_files(s: SparkSession, d: str) -> DataFrame:
     e = entities(s, d)
     n, orders = F.count(F.lit(1)), F.sum("reviews")
     g = e.groupBy(F.col("grp").alias("report")).agg(n.alias("n"), orders.alias("orders"))
-    cover = g.select("report", F.inline(F.array(F.struct(F.lit(1).alias("order"), F.format_string("- Entities: %d", "n").alias("line")), F.struct(F.lit(2).alias("order"), F.format_string("- Orders: %d (%.1f each)", "orders", F.col("orders") / F.col("n")).alias("line")))))
+    cover = g.select("report", F.inline(F.array(F.struct(F.lit(1).alias("order"), F.format_string("- Entities: %d", "n").alias("line")), F.struct(F.lit(2).alias("order"), F.format_string("- Orders: %d (%d or more each)", "orders", F.floor(F.col("orders") / F.col("n"))).alias("line")))))
     segments = within.top_k(e.groupBy(F.col("grp").alias("report"), "segment").agg(n.alias("n")), 3, [F.desc("n"), F.col("segment")], ["report"], "order").select("report", "order", F.format_string("- %s: %d", "segment", "n").alias("line"))
     debts = within.first_by(e.filter("rating < -900").withColumnRenamed("grp", "report"), ["report"], [F.col("rating"), F.col("entity_id")])
     debts = debts.select("report", F.lit(1).alias("order"), F.format_string("- %s owes %.2f", "name", -F.col("rating")).alias("line"))
