@@ -4,8 +4,10 @@ Candidates are runs of at least 20 characters of encoded text. Each is held agai
 explains it (hexadecimal, base32, base36, base62, base64) by three tests of randomness: chi-squared uniformity of the
 alphabet, runs above and below its middle, and correlation of neighbours. The worst of the three standard scores is
 small for random strings of any length and grows with the length for words. False discoveries are controlled by length:
-runs with letters and without digits serve as decoys, and in each length class the largest score stands up to which
-decoys are at most a given rate of the mixed candidates. Runs of digits alone are neither: they are often random
+runs with letters and without digits serve as decoys for mixed runs, and in each length class the largest score stands up
+to which the mixed runs that are words, as the decoys tell, are at most a given rate of all; classes with few candidates
+are looked at together. Some random strings have no digit by chance, so letters that look random among letters alone are decoys
+only as far as there are more of them than the mixed runs explain. Runs of digits alone are neither: they are often random
 (order numbers, card-like ids) without being words, and there are no decoys to hold them against. Counts by class and score, a table of fixed size, are all that is gathered.
 """
 
@@ -33,6 +35,8 @@ ALPHABETS = (
     ("base62", "^[0-9A-Za-z]+$", UPPER + LOWER + DIGITS),
     ("base64", "", UPPER + LOWER + DIGITS + "+/"),
 )
+#: Alphabets of letters alone, as above.
+LETTERS = (("^[a-z]+$", LOWER), ("^[A-Z]+$", UPPER), ("^[A-Za-z]+$", UPPER + LOWER))
 #: Length classes start at these lengths; scores are counted in steps of 1/4 up to 8.
 CLASSES, STEP, TOP = (20, 24, 32, 40, 64, 128), 4, 32
 RATE, LIMIT = 0.05, 3.5
@@ -73,6 +77,13 @@ def _alphabet(core: Column) -> tuple[Column, Column]:
     return symbols, reduce(lambda rest, k: F.when(k[0], k[2]).otherwise(rest), reversed(kinds), plain)
 
 
+def letter_randomness(token: Column) -> Column:
+    """The same for letters alone, held against an alphabet of letters; NULL for other strings."""
+    core = F.rtrim(token, F.lit("="))
+    symbols = reduce(lambda rest, k: F.when(core.rlike(k[0]), F.lit(k[1])).otherwise(rest), reversed(LETTERS), F.lit(None).cast("string"))
+    return let(F.struct(symbols.alias("symbols"), core.alias("core")), lambda t: F.when(t["symbols"].isNotNull(), _battery(t["symbols"], t["core"])))
+
+
 def randomness(token: Column) -> Column:
     """The worst standard score of the three tests; near 0 to 3 for random strings."""
     symbols, core = _alphabet(F.rtrim(token, F.lit("=")))
@@ -138,23 +149,50 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rat
     free = let(F.struct(ends.alias("e"), steps.alias("steps")), lambda z: F.filter(F.col("random"), lambda s: _below(z["e"]["starts"], z["steps"], s["end"]) == _below(z["e"]["ends"], z["steps"], s["start"] + 1)))
     size = lambda s: F.length(s["body"])
     cls = lambda s: reduce(lambda a, c: a + F.when(size(s) >= c, 1).otherwise(0), CLASSES[1:], F.lit(0))
-    scored = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), cls(s).alias("cls"), F.least(F.lit(TOP), F.greatest(F.lit(0), F.floor(randomness(s["body"]) * STEP))).cast("int").alias("bin"), (s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")).alias("mixed"), (~s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")).alias("decoy")))
+    scored = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), cls(s).alias("cls"), F.least(F.lit(TOP), F.greatest(F.lit(0), F.floor(randomness(s["body"]) * STEP))).cast("int").alias("bin"), (s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")).alias("mixed"), (~s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")).alias("decoy"), F.coalesce(letter_randomness(s["body"]) < limit, F.lit(False)).alias("loose")))
     found = saved(found.select("doc_id", *(f"n_{b[0]}" for b in BASE), "base", scored.alias("random")))
-    bins = found.select(F.explode("random").alias("r")).groupBy("r.cls", "r.bin").agg(F.count_if("r.mixed").alias("mixed"), F.count_if("r.decoy").alias("decoys")).collect()
-    cuts = cut_scores([(r["cls"], r["bin"], r["mixed"], r["decoys"]) for r in bins], rate, limit)
+    bins = found.select(F.explode("random").alias("r")).groupBy("r.cls", "r.bin").agg(F.count_if("r.mixed").alias("mixed"), F.count_if(F.expr("r.decoy and not r.loose")).alias("words"), F.count_if(F.expr("r.decoy and r.loose")).alias("loose")).collect()
+    cuts = cut_scores([(r["cls"], r["bin"], r["mixed"], r["words"], r["loose"]) for r in bins], rate, limit)
     upto = F.array(*(F.lit(c) for c in cuts))
     added = F.transform(F.filter(F.col("random"), lambda s: s["mixed"] & (s["bin"] <= F.element_at(upto, s["cls"] + 1))), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return found.select("doc_id", *(f"n_{b[0]}" for b in BASE), F.size(added).cast("long").alias("n_random"), F.sha2(_text_of(F.col("base"), names), 256).alias("base_sha256"), _text_of(F.array_sort(F.concat("base", added)), names).alias("spans"))
 
 
-def cut_scores(bins: list[tuple[int, int, int, int]], rate: float = RATE, limit: float = LIMIT) -> list[int]:
-    """For each length class the largest score (in steps) up to which decoys, with one more from 1 / rate candidates on, are at most rate of the mixed candidates; -1 where there is none."""
-    out = []
-    for c in range(len(CLASSES)):
-        best, mixed, decoys = -1, 0, 0
-        for _, b, m, d in sorted(x for x in bins if x[0] == c):
-            mixed, decoys = mixed + m, decoys + d
-            if mixed and (decoys + (1 if mixed >= 1 / rate else 0)) <= rate * mixed and b < limit * STEP:
+def pooled_classes(candidates: list[int], least: float) -> list[list[int]]:
+    """The length classes in groups of neighbours, from the longest down, each with least candidates or more; what is left at the end joins the last group."""
+    groups: list[list[int]] = [[]]
+    for c in reversed(range(len(CLASSES))):
+        if sum(candidates[k] for k in groups[-1]) >= least:
+            groups.append([])
+        groups[-1].append(c)
+    if len(groups) > 1 and sum(candidates[k] for k in groups[-1]) < least:
+        rest = groups.pop()
+        groups[-1] += rest
+    return groups
+
+
+def cut_scores(bins: list[tuple[int, int, int, int, int]], rate: float = RATE, limit: float = LIMIT) -> list[int]:
+    """For each length class the largest score (in steps) up to which words are at most rate of the mixed candidates; -1 where there is none. bins: class, score, mixed runs, words, and runs of letters that look random among letters.
+
+    Mixed words are as many as decoys, and one more, times the ratio of both among what scores beyond limit (one at most). Of mixed
+    runs of n characters, (52 / 62)^n more are random without any digit: so many loose runs, and two standard deviations more, are no decoys.
+    """
+    top = limit * STEP
+    near = [sum(x[2] for x in bins if x[0] == c and x[1] < top) for c in range(len(CLASSES))]
+    out = [-1] * len(CLASSES)
+    for group in pooled_classes(near, 1 / rate):
+        mine = sorted((x for x in bins if x[0] in group), key=lambda x: x[1])
+        far = [sum(x[k] for x in mine if x[1] >= top) for k in (2, 3)]
+        ratio = min(1.0, (far[0] + 1) / (far[1] + 1))
+        best, mixed, words, loose, bare = -1, 0, 0, 0, 0.0
+        for b in sorted({x[1] for x in mine if x[1] < top}):
+            for c, at, m, w, u in mine:
+                if at == b:
+                    mixed, words, loose = mixed + m, words + w, loose + u
+                    bare += m * (part := (52 / 62) ** CLASSES[c]) / (1 - part)
+            decoys = words + max(0.0, loose - bare - 2 * bare**0.5)
+            if mixed and ratio * (decoys + 1) <= rate * mixed:
                 best = b
-        out.append(best)
+        for c in group:
+            out[c] = best
     return out

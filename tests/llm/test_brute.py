@@ -316,15 +316,20 @@ def test_randomness(spark):
 
 def test_cut_scores():
     r = random.Random(8)
-    bins = [(c, b, r.randint(0, 40), r.randint(0, 6)) for c in range(3) for b in range(14)]
+    bins = [(c, b, r.randint(0, 40), r.randint(0, 3), r.randint(0, 2)) for c in range(3) for b in range(20)] + [(4, 3, 7, 0, 0), (5, 2, 9, 0, 0)]
     got = secrets.cut_scores(bins)
-    for c in range(len(secrets.CLASSES)):
+    # The two longest classes and those without rows go with the third.
+    for group in ([0], [1], [2, 3, 4, 5]):
         ok = []
+        far = [sum(x[k] for x in bins if x[0] in group and x[1] >= 14) for k in (2, 3)]
         for b in range(14):
-            mixed, decoys = (sum(x[k] for x in bins if x[0] == c and x[1] <= b) for k in (2, 3))
-            if mixed and decoys + (mixed >= 20) <= 0.05 * mixed:
+            upto = [x for x in bins if x[0] in group and x[1] <= b]
+            mixed, words, loose = (sum(x[k] for x in upto) for k in (2, 3, 4))
+            bare = sum(x[2] * (52 / 62) ** secrets.CLASSES[x[0]] / (1 - (52 / 62) ** secrets.CLASSES[x[0]]) for x in upto)
+            if mixed and min(1, (far[0] + 1) / (far[1] + 1)) * (words + max(0, loose - bare - 2 * math.sqrt(bare)) + 1) <= 0.05 * mixed:
                 ok.append(b)
-        assert got[c] == max(ok, default=-1)
+        assert {got[c] for c in group} == {max(ok, default=-1)}
+    assert secrets.cut_scores([]) == [-1] * 6 and secrets.cut_scores([(0, 0, 19, 0, 0)]) == [-1] * 6 and secrets.cut_scores([(0, 0, 19, 0, 0), (0, 20, 0, 9, 0)]) == [0] * 6
 
 
 def test_secrets_take_time_in_proportion(spark):

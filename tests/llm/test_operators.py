@@ -175,6 +175,22 @@ def test_secrets(spark, odd, none):
     assert secrets.secrets(odd).count() == len(ODD) and secrets.secrets(none).collect() == []
 
 
+@pytest.mark.parametrize("bare", [0, 1, 2, 3])
+def test_letters_alone_hide_no_secrets(spark, bare):
+    r = random.Random(10 + bare)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def key(s, digits):
+        while True:
+            x = "".join(r.choice(s) for _ in range(22))
+            if digits == any(c.isdigit() for c in x):
+                return x
+
+    texts = [f"word {key(b62, True)} end" for _ in range(39)] + [f"word {key(b62, False)} end" for _ in range(bare)] + [f"see {w}" for w in ("internationalisationofthings", "chapter/section/paragraph/notes", "theaveragelengthofaword")] * 8
+    got = {x["doc_id"]: x["n_random"] for x in secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(39)) >= 35 and sum(got[i] for i in range(39, len(texts))) == 0
+
+
 def test_digit_runs_hide_no_secrets(spark):
     r = random.Random(4)
     key = lambda n, s: "".join(r.choice(s) for _ in range(n))
