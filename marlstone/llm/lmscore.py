@@ -3,10 +3,12 @@
 Training counts every n-gram of the corpus up to ORDER; those that occur twice, whatever the size of the corpus, are
 kept as arcs: an arc carries the absolute-discounted, interpolated log-probability of its word after its state, and a
 state's failure arc leads to the longest shorter context with the mass that its arcs leave. Below all lies the add-half
-unigram distribution over the whole vocabulary and one unknown token, so every state's distribution sums to one. Up to
-AUTOMATON_TOKENS the automaton is built on the driver and broadcast; beyond, documents are dealt in blocks, n-grams
-in parts by context, and each block is sent the counts and failure weights of its own n-grams, that
-is its part of the automaton's states and arcs, along which it computes the same scores.
+unigram distribution over the whole vocabulary and one unknown token, so every state's distribution sums to one.
+
+Documents are dealt in blocks, n-grams in parts by context. A block sends the parts its distinct n-grams, and is sent how
+often these are kept and what the kept ones of each context take, in the whole corpus. From that it builds its part of
+the automaton: the states and arcs that its own texts can reach. There is one such part for a small table and many for
+a large one.
 
 By the automaton a text is scored in one left-to-right traversal, for many texts at once: a lane carries its state, follows the arc of
 the next token or falls along failure arcs until there is one, and adds up what it passes. Long texts are cut in
@@ -32,8 +34,6 @@ from .words import batches as word_batches
 ORDER, DISCOUNT = 3, 0.75
 #: Relative frequencies from which tokens, and longer n-grams, enter the model; both occur twice at least, which is all that is asked by default.
 LEAST = (0.0, 0.0)
-#: Training tokens up to which one automaton is built and broadcast; it has at most half as many arcs an order.
-BROADCAST_WORDS, AUTOMATON_TOKENS = 8_000_000, 2_000_000
 #: The word before a text's first, and the relative frequency from which contexts of such words are dealt by n-gram.
 START, HOT = np.uint64(0xA4093822299F31D0), 2e-3
 FOLDS, HELD = 5, 1
@@ -45,28 +45,20 @@ PIECES = 32 << 20
 
 @dataclass
 class Automaton:
-    """State 0 is the root, 1 to n the states of the n kept tokens (sorted hashes), n + 1 the start of a text, then those of longer n-grams. Arcs: sorted keys state * (n + 1) + token, log10 weights, next states. fall and loss: the failure arc of each state. total, kinds: tokens and distinct tokens of the training texts."""
+    """State 0 is the root, 1 to n the states of n tokens, n + 1 the start of a text, then those of longer n-grams. Arcs: sorted keys state * (n + 1) + token, log10 weights, next states. fall and loss: the failure arc of each state. falls: how many failure arcs were followed."""
 
-    tokens: np.ndarray
+    n: int
+    order: int
     keys: np.ndarray
     weight: np.ndarray
     follow: np.ndarray
     fall: np.ndarray
     loss: np.ndarray
-    total: int
-    kinds: int
-    order: int
-
-    def token_of(self, hashes: np.ndarray) -> np.ndarray:
-        """The index of each hash among the kept tokens; -1 for others."""
-        return index_of(self.tokens, hashes)
-
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.5) / (self.total + 0.5 * (self.kinds + 1)))
+    falls: int = 0
 
     def step(self, state: np.ndarray, token: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The log10 probability of each lane's next token, low being that at the root, and the state after it."""
-        gain, after = np.zeros(len(state)), np.where(token >= 0, token + 1, 0)
+        """The log10 probability of each lane's next token (-1: one that has no state), low being that at the root, and the state after it."""
+        gain, after = np.zeros(len(state)), token + 1
         open_ = np.arange(len(state))
         state = state.copy()
         while len(open_):
@@ -76,13 +68,14 @@ class Automaton:
             open_, s = open_[~at_root], s[~at_root]
             if not len(open_):
                 break
-            found = index_of(self.keys, s * (len(self.tokens) + 1) + token[open_])
+            found = index_of(self.keys, s * (self.n + 1) + token[open_])
             hit = (found >= 0) & (token[open_] >= 0)
             gain[open_[hit]] += self.weight[found[hit]]
             after[open_[hit]] = self.follow[found[hit]]
             open_, s = open_[~hit], s[~hit]
             gain[open_] += self.loss[s]
             state[open_] = self.fall[s]
+            self.falls += len(open_)
         return gain, after
 
 
@@ -105,9 +98,9 @@ def tokens_in(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(hashes, ends, END), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
 
-def traverse(model: Automaton, hashes: np.ndarray, offsets: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """The log10 probability of each text."""
-    token, size, back = model.token_of(hashes), np.diff(offsets), model.order - 1
+def traverse(model: Automaton, token: np.ndarray, offsets: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The log10 probability of each text, of whose tokens low is that at the root."""
+    size, back = np.diff(offsets), model.order - 1
     parts = -(-size // LANE)
     text = np.repeat(np.arange(len(size)), parts)
     piece = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -116,7 +109,7 @@ def traverse(model: Automaton, hashes: np.ndarray, offsets: np.ndarray, low: np.
     begin_read = np.maximum(begin - back, offsets[text])
     order = np.argsort(begin_read - end, kind="stable")
     text, begin, end, at = text[order], begin[order], end[order], begin_read[order]
-    state = np.where(at == offsets[text], len(model.tokens) + 1, 0)
+    state = np.where(at == offsets[text], model.n + 1, 0)
     out = np.zeros(len(size))
     live = len(at)
     for t in range(int((end - at).max()) if live else 0):
@@ -128,6 +121,58 @@ def traverse(model: Automaton, hashes: np.ndarray, offsets: np.ndarray, low: np.
     return out
 
 
+@dataclass
+class Answer:
+    """What a block is told of order k: the tokens that end an n-gram (at), the n-gram of each (place), how often n-grams are kept (count), and what the kept ones of each one's context take (spent)."""
+
+    at: np.ndarray
+    place: np.ndarray
+    count: np.ndarray
+    spent: np.ndarray | None = None
+
+
+def block_automaton(offsets: np.ndarray, answers: list[Answer], total: int, kinds: int) -> tuple[Automaton, np.ndarray, np.ndarray]:
+    """The states and arcs that the texts between offsets can reach, by the answers of orders 1, 2, ...; then the number of each token, and its log10 probability at the root."""
+    one, order = answers[0], len(answers)
+    n, token = len(one.count), one.place
+    found = one.count[token]
+    begins = np.zeros(len(token), bool)
+    begins[offsets[:-1]] = True
+    low = (found + 0.5) / (total + 0.5 * (kinds + 1))
+    # Of each token: its probability by the orders so far, the state that it leads to, and that before it with its occurrences.
+    chance, state = low.copy(), token + 1
+    before, often = np.roll(state, 1), np.roll(found, 1)
+    before[begins], often[begins] = n + 1, found[offsets[1:] - 1]
+    fall, loss = [np.zeros(n + 2, np.int64)], np.zeros(n + 2)
+    keys, weight, follow = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+    for k, answer in enumerate(answers[1:], 2):
+        p = answer.at[np.unique(answer.place, return_index=True)[1]]
+        many = np.maximum(often[p], 1)
+        left = np.clip(1 - answer.spent / many, 1e-12, 1.0)
+        loss[before[p]] = np.log10(left)
+        kept = answer.count > 0
+        q = p[kept]
+        keys.append(before[q] * (n + 1) + token[q])
+        weight.append(np.log10((answer.count[kept] - DISCOUNT) / many[kept] + left[kept] * chance[q]))
+        new = len(loss) + np.arange(len(q))
+        follow.append(new if k < order else state[q])
+        if k == order:
+            break
+        fall.append(state[q])
+        loss = np.append(loss, np.zeros(len(q)))
+        chance[answer.at] = np.maximum(answer.count[answer.place] - DISCOUNT, 0) / np.maximum(often[answer.at], 1) + left[answer.place] * chance[answer.at]
+        longer = np.zeros(len(answer.count), np.int64)
+        longer[kept] = new
+        state, found = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
+        state[answer.at], found[answer.at] = longer[answer.place], answer.count[answer.place]
+        before, often = np.roll(state, 1), np.roll(found, 1)
+        before[begins] = 0
+    every = np.concatenate(keys)
+    by = np.argsort(every, kind="stable")
+    model = Automaton(n, order, every[by], np.concatenate(weight)[by], np.concatenate(follow)[by], np.concatenate(fall), loss)
+    return model, token, np.log10(low)
+
+
 def count_tokens(train: DataFrame) -> DataFrame:
     """(h, c): how often each token occurs."""
 
@@ -141,93 +186,10 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return gathered(train, "text", [], "h long, c long", make).groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def build(train: DataFrame, counts: DataFrame, order: int = ORDER, least: tuple[float, float] = LEAST) -> Automaton:
-    """The automaton of the texts whose tokens counts has. Each order takes one pass; what reaches the driver is bounded by least."""
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    texts = 0
-    kept = {int(r["h"]) & (2**64 - 1): r["c"] for r in counts.filter(F.col("c") >= max(2, least[0] * total)).collect()}
-    tokens = np.array(sorted(kept), np.uint64)
-    n = len(tokens)
-    size = np.array([kept[int(h)] for h in tokens] + [0], np.float64)
-    end = index_of(tokens, np.array([END]))[0]
-    found = counts.filter(F.col("h") == int(np.array([END]).view(np.int64)[0])).first()
-    texts = found["c"] if found else 0
-    model = Automaton(tokens, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(n + 2, np.int64), np.zeros(n + 2), total, kinds, order)
-    # Occurrences of each state's context, the state's token and, for arcs of the last order, what lies below them.
-    often = np.concatenate([[total], size[:n], [texts]])
-    base = np.concatenate([10 ** model.unigram(size[:n])]) if n else np.zeros(0)
-    last: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0))
-    for k in range(2, order + 1):
-        sent = train.sparkSession.sparkContext.broadcast((model, last[0]))
-
-        def make(sent=sent, k=k):
-            m, arcs = sent.value
-
-            def work(text):
-                keys, c = np.unique(_grams(m, arcs, text, k), return_counts=True)
-                return {"key": keys, "c": c}
-
-            return work
-
-        got = gathered(train, "text", [], "key long, c long", make).groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= max(2, least[1] * total)).collect()
-        if not got:
-            break
-        pairs = sorted((r["key"], r["c"]) for r in got)
-        key, c = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.float64)
-        ctx, tok = key // (n + 1), key % (n + 1)
-        spent = np.bincount(ctx, c - DISCOUNT, len(often))
-        left = np.clip(1 - spent / np.maximum(often, 1), 1e-12, 1.0)
-        if k == 2:
-            below, shorter = base[tok], tok + 1
-        else:
-            lower = index_of(model.keys, model.fall[ctx] * (n + 1) + tok)
-            below, shorter = 10 ** model.weight[lower], model.follow[lower]
-        chance = (c - DISCOUNT) / often[ctx] + left[ctx] * below
-        new = np.arange(len(often), len(often) + len(key)) if k < order else shorter
-        has = np.bincount(ctx, minlength=len(often)) > 0
-        model.loss[: len(often)] = np.where(has, np.log10(left), model.loss[: len(often)])
-        merged = np.concatenate([model.keys, key])
-        by = np.argsort(merged, kind="stable")
-        model.keys, model.weight, model.follow = merged[by], np.concatenate([model.weight, np.log10(chance)])[by], np.concatenate([model.follow, new])[by]
-        if k < order:
-            model.fall, model.loss = np.concatenate([model.fall, shorter]), np.concatenate([model.loss, np.zeros(len(key))])
-            often = np.concatenate([often, np.where(tok == end, 0, c)])
-        last = (key, c)
-    return model
-
-
-def _grams(m: Automaton, arcs: np.ndarray, text: pa.Array, k: int) -> np.ndarray:
-    """The key of each n-gram of k tokens whose first and last k - 1 are kept."""
-    hashes, offsets = tokens_of(text)
-    token, n = m.token_of(hashes), len(m.tokens)
-    state = np.zeros(len(token), np.int64)
-    state[1:] = np.where(token[:-1] >= 0, token[:-1] + 1, 0)
-    state[offsets[:-1]] = n + 1
-    for _ in range(k - 2):  # the state of one more token before, where there is an arc between
-        found = index_of(m.keys, state * (n + 1) + token)
-        after = np.where((found >= 0) & (token >= 0), m.follow[found], 0)
-        longer = np.zeros(len(token), np.int64)
-        longer[1:] = np.where(after[:-1] > n + 1, after[:-1], 0)
-        longer[offsets[:-1]] = 0
-        suffix = (found >= 0) & (token >= 0)
-        state = np.where(suffix, longer, 0)
-    ok = (state > 0) & (token >= 0)
-    return state[ok] * (n + 1) + token[ok]
-
-
-def _score(model: Automaton, text: pa.Array, look) -> list[np.ndarray]:
-    hashes, offsets = tokens_of(text)
-    count = look(hashes)
-    low = model.unigram(count)
-    row = np.repeat(np.arange(len(text)), np.diff(offsets))
-    sums = lambda v: np.bincount(row, v, len(text))
-    return [np.diff(offsets), sums(count > 0).astype(np.int64), np.full(len(text), model.total, np.int64), sums(low), traverse(model, hashes, offsets, low)]
-
-
 FIELDS = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, least: tuple[float, float] = LEAST, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, least: tuple[float, float] = LEAST) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text has one token, its end; texts of any length are counted and scored whole. Rows without an id are
@@ -237,24 +199,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, least: tuple[float, float] =
     """
     held = fold(F.col("doc_id"), FOLDS) == HELD
     rows = docs.select("doc_id", held.alias("held_out"), "text")
-    train = rows.filter(~F.col("held_out")).select("text")
-    counts = saved(count_tokens(train))
+    counts = saved(count_tokens(rows.filter(~F.col("held_out")).select("text")))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    send = docs.sparkSession.sparkContext.broadcast
-    if total <= min(broadcast_words, AUTOMATON_TOKENS):
-        automaton = send(build(train, counts, order, least))
-        table = counts.toArrow()
-        keys = table.column("h").to_numpy().view(np.uint64)
-        by = np.argsort(keys)
-        words = send((keys[by], table.column("c").to_numpy()[by]))
-        dropped(counts)
-
-        def make():
-            m, (k, c) = automaton.value, words.value
-            look = lambda h: np.where((at := index_of(k, h)) >= 0, c[at], 0) if len(k) else np.zeros(len(h), np.int64)
-            return lambda text: _score(m, text, look)
-
-        return annotated(rows, "text", ["doc_id", "held_out"], FIELDS, make)
     return _by_blocks(rows, counts, total, kinds, order, least)
 
 
@@ -386,7 +332,7 @@ def _opened(pieces: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndar
 
 
 def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order: int, least: tuple[float, float]) -> DataFrame:
-    """The same model without an automaton. Texts are dealt in blocks of about BLOCK_BYTES, n-grams in as many parts by context.
+    """Texts are dealt in blocks of about BLOCK_BYTES, n-grams in as many parts by context.
 
     Each block sends each part its distinct n-grams with their counts in training texts; the part sums them, and sends
     back the counts of those that are kept, and what the kept ones of each context take. Contexts of HOT words only are
@@ -411,7 +357,7 @@ def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order
         ids, held, times, data, ends = _opened(left)
         hashes, offsets = tokens_in(data, ends)
         weight = np.repeat(np.where(held, 0, times), np.diff(offsets))
-        asked, found, low, chance, known, often = [], None, None, None, None, None
+        asked, answers, found = [], [], None
         if right is not None:
             right = right.sort_by([("k", "ascending"), ("part", "ascending")])
             ks = right.column("k").to_numpy()
@@ -424,29 +370,31 @@ def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order
             c = _unpacked_all(mine.column("counts").to_pylist(), mine.column("n").to_pylist())
             found = np.zeros(len(hashes), np.int64)
             found[r.at] = c[r.place]
-            if k == 1:
-                known, low = found, (found + 0.5) / (total + 0.5 * (kinds + 1))
-                chance, often = low.copy(), np.roll(found, 1)
-                often[offsets[:-1]] = found[offsets[1:] - 1]
-                continue
-            spent = np.add(*(_unpacked_all(mine.column(name).to_pylist(), mine.column("runs").to_pylist()) * times for name, times in (("sums", 1.0), ("kinds", -DISCOUNT))))
-            spent[r.hot] = taken[index_of(names, r.ctx[r.hot] & NAME)]
-            spent = np.repeat(spent, np.diff(np.append(r.run, len(r.keys))))[r.place]
-            often = np.maximum(often[r.at], 1)
-            chance[r.at] = np.maximum(found[r.at] - DISCOUNT, 0) / often + np.clip(1 - spent / often, 1e-12, 1.0) * chance[r.at]
-            often = np.roll(found, 1)
+            spent = None
+            if k > 1:
+                spent = np.add(*(_unpacked_all(mine.column(name).to_pylist(), mine.column("runs").to_pylist()) * times for name, times in (("sums", 1.0), ("kinds", -DISCOUNT))))
+                spent[r.hot] = taken[index_of(names, r.ctx[r.hot] & NAME)]
+                spent = np.repeat(spent, np.diff(np.append(r.run, len(r.keys))))
+            if done == upto:
+                answers.append(Answer(r.at, r.place, c, spent))
         if done < upto:
             return asked, []
         row, n = np.repeat(np.arange(len(ids)), np.diff(offsets)), len(ids)
         sums = lambda v: np.bincount(row, v, n)
         each = np.repeat(np.arange(n), times)
-        columns = [np.diff(offsets), sums(known > 0).astype(np.int64), np.full(n, total, np.int64), sums(np.log10(low)), sums(np.log10(chance))]
+        known = sums(answers[0].count[answers[0].place] > 0).astype(np.int64)
+        del hashes, weight, found, chain, r
+        model, token, low = block_automaton(offsets, answers, total, kinds)
+        del answers
+        columns = [np.diff(offsets), known, np.full(n, total, np.int64), sums(low), traverse(model, token, offsets, low)]
         return [], [ids.take(pa.array(each)), held[each], *(c[each] for c in columns)]
 
     def asks(left: pa.Table, right: pa.Table | None, done: int, upto: int, hot) -> pa.Table:
         out = []
         block = left.column("block")[0].as_py()
         for k, r in work(left, right, done, upto, *hot.value)[0]:
+            if not len(r.keys):
+                continue
             cut = np.flatnonzero(np.diff(r.part, prepend=-1))
             runs = np.searchsorted(r.run, np.append(cut, len(r.keys)))
             sizes = np.diff(np.append(r.run, len(r.keys)))

@@ -200,13 +200,14 @@ def test_digit_runs_hide_no_secrets(spark):
     assert sum(got[i] for i in range(200)) >= 180 and sum(got[i] for i in range(200, len(texts))) == 0
 
 
-def test_lm_scores(spark, odd, none):
+def test_lm_scores(spark, monkeypatch, odd, none):
     r = random.Random(11)
     rows = [(2000 + i, " ".join(r.choice(WORDS[:12]) if r.random() < 0.7 else r.choice(WORDS) for _ in range(r.randint(0, 40))), "", "", 0, "", "") for i in range(400)]
     rows += [(1000 + i, "w1 w2 w3 w1 w2 w3 W1 x", "", "", 0, "", "") for i in range(5)] + list(ODD)
     docs = spark.createDataFrame(rows, SCHEMA)
     got = lmscore.lm_scores(docs, least=(1e-3, 1e-4)).collect()
-    blocks = lmscore.lm_scores(docs, least=(1e-3, 1e-4), broadcast_words=0).collect()
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 5000)
+    blocks = lmscore.lm_scores(docs, least=(1e-3, 1e-4)).collect()
     key = lambda x: (str(x["doc_id"]), x["n_tokens"], round(x["score"], 6))
     assert [key(x) for x in sorted(got, key=key)] == [key(x) for x in sorted(blocks, key=key)]
     toks = lambda t: re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["</s>"]
@@ -247,45 +248,81 @@ def brute_scores(rows):
 
 
 @pytest.mark.parametrize("hot", [2e-3, 2.0])
-@pytest.mark.parametrize("tokens", [0, 2_000_000])
-def test_every_repeated_ngram_counts(spark, monkeypatch, tokens, hot):
+@pytest.mark.parametrize("block", [60_000, 8 << 20])
+def test_every_repeated_ngram_counts(spark, monkeypatch, block, hot):
     # "rare1 rare2 rare3" is two of 60,000 tokens and more, below what the thresholds by share took.
     r = random.Random(8)
     texts = [" ".join(r.choice(WORDS) for _ in range(150)) for _ in range(600)] + ["rare1 rare2 rare3"] * 8 + ["", None, "w1 w1 w1"]
     rows = [(i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", block)
     monkeypatch.setattr(lmscore, "HOT", hot)
-    got = {x["doc_id"]: x for x in lmscore.lm_scores(docs, broadcast_words=tokens).collect()}
+    got = {x["doc_id"]: x for x in lmscore.lm_scores(docs).collect()}
     for (i, _), want in zip(rows, brute_scores(rows), strict=True):
         assert got[i]["score"] == pytest.approx(want, abs=1e-6), i
 
 
-def test_automaton_sums_to_one(spark):
+def told(hashes, offsets, order, least=2):
+    """The answers of all orders for texts that are the whole corpus, by counting; and tokens and distinct tokens."""
+    starts = [i for a, b in zip(offsets[:-1], offsets[1:], strict=True) for i in [int(a)] * int(b - a)]
+    gram = lambda i, k: tuple(hashes[j] if j >= starts[i] else 0 for j in range(i - k + 1, i + 1)) if i - k + 2 >= starts[i] else None
+    count = [Counter(g for i in range(len(hashes)) if (g := gram(i, k))) for k in range(order + 1)]
+    spent = Counter()
+    for k in range(2, order + 1):
+        for g, c in count[k].items():
+            spent[g[:-1]] += (c - lmscore.DISCOUNT) * (c >= least)
+    out = []
+    for k in range(1, order + 1):
+        # Contexts of order 3 and more are kept n-grams.
+        at = [i for i in range(len(hashes)) if (g := gram(i, k)) and (k < 3 or (g[0] != 0 or g[1] != 0) and count[k - 1][g[:-1]] >= least)]
+        keys, place = np.unique([str(gram(i, k)) for i in at], return_inverse=True)
+        of = dict(zip(place.tolist(), at, strict=True))
+        n = np.array([count[k][gram(of[j], k)] for j in range(len(keys))])
+        out.append(lmscore.Answer(np.array(at), place, n if k == 1 else np.where(n >= least, n, 0), np.array([spent[gram(of[j], k)[:-1]] for j in range(len(keys))], float)))
+    return out, len(hashes), len(count[1])
+
+
+def test_automaton_sums_to_one_and_falls_where_it_must():
     r = random.Random(2)
     texts = [" ".join(r.choice(WORDS[:6]) for _ in range(30)) for _ in range(60)]
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
-    model = lmscore.build(train, lmscore.count_tokens(train), least=(1e-3, 1e-3))
-    n = len(model.tokens)
+    h, o = lmscore.tokens_of(pa.array(texts))
+    answers, total, kinds = told(h.tolist(), o, 3)
+    model, token, low = lmscore.block_automaton(o, answers, total, kinds)
+    n = model.n
     assert model.order == 3 and len(model.fall) > n + 2
-    count = {int(x["h"]) & (2**64 - 1): x["c"] for x in lmscore.count_tokens(train).collect()}
-    low_ = model.unigram(np.array([count[int(h)] for h in model.tokens], float))
-    rest = 10 ** model.unigram(np.array([0.0]))[0]
+    root = np.log10((answers[0].count + 0.5) / (total + 0.5 * (kinds + 1)))
+    rest = np.log10(0.5 / (total + 0.5 * (kinds + 1)))
     for s in range(len(model.fall)):
-        gain, _ = model.step(np.full(n, s), np.arange(n), low_)
-        miss, _ = model.step(np.array([s]), np.array([-1]), np.array([math.log10(rest)]))
+        gain, _ = model.step(np.full(n, s), np.arange(n), root)
+        miss, _ = model.step(np.array([s]), np.array([-1]), np.array([rest]))
         assert (10**gain).sum() + 10 ** miss[0] == pytest.approx(1, abs=1e-9)
-
-
-def test_long_texts_are_traversed_like_short_ones(monkeypatch, spark):
+    model.falls = 0
+    got = lmscore.traverse(model, token, o, low)
+    # Failure arcs, one state and token after the other, over the same tables.
+    arcs = {int(k): (w, int(f)) for k, w, f in zip(model.keys, model.weight, model.follow, strict=True)}
+    falls, want = 0, []
+    for a, b in zip(o[:-1], o[1:], strict=True):
+        state, sum_ = n + 1, 0.0
+        for i in range(a, b):
+            after = int(token[i]) + 1
+            while state and (key := state * (n + 1) + int(token[i])) not in arcs:
+                sum_, state, falls = sum_ + model.loss[state], int(model.fall[state]), falls + 1
+            if state:
+                sum_, after = sum_ + arcs[key][0], arcs[key][1]
+            else:
+                sum_ += low[i]
+            state = after
+        want.append(sum_)
+    assert got == pytest.approx(want) and model.falls == falls > 20
+
+
+def test_long_texts_are_traversed_like_short_ones(monkeypatch):
     texts = [" ".join(random.Random(i).choice(WORDS[:6]) for _ in range(700)) for i in range(4)]
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
-    model = lmscore.build(train, lmscore.count_tokens(train), least=(1e-3, 1e-3))
     h, o = lmscore.tokens_of(pa.array(texts))
-    low_ = model.unigram(np.ones(len(h)))
-    a = lmscore.traverse(model, h, o, low_)
+    model, token, low = lmscore.block_automaton(o, *told(h.tolist(), o, 3))
+    a = lmscore.traverse(model, token, o, low)
     monkeypatch.setattr(lmscore, "LANE", 10_000)
-    assert a == pytest.approx(lmscore.traverse(model, h, o, low_))
+    assert a == pytest.approx(lmscore.traverse(model, token, o, low))
 
 
 def test_languages(spark, odd, none):
