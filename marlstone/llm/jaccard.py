@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .apply import annotated, gathered, quoted, trimmed
-from .neardup import shingles
+from .sets import shingles
 from .store import dropped, saved, shipped
 from .words import combine, mix
 
@@ -198,24 +198,49 @@ def tile_links(grams: list[np.ndarray], times: np.ndarray, split: int, percent:
     return root, links
 
 
+#: Columns of rows that say which sets share a segment: a key and a set's node, or two nodes that share one.
+MET = "key long, node long, other long"
+
+
+def met_in(node: np.ndarray, row: np.ndarray, gram: np.ndarray, n: np.ndarray, percent: int) -> dict[str, pa.Array]:
+    """Rows of MET for sets (row, gram, n) and the node of each."""
+    owner, key = segment_keys(row, gram, n, percent)
+    node = node[owner]
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    # Of a key's nodes in this slice one goes on; the others are joined to it here.
+    new = np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+    first = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else node
+    pairs = np.unique(np.stack([node, first], 1)[~new & (node != first)], axis=0)
+    keys = np.concatenate([key[new].view(np.int64), pairs[:, 0]])
+    nodes = np.concatenate([node[new], pairs[:, 0]])
+    return {"key": pa.array(keys), "node": pa.array(nodes), "other": pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(pairs[:, 1])])}
+
+
 def _keys(percent: int):
     def work(text):
         row, gram, n, marks = sets(text)
-        owner, key = segment_keys(row, gram, n, percent)
-        node = marks[owner, 0].view(np.int64)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        # Of a key's nodes in this slice one goes on; the others are joined to it here.
-        new = np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
-        first = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else node
-        pairs = np.unique(np.stack([node, first], 1)[~new & (node != first)], axis=0)
-        keys = np.concatenate([key[new].view(np.int64), pairs[:, 0]])
-        nodes = np.concatenate([node[new], pairs[:, 0]])
-        return {"key": pa.array(keys), "node": pa.array(nodes), "other": pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(pairs[:, 1])])}
+        return met_in(marks[:, 0].view(np.int64), row, gram, n, percent)
 
     return work
 
 
+def met_components(met: DataFrame) -> DataFrame:
+    """(node, label): the components of nodes that share a segment, from rows of MET. Nodes that share none with others are left out."""
+    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
+    edges = met.select("node", F.coalesce("other", F.when(F.col("other").isNull(), before)).alias("other")).filter("node <> other")
+    edges = saved(edges.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
+    label = components(edges)
+    dropped(edges)
+    return label
+
+
+def searched(near: DataFrame, bodies: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(mark, root, links), for each tile that a set lies in: the first set that links join it with there, and with how many rows it links. near: (label, mark, n, times) of each set; bodies: (mark, body), its shingles as sorted bytes of 64 bits, once or more often."""
+    tiles = _tiles(near, percent, block).hint("merge").join(bodies, "mark").select("tile", "n", "mark", "times", "side", "body")
+    return saved(_searched(tiles.repartition("tile").sortWithinPartitions("tile", "side", "n", "mark"), percent))
+
+
 def _sized():
     def work(text):
         _, _, n, marks = sets(text)
@@ -348,19 +373,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     sized = saved(annotated(rows, "text", ["doc_id"], "n long, mark binary, node long", _sized))
-    alike = gathered(rows, "text", [], "key long, node long, other long", lambda: _keys(percent))
-    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
-    met = alike.select("node", F.coalesce("other", F.when(F.col("other").isNull(), before)).alias("other")).filter("node <> other")
-    edges = saved(met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
-    label = components(edges)
+    label = met_components(gathered(rows, "text", [], MET, lambda: _keys(percent)))
     whole = saved(sized.filter("n > 0").groupBy("mark", "node", "n").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("least")))
     near = saved(whole.join(label, "node").select("label", "node", "mark", "n", "times"))
-    dealt = _tiles(near, percent, block)
     # Sets are made again from the texts where these lie; only those that may have partners leave.
     wanted = docs.sparkSession.sparkContext.broadcast(_filter(near.select("node")))
     bodies = gathered(rows, "text", [], "mark binary, body binary", lambda: _bodies(wanted))
-    tiles = dealt.hint("merge").join(bodies, "mark").select("tile", "n", "mark", "times", "side", "body")
-    found = saved(_searched(tiles.repartition("tile").sortWithinPartitions("tile", "side", "n", "mark"), percent))
+    found = searched(near, bodies, percent, block)
     stars = saved(found.filter("mark <> root").select(F.col("mark").alias("a"), F.col("root").alias("b")).distinct())
     top = components(stars)
     links = found.groupBy("mark").agg(F.sum("links").alias("links"))
@@ -369,5 +388,5 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = saved(named.join(links, "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = saved(named.join(least, "root").select("mark", "component_id", "n_links"))
-    dropped(edges, near, found, stars)
+    dropped(near, found, stars)
     return sized.join(named, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

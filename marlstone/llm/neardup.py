@@ -7,59 +7,33 @@ earliest point, so two texts agree in a place with exactly the chance of their w
 process stops where it is later than all places of its text. Bands of places are the buckets in which candidates meet.
 
 Copies are folded into one node first, without regard to id. In each bucket the members are compared with one centre,
-not with each other; the members of buckets that still hold several components then meet across components by their
-rarest shingles, which loses no pair at the threshold. So every candidate pair at or above it ends in one component.
+not with each other; the members of buckets that still hold several components are then searched for shared occurrences,
+which loses no pair at the threshold. So every candidate pair at or above it ends in one component.
 Similarities are exact multiset overlaps. Components come from label propagation with pointer jumping over written
 tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .apply import annotated, gathered, whole_row
-from .store import dropped, saved
-from .words import buffers, combine, mix, word_table
+from .sets import shingles
+from .store import dropped, saved, shipped
+from .words import combine, mix
 
-SHINGLE, THRESHOLD = 5, 0.8
+THRESHOLD = 0.8
 BANDS, ROWS = 32, 7
-#: Cells whose parities bound from below in how many shingles two texts differ.
-PARITY = 1024
 #: Up to so many (id, text hash) keys are broadcast to pick texts; beyond, they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
 
-def shingles(text: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each distinct shingle of a text: row, hash and multiplicity; then each text's words and a 128-bit fingerprint of its word sequence (n, 2). A text of fewer words is one shingle; one without words has none."""
-    hashes, size = word_table(*buffers(text))
-    first = np.concatenate([[0], np.cumsum(size)])
-    padded = np.concatenate([hashes, np.zeros(width, np.uint64)])
-    grams = combine(*(padded[i : i + len(hashes)] for i in range(width)))
-    row = np.repeat(np.arange(len(size)), size)
-    left = first[row + 1] - np.arange(len(hashes))
-    short = np.flatnonzero((size > 0) & (size < width))
-    for r in short:
-        grams[first[r]] = combine(np.array([size[r]], np.uint64), *(hashes[i : i + 1] for i in range(first[r], first[r + 1])))[0]
-    ok = left >= width
-    ok[first[short]] = True
-    place = (np.arange(len(hashes)) - first[row]).astype(np.uint64)
-    marks = np.zeros((len(size), 2), np.uint64)
-    with np.errstate(over="ignore"):
-        for k, seed in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-            np.add.at(marks[:, k], row, mix(mix(hashes + np.uint64(seed)) + mix(place + np.uint64(seed))))
-            marks[:, k] = mix(marks[:, k] + size.astype(np.uint64))
-    row, grams = row[ok], grams[ok]
-    order = np.lexsort((grams, row))
-    row, grams = row[order], grams[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
-    at = np.flatnonzero(new)
-    return row[at], grams[at], np.diff(np.append(at, len(row))), size, marks
-
-
 def signatures(row: np.ndarray, gram: np.ndarray, count: np.ndarray, texts: int, places: int = BANDS * ROWS) -> np.ndarray:
     """(texts, places): the earliest point of each place, as a hash; 0 for texts without shingles."""
     low = np.zeros(len(row))
@@ -129,11 +103,7 @@ def _multiset():
         nth = (np.arange(len(many)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
         with np.errstate(over="ignore"):
             each = np.where(nth == 0, gram[many], mix(gram[many] + nth * np.uint64(0x9E3779B97F4A7C15)))
-        odd = np.zeros(len(size) * PARITY, bool)
-        cell, times = np.unique(row[many] * PARITY + (mix(each) % np.uint64(PARITY)).astype(np.int64), return_counts=True)
-        odd[cell] = times % 2 == 1
-        bits = np.packbits(odd.reshape(len(size), PARITY), axis=1, bitorder="little").view(np.uint64)
-        return {"node": node, "items": _lists(each, np.bincount(row[many], minlength=len(size))), "bits": _lists(bits.ravel(), np.full(len(size), PARITY // 64))}
+        return {"node": node, "items": _lists(each, np.bincount(row[many], minlength=len(size)))}
 
     return work
 
@@ -169,39 +139,45 @@ def joined(label: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def across(rest: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that have all pairs of rest (node, label, items, bits) with different labels whose sets of items are alike by threshold.
-
-    Two sets of which the larger has n items share n * threshold or more. So if all items are put in one order, the
-    first item that both share lies among the first n - n * threshold + 1 of each. Items that no two labels share come
-    first in that order and pair no one; then the rarest. Where that leaves a group of one item, its most frequent
-    label's members meet only the others, so that a large component is never held against itself. Two sets differ in as
-    many items at least as their bits, the parities of how many items fall in each of PARITY cells, differ in places;
-    pairs that differ in too many leave no row.
+    """Pairs (a, b) whose links make the components of all links between sets of rest (node, items), which are alike by threshold.
+
+    The items of a multiset are a set once each has its number among equal ones. Sets that may be alike share a segment and are
+    searched by occurrences, as in jaccard: what a template's texts have in common is one list, so that texts of one template
+    that are not alike cost no more than themselves, and no item's texts are held against each other.
     """
-    tokens = rest.select("node", "label", "bits", F.size("items").alias("n"), F.explode("items").alias("item"))
-    useful = tokens.groupBy("item").agg(F.count(F.lit(1)).alias("c"), (F.min("label") != F.max("label")).alias("several")).filter("several").select("item", "c")
-    have = tokens.join(useful, "item").groupBy("node", "label", "n").agg(F.first("bits").alias("bits"), F.array_sort(F.collect_list(F.struct("c", "item"))).alias("s"))
-    before = F.col("n") - F.size("s")
-    upto = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - before
-    first = have.withColumn("upto", F.least(F.size("s"), upto.cast("int"))).filter("upto > 0").withColumn("before", before)
-    first = first.withColumn("head", F.transform(F.slice("s", 1, F.col("upto")), lambda x: x["item"])).drop("s")
-    prefix = saved(first.select("*", F.posexplode("head").alias("at", "item")).withColumn("left", F.col("n") - F.col("before") - F.col("at")).select("node", "label", "n", "bits", "head", "left", "item"))
-    labels = prefix.groupBy("item", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("item").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("item", "main")
-    marked = prefix.join(labels, "item")
-    one = marked.filter("label <> main").select("item", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "bits", "head", "left")))
-    two = marked.select("item", "main", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "bits", "head", "left")))
-    side = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-    # What both have from their first shared item on bounds how many they share.
-    both, need = F.col("n_a") + F.col("n_b"), threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
-    enough = F.least("left_a", "left_b") >= need
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    once = F.element_at(F.array_intersect("head_a", "head_b"), 1) == F.col("item")
-    pairs = one.join(two, "item").filter(side & enough & (differ <= both - 2 * need) & once)
-    out = saved(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
-    dropped(prefix)
+    percent = round(100 * threshold)
+    kept = rest.select("node", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                n, gram = _flat(part.column(1))
+                out = jaccard.met_in(part.column(0).to_numpy(), np.repeat(np.arange(len(n)), n), gram, n, percent)
+                yield pa.RecordBatch.from_pydict(out)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, gram = _flat(batch.column(1))
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_pydict({"mark": [str(k).encode() for k in batch.column(0).to_pylist()], "body": [gram[e - m : e].tobytes() for e, m in zip(ends, n, strict=True)]})
+
+    shipped(rest.sparkSession)
+    label = jaccard.met_components(kept.mapInArrow(run, jaccard.MET))
+    mark = F.col("node").cast("string").cast("binary").alias("mark")
+    near = saved(rest.join(label.select("node", F.col("label").alias("near")), "node").select(F.col("near").alias("label"), mark, F.size("items").alias("n"), F.lit(1).cast("long").alias("times")))
+    found = jaccard.searched(near, kept.mapInArrow(pack, "mark binary, body binary"), percent)
+    long = lambda c: F.col(c).cast("string").cast("long")
+    out = saved(found.filter("mark <> root").select(long("mark").alias("a"), long("root").alias("b")).distinct())
+    dropped(near, found)
     return out
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of lists of longs and their values as unsigned ones."""
+    return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().view(np.uint64)
+
+
 def _picked(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of docs (doc_id, loc, text) with a key of keys (id, loc, node), with node."""
     small = keys.count() <= BROADCAST_KEYS
@@ -222,7 +198,7 @@ def _assigned(docs: DataFrame, threshold: float) -> DataFrame:
     stars = saved(bucket.filter("node <> centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n")))
     asked = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     keys = saved(nodes.select("node", "id", "loc").join(asked, "node"))
-    items = saved(gathered(_picked(rows, keys), "text", ["node"], "node long, items array<long>, bits array<long>", _multiset).groupBy("node").agg(F.min("items").alias("items"), F.min("bits").alias("bits")))
+    items = saved(gathered(_picked(rows, keys), "text", ["node"], "node long, items array<long>", _multiset).groupBy("node").agg(F.min("items").alias("items")))
     dropped(keys)
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -245,13 +221,12 @@ def _assigned(docs: DataFrame, threshold: float) -> DataFrame:
     # What is left: members of buckets that hold several components.
     spread = bucket.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = spread.groupBy("key").agg((F.min("label") != F.max("label")).alias("several"), F.count(F.lit(1)).alias("n")).filter("several and n > 2").select("key")
-    rest = saved(spread.join(several, "key").select("node", "label").distinct().join(items, "node"))
-    pairs = across(rest, threshold)
-    third = compared(pairs).filter(F.col("d") <= most).select("a", "b")
+    rest = saved(spread.join(several, "key").select("node").distinct().join(items, "node"))
+    third = across(rest, threshold)
     if not third.isEmpty():
         label = joined(label, third)
     of = saved(nodes.select("mark", "node").join(label, "node", "left").select("mark", F.coalesce("label", "node").alias("class")))
-    dropped(bucket, stars, items, first, second, rest, pairs)
+    dropped(bucket, stars, items, first, second, rest, third)
     placed = signed.select("rid", "doc_id", "loc", "mark", full.alias("full"))
     placed = saved(placed.join(of, "mark", "left").select("rid", "doc_id", "loc", F.coalesce(F.when(F.col("full"), F.col("class")), -1 - F.col("rid")).alias("class")))
     dropped(signed, nodes, of)

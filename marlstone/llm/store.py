@@ -2,62 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
+from ..session import scratch as folder
 from ..session import shipped
+from ..sources.stage import dropped, saved, settled, swept
 
 __all__ = ["dropped", "folder", "saved", "settled", "shipped", "swept"]
-#: Paths of tables that are not deleted yet, by application.
-_written: dict[str, set[str]] = {}
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset and Spark runs in this process."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once, written as Parquet in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_path = path
-    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
-    return out
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Deletes tables of saved() that no later step reads."""
-    for df in frames:
-        _deleted(df.sparkSession, df._saved_path)
-
-
-def _deleted(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _written.get(spark.sparkContext.applicationId, set()).discard(path)
-
-
-def swept(spark: SparkSession, keep: set[str] | frozenset[str] = frozenset()) -> None:
-    """Deletes all tables of saved() in this application but those of keep. Operators' results read such tables, so call it when these results are written."""
-    for path in sorted(_written.get(spark.sparkContext.applicationId, set()) - keep):
-        _deleted(spark, path)
-
-
-def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make returns, written, without the tables that were saved on the way."""
-    before = set(_written.get(spark.sparkContext.applicationId, set()))
-    out = saved(make())
-    swept(spark, before | {out._saved_path})
-    return out
