@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .apply import annotated, arrow_type, gathered, trimmed
 from .store import dropped, saved, shipped
 from .toxicity import fold
-from .words import END, buffers, combine, word_table
+from .words import END, buffers, combine, distinct, stable_order, word_table
 from .words import batches as word_batches
 
 ORDER, DISCOUNT = 3, 0.75
@@ -146,7 +146,8 @@ def block_automaton(offsets: np.ndarray, answers: list[Answer], total: int, kind
     fall, loss = [np.zeros(n + 2, np.int64)], np.zeros(n + 2)
     keys, weight, follow = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
     for k, answer in enumerate(answers[1:], 2):
-        p = answer.at[np.unique(answer.place, return_index=True)[1]]
+        p = np.empty(len(answer.count), np.int64)
+        p[answer.place] = answer.at
         many = np.maximum(often[p], 1)
         left = np.clip(1 - answer.spent / many, 1e-12, 1.0)
         loss[before[p]] = np.log10(left)
@@ -168,7 +169,7 @@ def block_automaton(offsets: np.ndarray, answers: list[Answer], total: int, kind
         before, often = np.roll(state, 1), np.roll(found, 1)
         before[begins] = 0
     every = np.concatenate(keys)
-    by = np.argsort(every, kind="stable")
+    by = np.argsort(every)
     model = Automaton(n, order, every[by], np.concatenate(weight)[by], np.concatenate(follow)[by], np.concatenate(fall), loss)
     return model, token, np.log10(low)
 
@@ -248,12 +249,12 @@ def _request(k: int, chain: tuple, found: np.ndarray | None, weight: np.ndarray,
         valid = valid & (np.roll(found, 1) > 0)
         gram, weight = np.where(found > 0, gram, ctx), weight & (found > 0)
     at = np.flatnonzero(valid)
-    keys, first, place = np.unique(gram[at], return_index=True, return_inverse=True)
+    keys, first, place = distinct(gram[at])
     count = np.bincount(place, weight[at], len(keys)).astype(np.int64)
     own, salted = ctx[at][first], salted[at][first] & (k > 1)
     part = (np.where(salted, keys, own) % np.uint64(parts)).astype(np.int64)
     bits = np.uint64(max(1, (parts - 1).bit_length()))
-    by = np.argsort((part.astype(np.uint64) << (np.uint64(64) - bits)) | (own >> bits), kind="stable")
+    by = stable_order((part.astype(np.uint64) << (np.uint64(64) - bits)) | (own >> bits))
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     own, part = own[by], part[by]
@@ -421,9 +422,9 @@ def _by_blocks(rows: DataFrame, counts: DataFrame, total: int, kinds: int, order
         own, ctx = _whole(joined("keys")), _whole(joined("ctx"))
         if k > 2:  # what is asked for its context alone is named like it
             own = np.where(own == 0, np.repeat(ctx, sizes), own)
-        keys, first, place = np.unique(own, return_index=True, return_inverse=True)
+        keys, first, place = distinct(own)
         c = np.bincount(place, count, len(keys)).astype(np.int64)
-        ctx, at, run = np.unique(ctx, return_index=True, return_inverse=True)
+        ctx, at, run = distinct(ctx)
         if k > 1:
             c[c < floor] = 0
         each = np.repeat(run, sizes)[first]
