@@ -147,6 +147,15 @@ REPLY = T.StructType().add("reply_order", T.IntegerType()).add("by_brand", T.Boo
 DETAIL = T.StructType().add("title", _TEXT).add("paragraphs", _TEXTS).add("date_raw", _TEXT).add("view_count", _TEXT).add("support_count", _TEXT).add("crumbs", _TEXTS).add("replies", T.ArrayType(REPLY))
 
 
+@F.udtf(returnType="reply_order int, by_brand boolean, links array<string>, reply_date_raw string, reply_text string")
+class PageReplies:
+    """The replies of a page as a table function: each leaves as a row, so a page with very many is never one nested value."""
+
+    def eval(self, page: str):
+        for reply in detail(page)["replies"]:
+            yield tuple(reply[c] for c in ("reply_order", "by_brand", "links", "reply_date_raw", "reply_text"))
+
+
 @F.pandas_udf(DETAIL)
 def page_detail(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([detail(p) for p in pages], columns=DETAIL.names)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.markup import page_detail
+from ..functions.markup import PageReplies, page_detail
 from ..session import shipped
 
 
@@ -57,6 +57,14 @@ def replies(details: DataFrame) -> DataFrame:
     return details.select("page_id", F.inline("replies"))
 
 
+def reply_rows(pages: DataFrame, html: str = "html", brand_links: Sequence[str] = ()) -> DataFrame:
+    """The same rows as replies(detail(pages)), straight from pages by a lateral join with a table function: for pages with so many replies that one row should not hold them."""
+    shipped(pages.sparkSession)
+    company = F.col("by_brand") | (F.arrays_overlap("links", F.array(*map(F.lit, brand_links))) if brand_links else F.lit(False))
+    rows = pages.select("page_id", F.coalesce(F.col(html), F.lit("")).alias("__html")).lateralJoin(PageReplies(F.col("__html").outer()))
+    return rows.select("page_id", "reply_order", F.when(company, "COMPANY").otherwise("USER").alias("reply_author_type"), "reply_date_raw", "reply_text")
+
+
 def cards(pages: DataFrame, html: str = "html", prefix: str = "") -> DataFrame:
     """page_id, href and title of links two levels deep or more whose path starts with prefix; a link's first place stands."""
     rows = links(pages, html, prefix).filter((F.length("href") - F.length(F.replace(F.col("href"), F.lit("/"), F.lit("")))) >= 2)

@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.arrays import counted
 
 
 def term_table(docs: DataFrame, words: Column, n: int = 1, min_docs: int = 1) -> DataFrame:
-    """term, tokens, docs, and the share of all documents in per cent. Terms are counted within each row; one shuffle sums them."""
+    """term, tokens, docs, and the share of all documents in per cent. A row's terms and its distinct terms leave it in one pass; tasks add them up before one shuffle."""
     total = docs.agg(F.count(F.lit(1)).alias("__n"))
-    grams = docs.select(F.explode(counted(T.ngrams(words, n))).alias("g"))
-    out = grams.groupBy(F.col("g.term").alias("term")).agg(F.sum("g.n").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    grams = docs.select((words if n == 1 else T.ngrams(words, n)).alias("g")).select(F.posexplode(F.array("g", F.array_distinct("g"))).alias("once", "g"))
+    one = grams.select("once", F.explode("g").alias("term"))
+    out = one.groupBy("term").agg(F.count_if(F.col("once") == 0).alias("n_tokens"), F.count_if(F.col("once") == 1).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     return out.crossJoin(F.broadcast(total)).withColumn("doc_share_pct", 100 * F.col("n_docs") / F.col("__n")).drop("__n")
 
 
 def tf_idf(docs: DataFrame, words: Column, id_col: str = "doc_id", min_df: int = 3, max_df: float = 0.9) -> DataFrame:
     """(doc, term, weight): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), each document's weights of length one. A document is a row; ids should be unique."""
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    tf = docs.select(id_col, F.explode(counted(words)).alias("g")).select(id_col, F.col("g.term").alias("term"), F.col("g.n").alias("tf"))
+    tf = docs.select(id_col, F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     raw = tf.join(df, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))).select(id_col, "term", "weight")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.arrays import counted
 from ..operators import checks, clean, ranks, resolve, similar, stats, terms, within
 from .document_queries import TOK, _tokens
 from .frames import ASP, ASPECTS, ENT, LONG, MON, SHIP, aspect_docs, entities, monthly, r6, shipped_monthly, table
@@ -236,12 +235,12 @@ def minimal(s, d):
 
 @query("tx15_tx16_stopwords", TOK + ", stop AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]{3,}')) AS w FROM part UNION SELECT unnest(['the', 'der', 'la'])), t AS (SELECT doc_id, unnest(ws) AS w FROM w) SELECT doc_id, count(*) AS n_left FROM t WHERE w NOT IN (SELECT w FROM stop) GROUP BY 1")
 def stopwords(s, d):
-    """Names of entities are stopwords: a table that is anti-joined, whatever its size; a document has one row for each of its words."""
+    """Names of entities are stopwords: a table that is anti-joined, whatever its size."""
     p = table(s, d, "part")
     names = p.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
     stop = names.unionByName(s.createDataFrame([("the",), ("der",), ("la",)], "w string")).distinct()
-    words = _tokens(s, d).select("doc_id", F.explode(counted(F.col("ws"))).alias("g")).select("doc_id", F.col("g.term").alias("w"), "g.n")
-    return words.join(stop, "w", "left_anti").groupBy("doc_id").agg(F.sum("n").alias("n_left"))
+    words = _tokens(s, d).select("doc_id", F.explode("ws").alias("w"))
+    return words.join(stop, "w", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_left"))
 
 
 @query("tx20_substring_aspects", "SELECT doc_id, contains(lower(coalesce(text, '')), 'tion') AS motion, contains(lower(coalesce(text, '')), 'over') OR contains(lower(coalesce(text, '')), 'in ') AS place FROM documents")

@@ -121,11 +121,20 @@ def _complaint_pages(s: SparkSession, d: str) -> DataFrame:
 SQUEEZED = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 
 
-@query("src13_src14_replies", f"SELECT conv_id AS page_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS reply_order, CASE WHEN role = 'assistant' THEN 'COMPANY' ELSE 'USER' END AS reply_author_type, '5 Ağustos 2025 09:58' AS reply_date_raw, {SQUEEZED} AS reply_text FROM conversations")
+REPLIES = f"SELECT conv_id AS page_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS reply_order, CASE WHEN role = 'assistant' THEN 'COMPANY' ELSE 'USER' END AS reply_author_type, '5 Ağustos 2025 09:58' AS reply_date_raw, {SQUEEZED} AS reply_text FROM conversations"
+
+
+@query("src13_src14_replies", REPLIES)
 def replies(s, d):
     return pages.replies(pages.detail(_complaint_pages(s, d)))
 
 
+@query("src13_reply_rows", REPLIES)
+def reply_rows(s, d):
+    """The same by a table function, a row at a time."""
+    return pages.reply_rows(_complaint_pages(s, d))
+
+
 @query(
     "src14_fields",
     f"WITH r AS (SELECT *, {SQUEEZED} AS t FROM conversations), g AS (SELECT conv_id AS page_id, min_by(t, turn) AS first, count(*) FILTER (role <> 'assistant') AS users, min_by(t, turn) FILTER (role = 'assistant') AS company, min_by(t, turn) FILTER (role <> 'assistant') AS a_user FROM r GROUP BY 1) "

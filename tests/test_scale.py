@@ -256,3 +256,14 @@ def test_complaints_are_cleaned_once(spark):
     assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
     row = out.filter("i = 0").first()
     assert row["very_short_threshold"] == 1 and row["very_short_text_flag"] and not row["missing_text_flag"] and row["missing_title_flag"] and not row["date_parse_failed_flag"] and row["date_is_approximate_flag"] is False
+
+
+def test_replies_leave_as_rows(spark):
+    message = "<div id='message-{0}'><i data-ga-element='Complaint_Answer_Brand'></i><p>said {0}</p></div>"
+    many = "<div id='messages'>" + "".join(message.format(k) if k % 2 else message.format(k).replace("Complaint_Answer_Brand", "x") for k in range(100_000)) + "</div>"
+    df = spark.createDataFrame([(1, many), (2, None), (3, "<p>none</p>"), (4, "<div id='messages'><div id='message-1'><a href='/firm'>f</a><p>we</p></div></div>")], "page_id long, html string")
+    out = pages.reply_rows(df, brand_links=["/firm"])
+    got = out.groupBy("page_id", "reply_author_type").agg(F.count(F.lit(1)).alias("n"), F.max("reply_order").alias("last")).collect()
+    assert {(r["page_id"], r["reply_author_type"]): (r["n"], r["last"]) for r in got} == {(1, "COMPANY"): (50_000, 100_000), (1, "USER"): (50_000, 99_999), (4, "COMPANY"): (1, 1)}
+    few = df.filter("page_id > 1")
+    assert sorted(pages.reply_rows(few, brand_links=["/firm"]).collect()) == sorted(pages.replies(pages.detail(few, brand_links=["/firm"])).collect())
