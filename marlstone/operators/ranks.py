@@ -43,7 +43,11 @@ def numbered(df: DataFrame, order: Sequence[str], out: str, descending: bool = F
     return along(df, order, {out: None}, descending, ranges)
 
 
-def mean_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, ties, rank): each distinct value with its rows and their mean rank among all. Rows are counted before anything is sorted."""
-    counts = df.filter(_quoted(value).isNotNull()).groupBy(_quoted(value).alias(value)).agg(F.count(F.lit(1)).alias("ties"))
+def mean_ranks(df: DataFrame, value: str, times: str | None = None) -> DataFrame:
+    """(value, ties, rank): each distinct value with its rows and their mean rank among all. Rows are counted before anything is sorted; times: a column that says how many rows a row stands for.
+
+    Join the result only with rows that were saved: a mean of doubles that is computed again may differ in its last bit.
+    """
+    many = F.count(F.lit(1)) if times is None else F.sum(_quoted(times))
+    counts = df.filter(_quoted(value).isNotNull()).groupBy(_quoted(value).alias(value)).agg(many.alias("ties"))
     return along(counts, [value], {"rank": "ties"}).select(_quoted(value), "ties", (F.col("rank") - (F.col("ties") - 1) / 2).alias("rank"))

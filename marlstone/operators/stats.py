@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..session import shipped
+from ..sources.stage import saved
 from .quantiles import exact_quantiles
 from .ranks import mean_ranks
 
@@ -45,8 +46,9 @@ def spearman(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
     if group:
         ranked = rows.withColumns({"__x": mean_rank(x, *group), "__y": mean_rank(y, *group)}).withColumn("__n", F.lit(1))
     else:
-        counts = rows.groupBy(x, y).agg(F.count(F.lit(1)).alias("__n"))
-        ranked = counts.join(mean_ranks(rows, x).select(x, F.col("rank").alias("__x")), x).join(mean_ranks(rows, y).select(y, F.col("rank").alias("__y")), y)
+        # Saved, since each side of the joins must have the same values: means of doubles vary with the order of their rows.
+        counts = saved(rows.groupBy(x, y).agg(F.count(F.lit(1)).alias("__n")))
+        ranked = counts.join(mean_ranks(counts, x, "__n").select(x, F.col("rank").alias("__x")), x).join(mean_ranks(counts, y, "__n").select(y, F.col("rank").alias("__y")), y)
     n = F.sum("__n")
     mean = lambda c: F.sum(c * F.col("__n")) / n
     a, b = F.col("__x"), F.col("__y")
@@ -59,12 +61,11 @@ def spearman(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """H with tie correction, groups, n, p and epsilon squared; one row, NULL for fewer than two groups."""
     shipped(df.sparkSession)
-    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    ranks = mean_ranks(rows, value)
+    cells = saved(df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("m")))
+    ranks = mean_ranks(cells, value, "m")
     c = F.col("ties").cast("double")
     ties = ranks.agg(F.sum(c * c * c - c).alias("t"))
-    cells = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("m")).join(ranks, value)
-    sums = cells.groupBy(group).agg(F.sum(F.col("m") * F.col("rank")).alias("s"), F.sum("m").alias("m")).agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("groups"))
+    sums = cells.join(ranks, value).groupBy(group).agg(F.sum(F.col("m") * F.col("rank")).alias("s"), F.sum("m").alias("m")).agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("groups"))
     n, k = F.col("n").cast("double"), F.col("groups")
     h = F.when(k >= 2, F.try_divide(12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.col("t") / (n * n * n - n)))
     out = sums.crossJoin(F.broadcast(ties)).select("groups", "n", h.alias("h"))
@@ -74,12 +75,11 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 def mann_whitney(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """U of group a against b, the sizes and the two-sided p (normal, with ties and continuity); one row."""
     shipped(df.sparkSession)
-    rows = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull())
-    ranks = mean_ranks(rows, value)
+    cells = saved(df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("m")))
+    ranks = mean_ranks(cells, value, "m")
     one = F.col(group) == a
-    cells = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("m")).join(ranks, value)
     n_a, n_b, m = F.sum(F.when(one, F.col("m")).otherwise(0)), F.sum(F.when(one, 0).otherwise(F.col("m"))), F.col("m")
-    sums = cells.agg(n_a.alias("n_a"), n_b.alias("n_b"), (F.sum(F.when(one, m * F.col("rank"))) - n_a * (n_a + 1) / 2).alias("u"))
+    sums = cells.join(ranks, value).agg(n_a.alias("n_a"), n_b.alias("n_b"), (F.sum(F.when(one, m * F.col("rank"))) - n_a * (n_a + 1) / 2).alias("u"))
     c = F.col("ties").cast("double")
     out = sums.crossJoin(F.broadcast(ranks.agg(F.sum(c * c * c - c).alias("t"))))
     x, y, n = F.col("n_a").cast("double"), F.col("n_b").cast("double"), (F.col("n_a") + F.col("n_b")).cast("double")
