@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.arrays import let
 from ..session import shipped
+from ..sources.stage import saved
 
 
 def duplicate_audit(df: DataFrame, definitions: dict[str, list[str]], id_col: str) -> DataFrame:
@@ -109,12 +111,69 @@ def candidates(left: DataFrame, right: DataFrame, floor: float = 0.55, drop: Seq
     return pairs.filter(F.col("name_similarity").isNotNull()).unionByName(rest)
 
 
+def _order() -> Column:
+    """What the best of scored pairs is the largest of."""
+    return F.struct(F.coalesce(F.col("phone_l") == F.col("phone_r"), F.lit(False)).alias("p"), "score", "name_similarity", (-F.col("id_r")).alias("i"))
+
+
+def _or_unmatched(df: DataFrame) -> DataFrame:
+    return df.select("id_l", "id_r", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("status", F.lit("UNMATCHED")).alias("status"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+
+
 def best_matches(left: DataFrame, scored: DataFrame) -> DataFrame:
     """One row for each row of left (id): its best of scored (id_l, id_r, score, name_similarity, status and others) by equal phone, score and name; those without any are UNMATCHED at a score of 0."""
-    order = F.struct(F.coalesce(F.col("phone_l") == F.col("phone_r"), F.lit(False)).alias("p"), "score", "name_similarity", (-F.col("id_r")).alias("i"))
-    best = scored.groupBy("id_l").agg(F.max_by(F.struct("id_r", "score", "status"), order).alias("x"), F.count(F.lit(1)).alias("n_candidates")).select("id_l", "x.*", "n_candidates")
-    out = left.select(F.col("id").alias("id_l")).join(best, "id_l", "left")
-    return out.select("id_l", "id_r", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("status", F.lit("UNMATCHED")).alias("status"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+    best = scored.groupBy("id_l").agg(F.max_by(F.struct("id_r", "score", "status"), _order()).alias("x"), F.count(F.lit(1)).alias("n_candidates")).select("id_l", "x.*", "n_candidates")
+    return _or_unmatched(left.select(F.col("id").alias("id_l")).join(best, "id_l", "left"))
+
+
+def best_of_candidates(left: DataFrame, right: DataFrame, scored: Callable[[DataFrame], DataFrame], floor: float = 0.55, drop: Sequence[str] = ()) -> DataFrame:
+    """best_matches(left, scored(candidates(left, right, floor, drop))), without a row for each pair of rows.
+
+    Rows that are equal in all that a score may read are one class, with its least id and its number of rows. scored adds
+    score and status from name_similarity, phone_l, phone_r, area_l and area_r; phones are NULL where they are not equal.
+    Candidates by name are taken for each name and area, those by phone for each row that has any: these go first.
+    """
+    shipped(left.sparkSession)
+    sides = []
+    for df, x in ((left, "l"), (right, "r")):
+        side = df.select("id", F.coalesce(T.folded(F.col("name")), F.lit("")).alias("full"), T.core_name(F.col("name"), drop).alias("core"), T.phone_key(F.col("phone")).alias("phone"), "area")
+        sides.append(saved(side.select(*(F.col(c).alias(f"{c}_{x}") for c in side.columns))))
+    one, two = sides
+    words = [df.select(f"full_{x}", f"core_{x}").distinct() for df, x in zip(sides, "lr", strict=True)]
+
+    def alike(c: str) -> DataFrame:
+        names = alike_names(*(df.select(F.col(f"{c}_{x}").alias("name")) for df, x in zip(sides, "lr", strict=True)), floor).withColumnsRenamed({"left": f"{c}_l", "right": f"{c}_r"})
+        return (names if c == "full" else names.join(words[0], "core_l").join(words[1], "core_r")).select("full_l", "full_r", "ratio")
+
+    pairs = words[0].join(words[1], F.col("core_l") == F.col("core_r")).select("full_l", "full_r", F.lit(None).cast("double").alias("ratio")).unionByName(alike("full"))
+    if drop:
+        pairs = pairs.unionByName(alike("core"))
+    named = saved(pairs.groupBy("full_l", "full_r").agg(F.max("ratio").alias("ratio")))
+    # Pairs of rows with an equal phone, by classes, and how alike their names are.
+    class_r = two.groupBy("full_r", "phone_r", "area_r").agg(F.min("id_r").alias("id_r"), F.count(F.lit(1)).alias("n"))
+    class_l = one.filter("phone_l IS NOT NULL").select("full_l", "phone_l", "area_l").distinct()
+    called = saved(class_l.join(class_r, F.col("phone_l") == F.col("phone_r")))
+    met = called.select("full_l", "full_r").distinct().withColumn("called", F.lit(True))
+    both = named.withColumn("named", F.lit(True)).join(met, ["full_l", "full_r"], "full")
+    full = T.sequence_ratio("full_l", "full_r")
+    cores = [w.groupBy(f"full_{x}").agg(F.min(f"core_{x}").alias(f"core_{x}")) for w, x in zip(words, "lr", strict=True)]
+    rest = both.filter("ratio IS NULL").join(cores[0], "full_l").join(cores[1], "full_r")
+    rest = rest.withColumn("ratio", F.greatest(full, T.sequence_ratio("core_l", "core_r")) if drop else full).select(*both.columns)
+    alike_by = saved(both.filter("ratio IS NOT NULL").unionByName(rest).withColumnRenamed("ratio", "name_similarity"))
+
+    def best(of: DataFrame, keys: list[str], n: Column) -> DataFrame:
+        out = scored(of).groupBy(*keys).agg(F.max_by(F.struct("id_r", "score", "status"), _order()).alias("x"), F.sum(n).alias("n"))
+        return out.select(*(F.col(k).alias(f"{k}_k") for k in keys), "x", "n")
+
+    by_phone = best(called.join(alike_by.filter("called"), ["full_l", "full_r"]), ["full_l", "phone_l", "area_l"], F.when(F.col("named"), 0).otherwise(F.col("n")))
+    areas_l, areas_r = one.select("full_l", "area_l").distinct(), two.groupBy("full_r", "area_r").agg(F.min("id_r").alias("id_r"), F.count(F.lit(1)).alias("n"))
+    no = F.lit(None).cast("string")
+    by_name = best(alike_by.filter("named").join(areas_l, "full_l").join(areas_r, "full_r").withColumns({"phone_l": no, "phone_r": no}), ["full_l", "area_l"], F.col("n"))
+    same = lambda *keys: functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{k}_k")) for k in keys))
+    out = one.join(by_phone.withColumnsRenamed({"x": "x_phone", "n": "n_phone"}), same("full_l", "phone_l", "area_l"), "left").drop("full_l_k", "area_l_k")
+    out = out.join(by_name, same("full_l", "area_l"), "left").withColumn("x", F.coalesce("x_phone", "x"))
+    count = F.coalesce("n", F.lit(0)) + F.coalesce("n_phone", F.lit(0))
+    return _or_unmatched(out.select("id_l", "x.*", count.alias("n_candidates")))
 
 
 def match_score(name: Column, phone: Column, area: Column, address: Column) -> Column:

@@ -355,13 +355,15 @@ def _projects(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("jn16_er01_er03_matches")
 def matches(s, d):
-    """Every part as a project (type and name) against every supplier as an official row, whose names are written in the parts' words; every pair of similarity 0.55 or more is scored, the best taken for each, and those without any are kept. String similarity has no SQL; a test holds it against all pairs."""
+    """Every part as a project (type and name) against every supplier as an official row, whose names are written in the parts' words; every pair of similarity 0.55 or more counts and the best is taken for each (pairs are scored by names and areas, and by phones), and those without any are kept. String similarity has no SQL; a test holds it against all pairs."""
     left, right = _projects(s, d)
-    c = resolve.candidates(left, right)
     phone, area = F.col("phone_l") == F.col("phone_r"), F.col("area_l") == F.col("area_r")
-    c = c.withColumn("score", resolve.match_score(F.col("name_similarity"), phone, area, F.lit(None).cast("double")))
-    c = c.withColumn("status", resolve.match_class(F.col("score"), F.col("name_similarity"), phone, area))
-    return resolve.assigned_once(resolve.best_matches(left, c), "id_r", "score", "id_l")
+
+    def scored(c: DataFrame) -> DataFrame:
+        c = c.withColumn("score", resolve.match_score(F.col("name_similarity"), phone, area, F.lit(None).cast("double")))
+        return c.withColumn("status", resolve.match_class(F.col("score"), F.col("name_similarity"), phone, area))
+
+    return resolve.assigned_once(resolve.best_of_candidates(left, right, scored), "id_r", "score", "id_l")
 
 
 CROSSWALK = [("MOVE", ["motion", "place"], ["motion"]), ("WORDS", ["article", "joiner"], ["joiner", "short"]), ("PLACE", ["place"], []), ("SHORT", [], ["short"]), ("JOIN", ["joiner"], ["article"])]

@@ -294,3 +294,24 @@ def test_copies_are_held_against_others_once(spark):
     assert sorted(got) == sorted([(0, 4), *((0 if i % 7 < 4 else 4, i) for i in range(350) if i not in (0, 4))])
     # Expanded, they are all pairs.
     assert similar.alike_within(df, "i", "g", "t").count() == 350 * 349 // 2
+
+
+def test_best_of_candidates_is_that_of_all_pairs(spark):
+    r = random.Random(8)
+    words, areas, phones = ["bay", "grand", "hotel", "royal", "sea", "palm", "çay"], ["a", "b", None], [None, "02521234567", "02527654321", "12"]
+    table = lambda n: spark.createDataFrame([(i, r.choice([None, "", " ".join(r.choices(words, k=r.randint(1, 3)))]) if i % 9 == 0 else " ".join(r.choices(words, k=r.randint(1, 3))), r.choice(phones) if i % 4 == 0 else None, r.choice(areas)) for i in range(n)], "id long, name string, phone string, area string")
+    left, right = table(150), table(120)
+    phone, area = F.col("phone_l") == F.col("phone_r"), F.col("area_l") == F.col("area_r")
+
+    def scored(c):
+        c = c.withColumn("score", resolve.match_score(F.col("name_similarity"), phone, area, F.lit(None).cast("double")))
+        return c.withColumn("status", resolve.match_class(F.col("score"), F.col("name_similarity"), phone, area))
+
+    for drop in ([], ["hotel"]):
+        want = resolve.best_matches(left, scored(resolve.candidates(left, right, drop=drop)))
+        got = resolve.best_of_candidates(left, right, scored, drop=drop)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # 400 million pairs of rows, of one pair of names.
+    many = spark.range(20_000).select("id", F.lit("grand hotel").alias("name"), F.lit(None).cast("string").alias("phone"), F.lit("a").alias("area"))
+    got = resolve.best_of_candidates(many, many, scored).groupBy("id_r", "status", "n_candidates").count().collect()
+    assert [tuple(x) for x in got] == [(0, "HIGH_CONFIDENCE", 20_000, 20_000)]
