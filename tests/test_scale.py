@@ -4,6 +4,7 @@ import difflib
 import itertools
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import composites, pages, quantiles, reports, resolve, similar, stats, terms
-from marlstone.sources import buckets
+from marlstone.sources import buckets, stage
 from marlstone.streaming import incremental
 
 
@@ -315,3 +316,21 @@ def test_best_of_candidates_is_that_of_all_pairs(spark):
     many = spark.range(20_000).select("id", F.lit("grand hotel").alias("name"), F.lit(None).cast("string").alias("phone"), F.lit("a").alias("area"))
     got = resolve.best_of_candidates(many, many, scored).groupBy("id_r", "status", "n_candidates").count().collect()
     assert [tuple(x) for x in got] == [(0, "HIGH_CONFIDENCE", 20_000, 20_000)]
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    def held() -> int:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    before, kept = held(), []
+    for k in range(3):
+        df = spark.range(20_000).groupBy((F.col("id") % 1000 + k).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        kept.append(stage.saved(df))
+        assert kept[-1].agg(F.sum("n")).first()[0] == 20_000
+    settings = spark.conf.get(stage.CLEANUP, None)
+    for _ in range(50):
+        if held() <= before + 3 * 2:
+            break
+        time.sleep(0.1)
+    assert settings in (None, "false") and held() <= before + 3 * 2
