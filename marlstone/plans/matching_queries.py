@@ -61,9 +61,7 @@ SELECT a.id AS a, b.id AS b, round(sum(a.v * b.v), 5) AS cosine FROM u a JOIN u
 @query("jn18_cosine_pairs", r"WITH r AS (SELECT min(doc_id) AS id, regexp_extract_all(lower(text), '[a-z]{3,}') AS ws FROM documents WHERE text IS NOT NULL GROUP BY text), " + COS)
 def cosine_pairs(s, d):
     """Pairs of different texts at a cosine of 0.8 or more; copies are folded into their least id first."""
-    t = table(s, d, "documents").filter("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
-    return similar.cosine_pairs(terms.tf_idf(t.select("doc_id", words.alias("ws")), F.col("ws"), min_df=1)).select("a", "b", F.round("cosine", 5).alias("cosine"))
+    return similar.cosine_texts(table(s, d, "documents"), "doc_id", "text").select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
 @query("jn20_jn21_divergence", "WITH a AS (SELECT o_custkey AS k, 100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*) AS x FROM orders GROUP BY 1), b AS (SELECT user_id AS k, 100.0 * count(*) FILTER (event_type = 'error') / count(*) AS y FROM events GROUP BY 1) SELECT c_custkey, c_name, round(x, 4) AS x, round(y, 4) AS y, round(abs(x - y), 4) AS gap FROM a JOIN b ON a.k = b.k JOIN customer ON c_custkey = a.k WHERE abs(x - y) >= 50")

@@ -9,10 +9,11 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import composites, pages, quantiles, reports, resolve, similar, stats, terms
+from marlstone.operators import composites, cosine, pages, quantiles, reports, resolve, similar, stats, terms
 from marlstone.sources import buckets, stage
 from marlstone.streaming import incremental
 
@@ -138,6 +139,67 @@ def test_cosine_pairs_in_small_tiles(spark):
     assert one == pytest.approx(two) and len(one) > 20
 
 
+def test_cosine_texts_write_less_than_their_pairs_have_words(spark, monkeypatch):
+    """Before, every pair that met was joined with all its words: 90 long texts that share rare words wrote one row for each word of each pair."""
+    r = random.Random(18)
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(4))
+    docs = [(i, " ".join(word(r.randrange(6000)) for _ in range(400))) for i in range(90)]
+    docs += [(100 + i, docs[i][1].replace(word(7), "zzz", 1) + " end") for i in range(30)]
+    docs += [(200, docs[0][1]), (201, None), (202, ""), (203, "a b"), (204, "\u0130stanbul K\u00e9 \u212aelvin ab1cde"), (205, "\u0130stanbul k\u00e9 kelvin ab1cde fg"), (None, docs[3][1] + " tail"), (5, docs[6][1] + " more")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    t = df.filter("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    w = terms.tf_idf(t.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("ws")), F.col("ws"), min_df=1).collect()
+    vec = {}
+    for x in w:
+        vec.setdefault(x["doc_id"], {})[x["term"]] = x["weight"]
+    all_pairs = {(a, b): sum(x * vec[b].get(k, 0) for k, x in vec[a].items()) for a in vec for b in vec if a is not None and b is not None and a < b}
+    want = {k: c for k, c in all_pairs.items() if c >= 0.8}
+    written = []
+    monkeypatch.setattr(cosine, "saved", lambda df: written.append(stage.saved(df)) or written[-1])
+    monkeypatch.setattr(cosine, "dropped", lambda *_: None)
+    for size in (16 << 20, 20_000):
+        monkeypatch.setattr(cosine, "BLOCK_BYTES", size)
+        got = {(x["a"], x["b"]): x["cosine"] for x in similar.cosine_texts(df, "doc_id", "text").collect()}
+        assert got == pytest.approx(want) and len(want) >= 30 and (204, 205) in want
+    # Nearly all that is written as a pair is one.
+    pairs = [x.count() for x in written if x.columns == ["a", "b"]]
+    assert len(pairs) == 2 and max(pairs) <= 2 * len(want) < len(all_pairs) / 20
+
+
+def test_cosine_tiles_in_slices(monkeypatch):
+    """Words and meetings are the same however they are sliced."""
+    text = ("ab abc zabcd9efg \u00e9xyz\n" * 30 + "q" * 300 + " end").encode()
+    data = np.frombuffer(text, np.uint8)
+    monkeypatch.setattr(cosine, "PIECE", 37)
+    starts, hashes = (np.concatenate(x) for x in zip(*cosine.letter_words(data), strict=True))
+    want = [(m.start(), m.group()) for m in re.finditer(rb"[a-z]{3,}", text)]
+    assert starts.tolist() == [x for x, _ in want]
+    assert len(set(zip(hashes.tolist(), (w for _, w in want), strict=True))) == len(set(hashes.tolist())) == len({w for _, w in want})
+    r = np.random.default_rng(3)
+    x = r.random((80, 40)) * (r.random((80, 40)) < 0.2)
+    x[40:] = x[:40] * (r.random((40, 40)) < 0.95)
+    x[:, 0] += 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    doc, t = np.nonzero(x)
+    columns = cosine._packed(list(range(80)), doc, t, (x > 0).sum(axis=0)[t], x[doc, t], x[doc, t])
+    table = pa.table(columns, names=["id", "t", "d", "c", "q", "r", "p"])
+    begin = table.append_column("g", [[i % 2 for i in range(80)]])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    want = {(a, b) for a, b in itertools.combinations(range(80), 2) if x[a] @ x[b] >= 0.8}
+    for most in (7, 1000, 2_000_000):
+        monkeypatch.setattr(cosine, "MEETINGS", most)
+        monkeypatch.setattr(cosine, "SLICE", most // 3 + 1)
+        found = set()
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            tile = begin.filter(pa.array([g in (i, j) for g in begin.column("g").to_pylist()])).append_column("i", [[i] * 40 * (1 + j - i)]).append_column("j", [[j] * 40 * (1 + j - i)])
+            pairs = cosine._met(0.8, schema)(tile)
+            found |= {(min(p), max(p)) for p in zip(*(c.to_pylist() for c in pairs.columns), strict=True)}
+        assert want <= found and len(want) > 20
+        every = pa.table([[a for a in range(80) for b in range(a)], [b for a in range(80) for b in range(a)]], schema=schema)
+        got = cosine._scored(0.8, None, schema.append(pa.field("cosine", pa.float64())))(every, table).to_pylist()
+        assert {(v["b"], v["a"]) for v in got} == want and all(v["cosine"] == pytest.approx(x[v["a"]] @ x[v["b"]]) for v in got)
+
+
 def test_buckets_rewrite_only_what_they_touch(spark, tmp_path):
     at, schema = str(tmp_path / "t"), "k long, v string, bucket string"
     make = lambda rows: spark.createDataFrame([(k, v, "own") for k, v in rows], schema)
