@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .apply import annotated, arrow_type, gathered, trimmed
 from .store import dropped, saved, shipped
 from .toxicity import fold
-from .words import END, buffers, combine, distinct, stable_order, word_table
+from .words import END, buffers, coarse_order, combine, distinct, word_table
 from .words import batches as word_batches
 
 ORDER, DISCOUNT = 3, 0.75
@@ -254,7 +254,8 @@ def _request(k: int, chain: tuple, found: np.ndarray | None, weight: np.ndarray,
     own, salted = ctx[at][first], salted[at][first] & (k > 1)
     part = (np.where(salted, keys, own) % np.uint64(parts)).astype(np.int64)
     bits = np.uint64(max(1, (parts - 1).bit_length()))
-    by = stable_order((part.astype(np.uint64) << (np.uint64(64) - bits)) | (own >> bits))
+    # Contexts that share these bits may lie mixed: then a context has several runs, whose sums are added.
+    by, _ = coarse_order((part.astype(np.uint64) << (np.uint64(64) - bits)) | (own >> bits))
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     own, part = own[by], part[by]

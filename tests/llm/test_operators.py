@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from marlstone.llm import decontaminate, exact_dedup, gbdt, langid, lmscore, mixing, neardup, quality, secrets, sharding, toxicity
+from marlstone.llm import decontaminate, exact_dedup, gbdt, langid, lmscore, mixing, neardup, quality, secrets, sharding, toxicity, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, label string"
 R = random.Random(5)
@@ -200,6 +200,17 @@ def test_digit_runs_hide_no_secrets(spark):
     assert sum(got[i] for i in range(200)) >= 180 and sum(got[i] for i in range(200, len(texts))) == 0
 
 
+def test_distinct_and_order_by_packed_numbers():
+    """Places are sorted within numbers: values that differ in the lowest bits only are still told apart, and equal ones stay in order of place."""
+    r = np.random.default_rng(1)
+    far = r.integers(0, 2**64, 5000, dtype=np.uint64)[r.integers(0, 5000, 20_000)]
+    for values in (far, far ^ r.integers(0, 2, 20_000, dtype=np.uint64), np.arange(300, dtype=np.uint64)[::-1], np.full(9, 2**64 - 1, np.uint64), far[:0], far[:1]):
+        kinds, first, which = words.distinct(values)
+        assert kinds.tolist() == sorted(set(values.tolist())) and (kinds[which] == values).all() and (values[first] == kinds).all()
+        order, upper = words.coarse_order(values)
+        assert order.tolist() == sorted(range(len(values)), key=lambda k: (int(values[k] & upper), k))
+
+
 def test_lm_scores(spark, monkeypatch, odd, none):
     r = random.Random(11)
     rows = [(2000 + i, " ".join(r.choice(WORDS[:12]) if r.random() < 0.7 else r.choice(WORDS) for _ in range(r.randint(0, 40))), "", "", 0, "", "") for i in range(400)]
